@@ -98,11 +98,13 @@ def fit_models(train_tok: DataFrame, names: list[str], specs: dict | None = None
                parallel: int = 4):
     """Fit the recipe on all training rows and the named models on its features."""
     chosen = _specs(names, specs)
-    fz = TfidfFeaturizer().fit(train_tok)
-    feats = fz.transform(train_tok).persist(StorageLevel.MEMORY_AND_DISK)
+    cached = train_tok.persist(StorageLevel.MEMORY_AND_DISK)
+    fz = TfidfFeaturizer().fit(cached)
+    feats = fz.transform(cached).persist(StorageLevel.MEMORY_AND_DISK)
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         fitted = dict(zip(names, pool.map(lambda n: chosen[n].fit(feats), names)))
     feats.unpersist()
+    cached.unpersist()
     return fz, fitted
 
 

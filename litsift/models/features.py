@@ -37,19 +37,23 @@ class TfidfFeaturizer:
         self.out = out
 
     def fit(self, df: DataFrame) -> "FittedFeaturizer":
+        """Two jobs over the (cached) token column: term totals -> top-k vocabulary,
+        then document count and per-term document frequency together."""
         toks = df.select(F.col(self.tokens_col).alias("t"))
-        terms = toks.select(F.explode("t").alias("term"))
-        top = (terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        top = (toks.select(F.explode("t").alias("term"))
+               .groupBy("term").agg(F.count(F.lit(1)).alias("n"))
                .orderBy(F.desc("n"), F.asc("term")).limit(self.max_tokens).collect())
         vocab = [r["term"] for r in top]
-        n_docs = df.count()
         vocab_df = df.sparkSession.createDataFrame([(t,) for t in vocab], "term string")
-        # document frequency: distinct terms of each document, restricted to the
-        # vocabulary (<= 500 rows, broadcast)
-        dfs = dict(
-            toks.select(F.explode(F.array_distinct("t")).alias("term"))
-            .join(F.broadcast(vocab_df), "term")
-            .groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect())
+        # document frequency over distinct terms of each document, restricted to the
+        # vocabulary (<= 500 rows, broadcast); the empty-term row counts documents
+        per_doc = toks.select(F.explode(F.array_union(F.array(F.lit("")),
+                                                      F.array_distinct("t"))).alias("term"))
+        rows = (per_doc.join(F.broadcast(vocab_df.union(
+                    df.sparkSession.createDataFrame([("",)], "term string"))), "term")
+                .groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect())
+        dfs = {r["term"]: r["df"] for r in rows}
+        n_docs = dfs.pop("", 0)
         idf = [math.log(1.0 + n_docs / dfs[t]) for t in vocab]
         return FittedFeaturizer(vocab, idf, self.tokens_col, self.out)
 

@@ -38,10 +38,10 @@ def read_xml_articles(spark: SparkSession, path: str) -> DataFrame:
     """Read files of ``<PubmedArticle>`` records (optionally wrapped in a set element)."""
     close = f"</{RECORD_TAG}>"
     raw = spark.read.option("lineSep", close).text(path)
-    start = F.locate(f"<{RECORD_TAG}", F.col("value"))
-    recs = (raw.where(start > 0)
-            .select(F.concat(F.expr(f"substring(value, locate('<{RECORD_TAG}', value))"),
-                             F.lit(close)).alias("xml")))
+    # the record's opening tag, not a wrapping <PubmedArticleSet>
+    start = F.regexp_instr(F.col("value"), F.lit(f"<{RECORD_TAG}[\\s>]"))
+    recs = (raw.select(F.col("value"), start.alias("_s")).where(F.col("_s") > 0)
+            .select(F.concat(F.expr("substring(value, _s)"), F.lit(close)).alias("xml")))
     return parse_records(recs)
 
 
