@@ -143,28 +143,43 @@ class SvmSpec:
         self.cost, self.inner_folds, self.seed = cost, inner_folds, seed
 
     def _svc(self, n: int):
-        return LinearSVC(featuresCol="features", labelCol="label", maxIter=100,
+        # the hinge loss is not smooth, so the optimiser rarely meets a tight tolerance;
+        # 50 iterations at 1e-4 keep each fit to a bounded number of Spark jobs
+        return LinearSVC(featuresCol="features", labelCol="label", maxIter=50, tol=1e-4,
                          regParam=1.0 / (self.cost * max(n, 1)))
 
     def fit(self, df: DataFrame) -> _SvmModel:
-        n = df.count()
+        from concurrent.futures import ThreadPoolExecutor
         h = F.abs(F.xxhash64(F.col("pmid"), F.lit(self.seed))) % self.inner_folds
         df_f = df.withColumn("_if", h)
-        margins = None
+        # label counts per inner fold in one small aggregate (<= 2 x folds rows)
+        counts = df_f.groupBy("_if", "label").count().collect()
+        n = sum(r["count"] for r in counts)
+        usable = []
         for k in range(self.inner_folds):
-            tr = df_f.where(F.col("_if") != k)
-            if tr.select("label").distinct().count() < 2:
-                continue
-            m = self._svc(n).fit(tr).transform(df_f.where(F.col("_if") == k))
-            part = m.select(vector_to_array(F.col("rawPrediction"))[1].alias("margin"), "label")
-            margins = part if margins is None else margins.unionByName(part)
+            labels_out = {r["label"] for r in counts if r["_if"] != k}
+            if len(labels_out) == 2:
+                usable.append(k)
+
+        def inner(k):
+            m = self._svc(n).fit(df_f.where(F.col("_if") != k)) \
+                .transform(df_f.where(F.col("_if") == k))
+            return m.select(vector_to_array(F.col("rawPrediction"))[1].alias("margin"), "label")
+
+        with ThreadPoolExecutor(max_workers=self.inner_folds + 1) as pool:
+            final = pool.submit(lambda: self._svc(n).fit(df))
+            parts = list(pool.map(inner, usable))
+            svc = final.result()
         a, b = 1.0, 0.0
-        if margins is not None:
+        if parts:
+            margins = parts[0]
+            for p in parts[1:]:
+                margins = margins.unionByName(p)
             lr = LogisticRegression(featuresCol="m", labelCol="label", regParam=0.0,
                                     maxIter=100)
             lm = lr.fit(VectorAssembler(inputCols=["margin"], outputCol="m").transform(margins))
             a, b = float(lm.coefficients[0]), float(lm.intercept)
-        return _SvmModel(self._svc(n).fit(df), (a, b))
+        return _SvmModel(svc, (a, b))
 
 
 # ---------------------------------------------------------------- moment statistics
@@ -388,3 +403,95 @@ def registry(rf_trees: int = 1000) -> dict:
 
 DEFAULT_MODELS = ["xgboost", "ldm", "logit", "mr", "nb", "knn", "null", "pls", "rf",
                   "svm_linear"]
+
+
+# ---------------------------------------------------------------- persistence
+
+def _write_meta(spark, path: str, meta: dict) -> None:
+    import json
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
+        .write.mode("overwrite").parquet(path.rstrip("/") + "/meta")
+
+
+def _read_meta(spark, path: str) -> dict:
+    import json
+    return json.loads(spark.read.parquet(path.rstrip("/") + "/meta").first()["meta"])
+
+
+def _write_vector(spark, path: str, values) -> None:
+    rows = [(i, float(v)) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "i int, v double").coalesce(1).write.mode("overwrite") \
+        .parquet(path)
+
+
+def _read_vector(spark, path: str) -> list[float]:
+    return [r["v"] for r in spark.read.parquet(path).orderBy("i").collect()]
+
+
+_SPARK_MODEL_CLASSES = {
+    "LogisticRegressionModel": "pyspark.ml.classification.LogisticRegressionModel",
+    "NaiveBayesModel": "pyspark.ml.classification.NaiveBayesModel",
+    "GBTClassificationModel": "pyspark.ml.classification.GBTClassificationModel",
+    "RandomForestClassificationModel":
+        "pyspark.ml.classification.RandomForestClassificationModel",
+    "LinearSVCModel": "pyspark.ml.classification.LinearSVCModel",
+}
+
+
+def _load_spark_model(cls_name: str, path: str):
+    import importlib
+    mod, _, name = _SPARK_MODEL_CLASSES[cls_name].rpartition(".")
+    return getattr(importlib.import_module(mod), name).load(path)
+
+
+def save_model(spark, fitted, path: str) -> None:
+    """Write a fitted model (any spec of the registry) through Spark's file systems."""
+    base = path.rstrip("/")
+    if isinstance(fitted, _SparkModel):
+        fitted.model.write().overwrite().save(base + "/model")
+        _write_meta(spark, base, {"kind": "spark", "cls": type(fitted.model).__name__})
+    elif isinstance(fitted, _NullModel):
+        _write_meta(spark, base, {"kind": "null", "prior": fitted.prior})
+    elif isinstance(fitted, _LinearScoreModel):
+        _write_vector(spark, base + "/w", fitted.w)
+        _write_meta(spark, base, {"kind": "linear", "b": fitted.b})
+    elif isinstance(fitted, _PlsModel):
+        _write_vector(spark, base + "/w", fitted.coef)
+        _write_meta(spark, base, {"kind": "pls", "b": fitted.intercept})
+    elif isinstance(fitted, _SvmModel):
+        fitted.svc.write().overwrite().save(base + "/model")
+        _write_meta(spark, base, {"kind": "svm", "platt": list(fitted.platt)})
+    elif isinstance(fitted, _KnnModel):
+        parts = []
+        for b in fitted.blocks:
+            y, lab = b.value
+            parts.extend((list(map(float, row)), float(l)) for row, l in zip(y, lab))
+        spark.createDataFrame(parts, "x array<double>, label double").write \
+            .mode("overwrite").parquet(base + "/train")
+        _write_meta(spark, base, {"kind": "knn", "k": fitted.k})
+    else:
+        raise TypeError(f"cannot save {type(fitted).__name__}")
+
+
+def load_model(spark, path: str):
+    """Read a model written by :func:`save_model`."""
+    base = path.rstrip("/")
+    meta = _read_meta(spark, base)
+    kind = meta["kind"]
+    if kind == "spark":
+        return _SparkModel(_load_spark_model(meta["cls"], base + "/model"))
+    if kind == "null":
+        return _NullModel(meta["prior"])
+    if kind == "linear":
+        return _LinearScoreModel(np.array(_read_vector(spark, base + "/w")), meta["b"])
+    if kind == "pls":
+        return _PlsModel(np.array(_read_vector(spark, base + "/w")), meta["b"])
+    if kind == "svm":
+        return _SvmModel(_load_spark_model("LinearSVCModel", base + "/model"),
+                         tuple(meta["platt"]))
+    if kind == "knn":
+        from pyspark.ml.functions import array_to_vector
+        train = spark.read.parquet(base + "/train").select(
+            array_to_vector("x").alias("features"), "label")
+        return KnnSpec(k=meta["k"]).fit(train)
+    raise ValueError(f"unknown model kind {kind}")

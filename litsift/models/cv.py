@@ -32,14 +32,37 @@ def _specs(models: list[str], specs: dict | None) -> dict:
     return {m: reg[m] for m in models}
 
 
+def _fit_partitions(n_rows: int, rows_per_partition: int = 20_000) -> int:
+    """Partitions for an iterative fit: one per ``rows_per_partition`` rows (at least 1).
+
+    Iterative optimisers run one job per iteration; tiny partitions only add task
+    overhead, large data still gets one task per ~20k rows.
+    """
+    return max(1, -(-n_rows // rows_per_partition))
+
+
+def _fold_frames(folds: DataFrame, k: int):
+    ana = folds.where(F.col("fold") != k)
+    ass = folds.where(F.col("fold") == k)
+    fz = TfidfFeaturizer().fit(ana)
+    n_ana = ana.count()
+    fa = (fz.transform(ana).select("pmid", "class", "label", "features")
+          .repartition(_fit_partitions(n_ana)).persist(StorageLevel.MEMORY_AND_DISK))
+    fs = (fz.transform(ass).select("pmid", "class", "label", "features")
+          .persist(StorageLevel.MEMORY_AND_DISK))
+    n_classes = fa.select("label").distinct().count()
+    return fa, fs, n_classes
+
+
 def cross_validate(train: DataFrame, models: list[str] | None = None, v: int = 5,
                    seed: int = 42, stem: bool = True, specs: dict | None = None,
-                   parallel: int = 4) -> tuple[DataFrame, DataFrame]:
+                   parallel: int = 8) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold predictions and per-fold metrics for each model.
 
     ``train``: (pmid, abstract, class, label).  Returns ``(predictions, metrics)``:
     predictions (model_name, fold, pmid, class, label, p_positive, pred_class) and
-    metrics (model_name, fold, metric, estimate).
+    metrics (model_name, fold, metric, estimate).  Folds are featurised concurrently,
+    then every (fold, model) fit runs from a driver thread pool (concurrent Spark jobs).
     """
     models = models or DEFAULT_MODELS
     chosen = _specs(models, specs)
@@ -48,35 +71,28 @@ def cross_validate(train: DataFrame, models: list[str] | None = None, v: int = 5
     tok = add_tokens(train.select("pmid", "abstract", "class", "label"), stem=stem)
     folds = assign_folds(tok, v=v, seed=seed, tie=["class"]) \
         .persist(StorageLevel.MEMORY_AND_DISK)
-    per_fold = []
-    for k in range(1, v + 1):
-        ana = folds.where(F.col("fold") != k)
-        ass = folds.where(F.col("fold") == k)
-        fz = TfidfFeaturizer().fit(ana)
-        fa = fz.transform(ana).select("pmid", "class", "label", "features") \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        fs = fz.transform(ass).select("pmid", "class", "label", "features") \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        n_classes = fa.select("label").distinct().count()
-
-        def run(name, k=k, fa=fa, fs=fs, n_classes=n_classes):
-            spec = chosen[name] if n_classes > 1 else registry()["null"]
-            fitted = spec.fit(fa)
-            return (fitted.transform(fs)
-                    .select(F.lit(name).alias("model_name"), F.lit(k).alias("fold"),
-                            *PRED_COLS))
-
-        with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-            outs = list(pool.map(run, models))
-        fold_pred = outs[0]
-        for o in outs[1:]:
-            fold_pred = fold_pred.unionByName(o)
-        per_fold.append(fold_pred.checkpoint(eager=True))
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, v))) as pool:
+        frames = dict(zip(range(1, v + 1),
+                          pool.map(lambda k: _fold_frames(folds, k), range(1, v + 1))))
+
+    def run(job):
+        k, name = job
+        fa, fs, n_classes = frames[k]
+        spec = chosen[name] if n_classes > 1 else registry()["null"]
+        fitted = spec.fit(fa)
+        out = (fitted.transform(fs)
+               .select(F.lit(name).alias("model_name"), F.lit(k).alias("fold"), *PRED_COLS))
+        return out.checkpoint(eager=True)
+
+    jobs = [(k, m) for k in range(1, v + 1) for m in models]
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        outs = list(pool.map(run, jobs))
+    for fa, fs, _ in frames.values():
         fa.unpersist()
         fs.unpersist()
     folds.unpersist()
-    preds = per_fold[0]
-    for p in per_fold[1:]:
+    preds = outs[0]
+    for p in outs[1:]:
         preds = preds.unionByName(p)
     return preds, fold_metrics(preds)
 
@@ -95,12 +111,13 @@ class Classification:
 
 
 def fit_models(train_tok: DataFrame, names: list[str], specs: dict | None = None,
-               parallel: int = 4):
+               parallel: int = 8):
     """Fit the recipe on all training rows and the named models on its features."""
     chosen = _specs(names, specs)
     cached = train_tok.persist(StorageLevel.MEMORY_AND_DISK)
     fz = TfidfFeaturizer().fit(cached)
-    feats = fz.transform(cached).persist(StorageLevel.MEMORY_AND_DISK)
+    feats = (fz.transform(cached).repartition(_fit_partitions(cached.count()))
+             .persist(StorageLevel.MEMORY_AND_DISK))
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         fitted = dict(zip(names, pool.map(lambda n: chosen[n].fit(feats), names)))
     feats.unpersist()
@@ -118,7 +135,7 @@ def predict(featurizer, fitted, test: DataFrame, stem: bool = True) -> DataFrame
 def classify(train: DataFrame, test: DataFrame, metric: str = "roc_auc", v: int = 5,
              models: list[str] | None = None, fit_all: bool = False, seed: int = 42,
              stem: bool = True, specs: dict | None = None,
-             parallel: int = 4) -> Classification:
+             parallel: int = 8) -> Classification:
     """Cross-validate, pick the best model by ``metric``, refit it, score ``test``."""
     models = models or DEFAULT_MODELS
     preds, metrics = cross_validate(train, models, v=v, seed=seed, stem=stem, specs=specs,

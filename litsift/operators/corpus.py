@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litsift.operators.prefix import global_row_number
+from litsift.operators.scalars import with_scalars
 
 POSITIVE, NEGATIVE, TBD = 1, 0, 2
 POS_LABEL, NEG_LABEL = "Positive", "Negative"
@@ -109,7 +110,7 @@ def batch_plan(index: DataFrame) -> DataFrame:
         index.withColumn("_o1", index_order(index)[0])
              .withColumn("_o2", F.col("pmid").cast("long")),
         [F.col("_o1"), F.col("_o2"), F.col("pmid")], name="rn")
-    with_len = numbered.crossJoin(F.broadcast(n.select(batch_chunk_len(F.col("n")).alias("len"))))
+    with_len = with_scalars(numbered, n.select(batch_chunk_len(F.col("n")).alias("len")))
     batched = with_len.withColumn("batch_id", F.floor((F.col("rn") - 1) / F.col("len")).cast("long"))
     return (batched.groupBy("batch_id")
             .agg(F.count(F.lit(1)).alias("n_ids"),
@@ -163,7 +164,7 @@ def coverage(index: DataFrame, articles: DataFrame) -> DataFrame:
     n_idx = idx.agg(F.count(F.lit(1)).alias("n_retrieved"))
     n_clean = clean.join(idx.select("pmid").distinct(), "pmid", "left_semi") \
         .agg(F.count(F.lit(1)).alias("n_with_abstract"))
-    out = n_index.crossJoin(n_idx).crossJoin(n_clean)
+    out = with_scalars(with_scalars(n_index, n_idx), n_clean)
     return out.select(
         "n_index", "n_retrieved", "n_with_abstract",
         (F.bround(F.col("n_retrieved") / F.col("n_index"), 4) * 100).alias("pct_retrieved"),

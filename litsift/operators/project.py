@@ -36,7 +36,7 @@ def pca(feats: DataFrame, vocab: list[str], k: int = 5, alpha_only: bool = True)
     z = scaler.transform(sliced2)
     kk = min(k, len(terms))
     model = PCA(k=kk, inputCol="_z", outputCol="_pc").fit(z)
-    pc = model.pc.toArray()  # d x k
+    pc = np.array(model.pc.toArray(), dtype=float, copy=True)  # d x k
     for j in range(kk):
         col = pc[:, j]
         if col[int(np.argmax(np.abs(col)))] < 0:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litsift.operators.prefix import global_row_number, grouped_row_number
+from litsift.operators.scalars import with_scalars
 
 
 def seeded_hash(key: Column | str, seed: int) -> Column:
@@ -36,7 +37,7 @@ def assign_folds(df: DataFrame, v: int = 5, seed: int = 42, key: str = "pmid",
     big = r * (q + 1)
     fold = F.when(F.col("_rn") <= big, F.floor((F.col("_rn") - 1) / (q + 1)) + 1) \
         .otherwise(r + F.floor((F.col("_rn") - 1 - big) / q) + 1)
-    return (numbered.crossJoin(F.broadcast(n))
+    return (with_scalars(numbered, n)
             .withColumn(out, fold.cast("int")).drop("_h", "_rn", "_n"))
 
 
@@ -84,7 +85,7 @@ def balance_classes(df: DataFrame, strata: str = "class", seed: int = 42,
     smallest = sizes.agg(F.min("_n_class").alias("_m"))
     ranked = grouped_row_number(df.withColumn("_h", seeded_hash(key, seed)), [strata],
                                 [F.col("_h"), F.col(key)], name="_rk")
-    return (ranked.crossJoin(F.broadcast(smallest)).where(F.col("_rk") <= F.col("_m"))
+    return (with_scalars(ranked, smallest).where(F.col("_rk") <= F.col("_m"))
             .drop("_h", "_rk", "_m"))
 
 

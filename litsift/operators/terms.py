@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from litsift.functions.numeric import Z_CRIT_05, signif, two_sided_p, student_t_two_sided_p
 from litsift.functions.text import analyze
 from litsift.operators.prefix import grouped_cumsum
+from litsift.operators.scalars import with_scalars
 
 # Fixed value: vocabulary size of the reference's token filter.
 MAX_TOKENS = 500
@@ -63,7 +64,7 @@ def tfidf(vcounts: DataFrame, n_docs: DataFrame, key: str = "pmid") -> DataFrame
     w_doc = Window.partitionBy(key)
     df_t = doc_freq(vcounts, key)
     with_len = vcounts.withColumn("doc_len", F.sum("n").over(w_doc))
-    out = (with_len.join(df_t, "term").crossJoin(F.broadcast(n_docs))
+    out = (with_scalars(with_len.join(df_t, "term"), n_docs)
            .withColumn("tf", F.col("n") / F.col("doc_len"))
            .withColumn("idf", F.log(F.lit(1.0) + F.col("n_docs") / F.col("df")))
            .withColumn("tfidf", F.col("tf") * F.col("idf")))
@@ -117,7 +118,7 @@ def class_term_means(lcounts: DataFrame, terms: DataFrame, class_sizes: DataFram
     sums = lcounts.groupBy("term").agg(
         F.sum(F.when(F.col("label") == 1.0, F.col(value)).otherwise(0)).alias("s1"),
         F.sum(F.when(F.col("label") == 1.0, 0).otherwise(F.col(value))).alias("s0"))
-    return (terms.select("term").join(sums, "term", "left").crossJoin(F.broadcast(class_sizes))
+    return (with_scalars(terms.select("term").join(sums, "term", "left"), class_sizes)
             .select("term",
                     (F.coalesce(F.col("s1"), F.lit(0)) / F.col("n1")).alias("mean_pos"),
                     (F.coalesce(F.col("s0"), F.lit(0)) / F.col("n0")).alias("mean_neg")))
@@ -152,7 +153,7 @@ def term_rank_sum(ltfidf: DataFrame, terms: DataFrame, class_sizes: DataFrame,
         F.sum("c").alias("nnz"), F.sum("c_pos").alias("nnz_pos"),
         F.sum(F.col("c_pos") * (F.col("less") + (F.col("c") + 1) / 2.0)).alias("r_nz"),
         F.sum(F.pow(F.col("c"), 3) - F.col("c")).alias("ties_nz"))
-    base = terms.select("term").join(agg, "term", "left").crossJoin(F.broadcast(class_sizes))
+    base = with_scalars(terms.select("term").join(agg, "term", "left"), class_sizes)
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
     n = n1 + n0
     nnz = F.coalesce(F.col("nnz"), F.lit(0)).cast("double")
@@ -187,7 +188,7 @@ def term_dictionary(ranked: DataFrame, max_terms: int = 100) -> DataFrame:
     """
     n_sig = ranked.agg(F.sum(F.when(significant(), 1).otherwise(0)).alias("n_sig"))
     keep = F.when(F.col("n_sig") > max_terms, F.col("n_sig")).otherwise(F.lit(max_terms))
-    return (ranked.crossJoin(F.broadcast(n_sig)).where(F.col("p_rank") <= keep)
+    return (with_scalars(ranked, n_sig).where(F.col("p_rank") <= keep)
             .select("term").orderBy("term"))
 
 
@@ -256,8 +257,8 @@ def welch_terms(ltfidf: DataFrame, terms: DataFrame, class_sizes: DataFrame,
         F.sum(F.when(F.col("label") == 1.0, F.col(value) ** 2).otherwise(0.0)).alias("q1"),
         F.sum(F.when(F.col("label") == 1.0, 0.0).otherwise(F.col(value))).alias("s0"),
         F.sum(F.when(F.col("label") == 1.0, 0.0).otherwise(F.col(value) ** 2)).alias("q0"))
-    b = terms.select("term").join(s, "term", "left").na.fill(0.0, ["s1", "q1", "s0", "q0"]) \
-        .crossJoin(F.broadcast(class_sizes))
+    b = with_scalars(terms.select("term").join(s, "term", "left")
+                     .na.fill(0.0, ["s1", "q1", "s0", "q0"]), class_sizes)
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
     m1, m0 = F.col("s1") / n1, F.col("s0") / n0
     v1 = (F.col("q1") - n1 * m1 * m1) / (n1 - 1)
@@ -278,8 +279,8 @@ def normalize_terms(ltfidf: DataFrame, terms: DataFrame, n_docs: DataFrame,
                     value: str = "tfidf") -> DataFrame:
     """Per-term mean and sample sd over all documents (zeros folded in) for standardising."""
     s = ltfidf.groupBy("term").agg(F.sum(value).alias("s"), F.sum(F.col(value) ** 2).alias("q"))
-    b = terms.select("term").join(s, "term", "left").na.fill(0.0, ["s", "q"]) \
-        .crossJoin(F.broadcast(n_docs))
+    b = with_scalars(terms.select("term").join(s, "term", "left").na.fill(0.0, ["s", "q"]),
+                     n_docs)
     n = F.col("n_docs").cast("double")
     mean = F.col("s") / n
     var = (F.col("q") - n * mean * mean) / (n - 1)

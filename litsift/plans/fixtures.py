@@ -69,14 +69,15 @@ SCORE_NEEDLES = [("logit", " the "), ("nb", "ing"), ("rf", "ed"), ("null", "~~~~
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
-    models = spark.createDataFrame(SCORE_NEEDLES, "model_name string, needle string")
+    models = F.array(*[F.struct(F.lit(m).alias("model_name"), F.lit(n).alias("needle"))
+                       for m, n in SCORE_NEEDLES])
     d = docs.where(F.length("text") > 0).select("doc_id", "text") \
-        .join(labels.select("doc_id", "quality"), "doc_id")
+        .join(labels.select("doc_id", "quality"), "doc_id") \
+        .select("*", F.inline(models))
     share = ((F.length("text") - F.length(F.replace(F.lower(F.col("text")), F.col("needle"),
                                                       F.lit(""))))
              * F.lit(1.0) / F.length("text"))
-    return d.crossJoin(F.broadcast(models)).select(
+    return d.select(
         "model_name", (F.lit(1) + F.col("doc_id") % 5).cast("int").alias("fold"),
         F.col("doc_id").cast("string").alias("pmid"),
         F.when(F.col("quality") == 1, F.lit("Positive")).otherwise(F.lit("Negative"))
