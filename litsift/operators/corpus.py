@@ -141,14 +141,14 @@ def labelled_articles(articles: DataFrame, index: DataFrame) -> DataFrame:
 def assemble_corpus(index: DataFrame, articles: DataFrame) -> DataFrame:
     """The post-fetch retrieval pipeline: semi-join cut, missing-abstract removal, label join.
 
-    ``articles`` is the article store; only records of indexed ids are used.
+    ``articles`` is the article store; only records of indexed ids are used.  The
+    reference also cuts the index to retrieved, non-missing ids before the label join;
+    the inner join already does that, so the index is joined once.  Missing-ness is a
+    per-pmid aggregate (map-side combined), so a pmid with very many records is safe.
     """
     fetched = retrieve_by_id(articles, index)
-    idx = index_retrieved(index, fetched)
-    missing = missing_abstracts(fetched)
-    clean = drop_missing(fetched, missing)
-    idx = drop_missing(idx, missing)
-    return labelled_articles(clean, idx)
+    clean = drop_missing(fetched, missing_abstracts(fetched))
+    return labelled_articles(clean, index)
 
 
 def coverage(index: DataFrame, articles: DataFrame) -> DataFrame:

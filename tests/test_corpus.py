@@ -53,3 +53,18 @@ def test_folds_near_equal(spark):
     df = spark.createDataFrame([(str(i),) for i in range(103)], "pmid string")
     sizes = [r["count"] for r in sampling.assign_folds(df, 5, 42).groupBy("fold").count().collect()]
     assert sorted(sizes) == [20, 20, 21, 21, 21]
+
+
+def test_check_inputs():
+    import pytest
+    corpus.check_inputs("1,2", "", "", "allergy", "3", "")
+    with pytest.raises(ValueError):
+        corpus.check_inputs("1,2", "", "", "", "3", "")
+
+
+def test_table_sink_round_trip(spark, tmp_path):
+    from litsift.sources.files import write_table
+    df = spark.createDataFrame([(100, 1.5), (200, 2.5)], "n_docs long, seconds double")
+    write_table(df, str(tmp_path / "log"))
+    back = spark.read.parquet(str(tmp_path / "log"))
+    assert sorted(map(tuple, back.collect())) == [(100, 1.5), (200, 2.5)]
