@@ -244,7 +244,15 @@ class LdaSpec:
         if n0 == 0 or n1 == 0:
             return _LinearScoreModel(np.zeros(dim), 30.0 if n1 else -30.0)
         pooled = ((n0 - 1) * c0 + (n1 - 1) * c1) / max(n - 2, 1)
-        w = _pinv(pooled) @ (m1 - m0)
+        # scale to unit within-class variance, drop directions with variance < tol^2
+        sd = np.sqrt(np.maximum(np.diag(pooled), 0.0))
+        keep = sd > 1e-12
+        inv_sd = np.where(keep, 1.0 / np.where(keep, sd, 1.0), 0.0)
+        scaled = pooled * np.outer(inv_sd, inv_sd)
+        evals, evecs = np.linalg.eigh(scaled)
+        good = evals > 1e-8
+        inv = (evecs[:, good] / evals[good]) @ evecs[:, good].T
+        w = inv_sd * (inv @ (inv_sd * (m1 - m0)))
         b = -0.5 * float((m1 + m0) @ w) + math.log(n1 / n0)
         return _LinearScoreModel(w, b)
 
