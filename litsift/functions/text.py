@@ -1,13 +1,14 @@
 """Text column expressions: tokenise, stop-word removal, stemming.
 
 All but stemming are JVM-side SQL expressions (whole-stage codegen). Stemming is an
-Arrow-batched pandas UDF with a per-worker memo, applied to token arrays in place,
-so it runs in the scan stage without a shuffle.
+Arrow UDF: per batch, tokens are dictionary-encoded in Arrow and only the distinct
+ones are stemmed in Python (memoised per worker); it runs in the scan stage, no shuffle.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,14 +54,28 @@ def tokenize(text: Column | str) -> Column:
 def remove_stopwords(tokens: Column | str, stop_words: list[str] | None = None) -> Column:
     """Drop stop words from a token array, keeping order and repeats (never array_except)."""
     col = F.col(tokens) if isinstance(tokens, str) else tokens
-    stop = F.array(*[F.lit(w) for w in (stop_words or STOP_WORDS)])
-    return F.filter(col, lambda t: ~F.array_contains(stop, t))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_tokens(tokens: pd.Series) -> pd.Series:
-    """Stem every token of every array in an Arrow batch (memoised per worker)."""
-    return tokens.map(lambda arr: None if arr is None else [_stem_word(t) for t in arr])
+    # isin with many literals is planned as a hash-set lookup (InSet)
+    words = list(stop_words or STOP_WORDS)
+    return F.filter(col, lambda t: ~t.isin(words))
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stem_tokens(tokens: pa.Array) -> pa.Array:
+    """Stem every token of every array in an Arrow batch.
+
+    The batch's tokens are dictionary-encoded in Arrow (C++), only the distinct tokens
+    of the batch go through the Python stemmer (memoised per worker), and the stems
+    are gathered back by index -- per-token work never runs in Python.
+    """
+    if isinstance(tokens, pa.ChunkedArray):
+        tokens = tokens.combine_chunks()
+    flat = tokens.flatten()
+    enc = pc.dictionary_encode(flat)
+    stems = pa.array([_stem_word(t) for t in enc.dictionary.to_pylist()], type=flat.type)
+    values = stems.take(enc.indices)
+    offsets = pc.subtract(tokens.offsets, tokens.offsets[0])
+    return pa.ListArray.from_arrays(offsets, values, type=tokens.type,
+                                    mask=tokens.is_null() if tokens.null_count else None)
 
 
 def stem_words(words: Column | str) -> Column:

@@ -79,10 +79,13 @@ class TermTable:
 
     def __init__(self, train: DataFrame, stem: bool = True, max_tokens: int = MAX_TOKENS,
                  alpha_only: bool = True):
-        self.docs = train.select("pmid", "label")
-        toks = doc_tokens(train, stem=stem)
-        # Tokenising is the expensive pass; every statistic reuses these counts.
-        self.counts = term_counts(toks).persist(StorageLevel.MEMORY_AND_DISK)
+        # Tokenising is the expensive pass: tokens (with the label) are cached once and
+        # every count, statistic and document total reads them.
+        toks = train.select("pmid", "label", analyze(F.col("abstract"), stem=stem)
+                            .alias("tokens")).persist(StorageLevel.MEMORY_AND_DISK)
+        self._toks = toks
+        self.docs = toks.select("pmid", "label")
+        self.counts = term_counts(toks.select("pmid", "tokens"))
         self.vocab = top_tokens(self.counts, max_tokens)
         self.vcounts = vocabulary_counts(self.counts, self.vocab)
         self.n_docs = self.docs.agg(F.count(F.lit(1)).alias("n_docs"))
@@ -96,7 +99,7 @@ class TermTable:
             F.sum(F.when(F.col("label") == 1.0, 0).otherwise(1)).alias("n0"))
 
     def unpersist(self) -> None:
-        self.counts.unpersist()
+        self._toks.unpersist()
 
     def labelled_tfidf(self) -> DataFrame:
         return self.tfidf.join(self.terms, "term").join(self.docs, "pmid")
