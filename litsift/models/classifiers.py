@@ -14,7 +14,8 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
+                                       LogisticRegression, MultilayerPerceptronClassifier,
                                        NaiveBayes, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -96,6 +97,36 @@ def rf_spec(num_trees: int = 1000) -> SparkSpec:
         maxMemoryInMB=1024))  # more nodes per pass over the data: fewer jobs per tree level
 
 
+# Older documented algorithms (optional; not in the default model list).
+
+def tree_spec() -> SparkSpec:
+    """Single decision tree."""
+    return SparkSpec("tree", lambda: DecisionTreeClassifier(
+        featuresCol="features", labelCol="label", maxDepth=5, seed=42))
+
+
+def bagging_spec(num_trees: int = 100) -> SparkSpec:
+    """Bagged trees: a forest that considers every feature at every split."""
+    return SparkSpec("bagging", lambda: RandomForestClassifier(
+        featuresCol="features", labelCol="label", numTrees=num_trees,
+        featureSubsetStrategy="all", seed=42, maxMemoryInMB=1024))
+
+
+class MlpSpec:
+    """Neural network: one hidden layer of ``hidden`` units, softmax output."""
+    name = "mlp"
+
+    def __init__(self, hidden: int = 10, max_iter: int = 100):
+        self.hidden, self.max_iter = hidden, max_iter
+
+    def fit(self, df: DataFrame) -> "_SparkModel":
+        dim = df.select(F.size(vector_to_array("features")).alias("d")).first()["d"]
+        mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol="label",
+                                             layers=[dim, self.hidden, 2],
+                                             maxIter=self.max_iter, seed=42)
+        return _SparkModel(mlp.fit(df))
+
+
 # ---------------------------------------------------------------- null model
 
 class _NullModel:
@@ -407,11 +438,15 @@ def registry(rf_trees: int = 1000) -> dict:
         "pls": PlsSpec(),
         "rf": rf_spec(rf_trees),
         "svm_linear": SvmSpec(),
+        "tree": tree_spec(),
+        "mlp": MlpSpec(),
+        "bagging": bagging_spec(),
     }
 
 
 DEFAULT_MODELS = ["xgboost", "ldm", "logit", "mr", "nb", "knn", "null", "pls", "rf",
                   "svm_linear"]
+OPTIONAL_MODELS = ["tree", "mlp", "bagging"]
 
 
 # ---------------------------------------------------------------- persistence
@@ -443,6 +478,10 @@ _SPARK_MODEL_CLASSES = {
     "GBTClassificationModel": "pyspark.ml.classification.GBTClassificationModel",
     "RandomForestClassificationModel":
         "pyspark.ml.classification.RandomForestClassificationModel",
+    "DecisionTreeClassificationModel":
+        "pyspark.ml.classification.DecisionTreeClassificationModel",
+    "MultilayerPerceptronClassificationModel":
+        "pyspark.ml.classification.MultilayerPerceptronClassificationModel",
     "LinearSVCModel": "pyspark.ml.classification.LinearSVCModel",
 }
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litsift.operators.prefix import global_row_number
-from litsift.operators.scalars import with_scalars
+from litsift.operators.scalars import checked_broadcast, with_scalars
 
 POSITIVE, NEGATIVE, TBD = 1, 0, 2
 POS_LABEL, NEG_LABEL = "Positive", "Negative"
@@ -75,14 +75,24 @@ def check_inputs(pos_ids: str = "", pos_query: str = "", neg_ids: str = "",
 # ---------------------------------------------------------------- retrieval
 
 def retrieve_by_id(articles: DataFrame, index: DataFrame) -> DataFrame:
-    """Articles whose pmid occurs in the index (semi join; one row per stored record)."""
-    return (articles.join(index.select("pmid"), "pmid", "left_semi")
+    """Articles whose pmid occurs in the index (semi join; one row per stored record).
+
+    The id list is the small side: it is broadcast after a size check, so the article
+    store is scanned once and never shuffled.
+    """
+    ids = checked_broadcast(index.select("pmid").distinct())
+    return (articles.join(ids, "pmid", "left_semi")
             .select("pmid", "year", "title", "abstract"))
 
 
 def index_retrieved(index: DataFrame, articles: DataFrame) -> DataFrame:
-    """Index rows whose pmid was retrieved."""
-    return index.join(articles.select("pmid"), "pmid", "left_semi")
+    """Index rows whose pmid was retrieved.
+
+    Retrieved ids are found from the article side against the (checked, broadcast) id
+    list; they are at most as many as the index, so they are broadcast back in turn.
+    """
+    got = retrieve_by_id(articles, index).select("pmid").distinct()
+    return index.join(checked_broadcast(got), "pmid", "left_semi")
 
 
 def batch_chunk_len(n: Column) -> Column:
@@ -128,13 +138,13 @@ def missing_abstracts(articles: DataFrame) -> DataFrame:
 
 
 def drop_missing(df: DataFrame, missing: DataFrame) -> DataFrame:
-    """Remove rows of missing-abstract pmids (anti join)."""
-    return df.join(missing, "pmid", "left_anti")
+    """Remove rows of missing-abstract pmids (anti join; missing ids broadcast if small)."""
+    return df.join(checked_broadcast(missing), "pmid", "left_anti")
 
 
 def labelled_articles(articles: DataFrame, index: DataFrame) -> DataFrame:
     """Articles joined to their class tags (inner, many-to-many allowed)."""
-    return articles.join(index.select("pmid", "class"), "pmid", "inner") \
+    return articles.join(checked_broadcast(index.select("pmid", "class")), "pmid", "inner") \
         .select("pmid", "year", "title", "abstract", "class")
 
 

@@ -18,3 +18,17 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
         v = None if row is None else row[f.name]
         cols.append(F.lit(v).cast(f.dataType).alias(f.name))
     return df.select("*", *cols)
+
+
+# Largest id list shipped to every executor (ids are short strings: tens of MB at most).
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged.
+
+    The count is one small job over the (small) side; beyond the bound the join falls
+    back to a shuffle join (and AQE may still convert it after measuring).
+    """
+    n = df.count()
+    return F.broadcast(df) if n <= max_rows else df
