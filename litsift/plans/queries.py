@@ -7,11 +7,11 @@ the output (and in the matching oracle SQL) so engines compare equal.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from litsift.functions.numeric import sprintf3
 from litsift.functions.text import analyze, remove_stopwords, tokenize
 from litsift.operators import corpus, evaluate, rank, sampling, terms
 from litsift.plans import fixtures as fx
@@ -45,6 +45,7 @@ class Ctx:
         self.spark = spark
         self.docs = fx.load(spark, sf_dir, "documents")
         self.labels = fx.load(spark, sf_dir, "labels")
+        self._labelled = None
 
     @property
     def articles(self):
@@ -56,7 +57,12 @@ class Ctx:
 
     @property
     def labelled(self):
-        return corpus.assemble_corpus(self.index, self.articles)
+        """The labelled corpus, assembled once per context and cached (train and test
+        splits, term tables and models all read it)."""
+        if self._labelled is None:
+            self._labelled = corpus.assemble_corpus(self.index, self.articles) \
+                .persist(StorageLevel.MEMORY_AND_DISK)
+        return self._labelled
 
     @property
     def train(self):

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from litsift.models import cv
-from litsift.models.classifiers import DEFAULT_MODELS, OPTIONAL_MODELS, registry
+from litsift.models.classifiers import DEFAULT_MODELS, OPTIONAL_MODELS
 from litsift.models.features import TfidfFeaturizer, add_tokens
 from litsift.operators import corpus, evaluate, project, rank, sampling
 from litsift.plans import fixtures as fx
