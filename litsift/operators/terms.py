@@ -64,7 +64,9 @@ def tfidf(vcounts: DataFrame, n_docs: DataFrame, key: str = "pmid") -> DataFrame
     w_doc = Window.partitionBy(key)
     df_t = doc_freq(vcounts, key)
     with_len = vcounts.withColumn("doc_len", F.sum("n").over(w_doc))
-    out = (with_scalars(with_len.join(df_t, "term"), n_docs)
+    # df_t has one row per vocabulary term (<= 500): broadcast, so a hot term never
+    # concentrates the document side in one task
+    out = (with_scalars(with_len.join(F.broadcast(df_t), "term"), n_docs)
            .withColumn("tf", F.col("n") / F.col("doc_len"))
            .withColumn("idf", F.log(F.lit(1.0) + F.col("n_docs") / F.col("df")))
            .withColumn("tfidf", F.col("tf") * F.col("idf")))
@@ -102,10 +104,10 @@ class TermTable:
         self._toks.unpersist()
 
     def labelled_tfidf(self) -> DataFrame:
-        return self.tfidf.join(self.terms, "term").join(self.docs, "pmid")
+        return self.tfidf.join(F.broadcast(self.terms), "term").join(self.docs, "pmid")
 
     def labelled_counts(self) -> DataFrame:
-        return self.vcounts.join(self.terms, "term").join(self.docs, "pmid")
+        return self.vcounts.join(F.broadcast(self.terms), "term").join(self.docs, "pmid")
 
 
 def alpha_terms(terms: DataFrame, col: str = "term") -> DataFrame:
