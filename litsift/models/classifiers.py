@@ -262,8 +262,9 @@ class _LinearScoreModel:
 class LdaSpec:
     """Linear discriminant analysis: class means, pooled covariance, class priors.
 
-    Log-odds of Positive = x'S^-1(m1 - m0) - (m1 + m0)'S^-1(m1 - m0)/2 + log(p1/p0),
-    with a pseudo-inverse for the (typically singular) text covariance.
+    Log-odds of Positive = x'S^-1(m1 - m0) - (m1 + m0)'S^-1(m1 - m0)/2 + log(p1/p0).
+    The pooled covariance is scaled to unit within-class variance and inverted on its
+    eigen-directions with variance above 1e-8 (text covariance is typically singular).
     """
     name = "ldm"
 
@@ -305,8 +306,9 @@ class PlsSpec:
     """Sparse PLS discriminant analysis: ``num_comp`` components, each using the
     ``predictor_prop`` share of predictors with the largest covariance weight.
 
-    Works on the centred cross-product statistics (Cov(X), Cov(X, y)) from one
-    distributed pass; components are extracted on the driver (500 x 500).
+    Works on the centred cross-product statistics (Cov(X), Cov(X, y)) from distributed
+    aggregates (``Summarizer``, ``Correlation``); components are extracted on the driver
+    from the 500 x 500 statistics.
     """
     name = "pls"
 

@@ -2,9 +2,10 @@
 
 The feature recipe is refitted per fold on the analysis rows only and shared by
 every model of that fold (v + 1 recipe fits instead of one per model and fold).
-Models of a fold are fitted concurrently from a small driver thread pool; each fit
-is itself a set of distributed Spark jobs.  Fold predictions are checkpointed into
-the session's checkpoint folder so the per-fold feature frames can be released.
+Folds are featurised concurrently and every (fold, model) fit runs from a driver
+thread pool; each fit is itself a set of distributed Spark jobs.  Fold predictions
+are checkpointed into the session's checkpoint folder so the per-fold feature frames
+can be released.
 """
 
 from __future__ import annotations

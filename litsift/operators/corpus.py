@@ -2,8 +2,10 @@
 
 Index rows are a bag ``(pmid: string, class: int)`` with class 1 = positive,
 0 = negative, 2 = to be determined (TBD).  Articles are ``(pmid, year, title,
-abstract)`` strings.  Every function is DataFrame -> DataFrame; joins are plain equi
-joins so AQE can turn a small id side into a broadcast after measuring it.
+abstract)`` strings.  Every function is DataFrame -> DataFrame.  Id lists are the
+small side of every join with the article store: they are counted and broadcast up
+to a bound (:func:`checked_broadcast`), so the article store is scanned once and
+never shuffled; beyond the bound the joins fall back to shuffle joins.
 """
 
 from __future__ import annotations

@@ -136,17 +136,25 @@ def _sens_rounds_to(tp: Column, p: Column, target_pct: int) -> Column:
     return (F.lit(1000) * tp > F.lit(lo) * p) & (F.lit(1000) * tp <= F.lit(hi) * p)
 
 
-def spec_at_sens(pred: DataFrame, group_col: str = "Model", target_pct: int = 95) -> DataFrame:
+def spec_at_sens(pred: DataFrame, group_col: str = "Model", target_pct: int = 95,
+                 rule: str = "round") -> DataFrame:
     """Best specificity among ROC thresholds whose sensitivity rounds to the target.
 
     A model with no such threshold is absent (as in the reference).  The end point
-    at -inf has sensitivity 1 and is included like any other point.
+    at -inf has sensitivity 1 and is included like any other point.  ``rule='at_least'``
+    takes thresholds with sensitivity >= target instead (every model then has one).
     """
     rc = roc_counts(pred, [group_col])
     lo = rc.select(group_col, "P", "N").distinct().select(
         group_col, F.col("P").alias("tp"), F.col("N").alias("fp"), "P", "N")
     pts = rc.select(group_col, "tp", "fp", "P", "N").unionByName(lo)
-    hit = pts.where(_sens_rounds_to(F.col("tp"), F.col("P"), target_pct))
+    if rule == "round":
+        cond = _sens_rounds_to(F.col("tp"), F.col("P"), target_pct)
+    elif rule == "at_least":
+        cond = F.lit(100) * F.col("tp") >= F.lit(target_pct) * F.col("P")
+    else:
+        raise ValueError(f"unknown rule {rule!r}")
+    hit = pts.where(cond)
     best = hit.groupBy(group_col).agg(F.max(1.0 - F.col("fp") / F.col("N")).alias("max_spec"))
     return best.withColumn("spec_label", sprintf3("Specificity = ", F.col("max_spec")))
 

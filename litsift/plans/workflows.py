@@ -166,7 +166,8 @@ def q_two_stage(spark, sf):
 
 def learning_curve(train: DataFrame, sizes: list[int], model: str = "logit", v: int = 5,
                    seed: int = 42) -> DataFrame:
-    """CV score and wall time by training-set size (balanced positional prefixes)."""
+    """CV score and wall time by training-set size (each class cut to its first ``s``
+    rows in id order, train part of the 80/20 positional split)."""
     rows = []
     for s in sizes:
         sub = sampling.prefix_split(train, "class", "pmid", size=s).where("split = 'train'") \

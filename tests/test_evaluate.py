@@ -59,3 +59,13 @@ def test_spec_at_sens_integer_rule(spark):
     r = evaluate.spec_at_sens(pred).first()
     assert r["max_spec"] == pytest.approx(1.0)
     assert r["spec_label"] == "Specificity = 1.000"
+
+
+def test_spec_at_sens_at_least_rule(spark):
+    rows = [("m", f"p{i}", "Positive", 1.0 - i / 100) for i in range(10)]
+    rows += [("m", f"n{i}", "Negative", 0.5 - i / 100) for i in range(10)]
+    pred = _pred(spark, rows).withColumnRenamed("g", "Model")
+    # 10 positives: sensitivity jumps 0.9 -> 1.0, never rounds to 0.95
+    assert evaluate.spec_at_sens(pred).count() == 0
+    r = evaluate.spec_at_sens(pred, rule="at_least").first()
+    assert r["max_spec"] == pytest.approx(1.0)
