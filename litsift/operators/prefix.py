@@ -22,6 +22,7 @@ folder) first: both reads then see the same partitions, also after a lost execut
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +37,23 @@ def _num_partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _materialize(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _materialize(ranged: DataFrame, source: DataFrame) -> DataFrame:
+    """Eagerly checkpoint ``ranged`` (a range repartition of ``source``).
+
+    ``source`` is cached for the duration: the range partitioner samples it in one job
+    and the shuffle reads it in the next, so without the cache it is computed twice.
+    The checkpoint is eager, so the cache can be released as soon as it is written.
+    """
+    ensure_checkpoint_dir(ranged.sparkSession)
+    lvl = source.storageLevel
+    already = lvl.useMemory or lvl.useDisk
+    if not already:  # never release a cache the caller owns
+        source.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return ranged.checkpoint(eager=True)
+    finally:
+        if not already:
+            source.unpersist()
 
 
 def global_row_number(df: DataFrame, order: list[Column], name: str = "row_number",
@@ -46,7 +61,7 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "row_numbe
     """Append ``name`` = 1..n following ``order`` (make the order total for stable output)."""
     n = _num_partitions(df, num_partitions)
     ranged = _materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-                          .withColumn("_mid", F.monotonically_increasing_id()))
+                          .withColumn("_mid", F.monotonically_increasing_id()), df)
     ranged = (ranged.withColumn("_pid", F.shiftright(F.col("_mid"), 33))
               .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(_LOW33))))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
@@ -70,7 +85,7 @@ def grouped_cumsum(df: DataFrame, group_cols: list[str], order_col: str,
     okey = F.col(order_col).asc() if ascending else F.col(order_col).desc()
     keys = [F.col(g) for g in group_cols] + [okey]
     ranged = _materialize(df.repartitionByRange(n, *keys)
-                          .withColumn("_pid", F.spark_partition_id()))
+                          .withColumn("_pid", F.spark_partition_id()), df)
     slice_keys = group_cols + ["_pid"]
     totals = ranged.groupBy(*slice_keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     w_slices = (Window.partitionBy(*group_cols).orderBy("_pid")
