@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litsift.operators.prefix import global_row_number
-from litsift.operators.scalars import checked_broadcast, with_scalars
+from litsift.operators.scalars import BROADCAST_MAX_ROWS, checked_broadcast, with_scalars
 
 POSITIVE, NEGATIVE, TBD = 1, 0, 2
 POS_LABEL, NEG_LABEL = "Positive", "Negative"
@@ -76,25 +76,38 @@ def check_inputs(pos_ids: str = "", pos_query: str = "", neg_ids: str = "",
 
 # ---------------------------------------------------------------- retrieval
 
-def retrieve_by_id(articles: DataFrame, index: DataFrame) -> DataFrame:
+def index_is_small(index: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+    """One count over the id list: can it (and everything derived from it) be broadcast?"""
+    return index.count() <= max_rows
+
+
+def _ids_side(df: DataFrame, small: bool | None) -> DataFrame:
+    if small is None:
+        return checked_broadcast(df)
+    return F.broadcast(df) if small else df
+
+
+def retrieve_by_id(articles: DataFrame, index: DataFrame, small: bool | None = None) -> DataFrame:
     """Articles whose pmid occurs in the index (semi join; one row per stored record).
 
-    The id list is the small side: it is broadcast after a size check, so the article
-    store is scanned once and never shuffled.
+    The id list is the small side: it is broadcast after a size check (``small``, or a
+    count when not given), so the article store is scanned once and never shuffled.
     """
-    ids = checked_broadcast(index.select("pmid").distinct())
+    ids = _ids_side(index.select("pmid").distinct(), small)
     return (articles.join(ids, "pmid", "left_semi")
             .select("pmid", "year", "title", "abstract"))
 
 
-def index_retrieved(index: DataFrame, articles: DataFrame) -> DataFrame:
+def index_retrieved(index: DataFrame, articles: DataFrame, small: bool | None = None) -> DataFrame:
     """Index rows whose pmid was retrieved.
 
     Retrieved ids are found from the article side against the (checked, broadcast) id
     list; they are at most as many as the index, so they are broadcast back in turn.
     """
-    got = retrieve_by_id(articles, index).select("pmid").distinct()
-    return index.join(checked_broadcast(got), "pmid", "left_semi")
+    if small is None:
+        small = index_is_small(index)
+    got = retrieve_by_id(articles, index, small).select("pmid").distinct()
+    return index.join(_ids_side(got, small), "pmid", "left_semi")
 
 
 def batch_chunk_len(n: Column) -> Column:
@@ -139,14 +152,18 @@ def missing_abstracts(articles: DataFrame) -> DataFrame:
             .where("_all_null").select("pmid"))
 
 
-def drop_missing(df: DataFrame, missing: DataFrame) -> DataFrame:
-    """Remove rows of missing-abstract pmids (anti join; missing ids broadcast if small)."""
-    return df.join(checked_broadcast(missing), "pmid", "left_anti")
+def drop_missing(df: DataFrame, missing: DataFrame, small: bool | None = None) -> DataFrame:
+    """Remove rows of missing-abstract pmids (anti join; missing ids broadcast if small).
+
+    Missing ids are a subset of the index, so the index's size check covers them.
+    """
+    return df.join(_ids_side(missing, small), "pmid", "left_anti")
 
 
-def labelled_articles(articles: DataFrame, index: DataFrame) -> DataFrame:
+def labelled_articles(articles: DataFrame, index: DataFrame,
+                      small: bool | None = None) -> DataFrame:
     """Articles joined to their class tags (inner, many-to-many allowed)."""
-    return articles.join(checked_broadcast(index.select("pmid", "class")), "pmid", "inner") \
+    return articles.join(_ids_side(index.select("pmid", "class"), small), "pmid", "inner") \
         .select("pmid", "year", "title", "abstract", "class")
 
 
@@ -158,9 +175,10 @@ def assemble_corpus(index: DataFrame, articles: DataFrame) -> DataFrame:
     the inner join already does that, so the index is joined once.  Missing-ness is a
     per-pmid aggregate (map-side combined), so a pmid with very many records is safe.
     """
-    fetched = retrieve_by_id(articles, index)
-    clean = drop_missing(fetched, missing_abstracts(fetched))
-    return labelled_articles(clean, index)
+    small = index_is_small(index)  # one count over the id list covers all three joins
+    fetched = retrieve_by_id(articles, index, small)
+    clean = drop_missing(fetched, missing_abstracts(fetched), small)
+    return labelled_articles(clean, index, small)
 
 
 def coverage(index: DataFrame, articles: DataFrame) -> DataFrame:
@@ -169,9 +187,10 @@ def coverage(index: DataFrame, articles: DataFrame) -> DataFrame:
     ``pct_with_abstract`` follows the reference: article rows with an abstract whose
     pmid is indexed, over index rows cut to retrieved ids, ``round(x, 4) * 100``.
     """
-    fetched = retrieve_by_id(articles, index)
-    idx = index_retrieved(index, fetched)
-    clean = drop_missing(fetched, missing_abstracts(fetched))
+    small = index_is_small(index)
+    fetched = retrieve_by_id(articles, index, small)
+    idx = index_retrieved(index, fetched, small)
+    clean = drop_missing(fetched, missing_abstracts(fetched), small)
     n_index = index.agg(F.count(F.lit(1)).alias("n_index"))
     n_idx = idx.agg(F.count(F.lit(1)).alias("n_retrieved"))
     n_clean = clean.join(idx.select("pmid").distinct(), "pmid", "left_semi") \

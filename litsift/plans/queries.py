@@ -144,8 +144,9 @@ def q_missing_abstracts(spark, sf):
 
 def q_drop_missing(spark, sf):
     c = Ctx(spark, sf)
-    fetched = corpus.retrieve_by_id(c.articles, c.index)
-    return corpus.drop_missing(fetched, corpus.missing_abstracts(fetched))
+    small = corpus.index_is_small(c.index)
+    fetched = corpus.retrieve_by_id(c.articles, c.index, small)
+    return corpus.drop_missing(fetched, corpus.missing_abstracts(fetched), small)
 
 
 def q_labelled_articles(spark, sf):
