@@ -46,13 +46,13 @@ def _fold_frames(folds: DataFrame, k: int):
     ana = folds.where(F.col("fold") != k)
     ass = folds.where(F.col("fold") == k)
     fz = TfidfFeaturizer().fit(ana)
-    n_ana = ana.count()
+    # row count and number of classes of the analysis rows in one small aggregate
+    st = ana.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("k")).first()
     fa = (fz.transform(ana).select("pmid", "class", "label", "features")
-          .repartition(_fit_partitions(n_ana)).persist(StorageLevel.MEMORY_AND_DISK))
+          .repartition(_fit_partitions(st["n"])).persist(StorageLevel.MEMORY_AND_DISK))
     fs = (fz.transform(ass).select("pmid", "class", "label", "features")
           .persist(StorageLevel.MEMORY_AND_DISK))
-    n_classes = fa.select("label").distinct().count()
-    return fa, fs, n_classes
+    return fa, fs, st["k"]
 
 
 def cross_validate(train: DataFrame, models: list[str] | None = None, v: int = 5,
