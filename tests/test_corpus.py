@@ -68,3 +68,20 @@ def test_table_sink_round_trip(spark, tmp_path):
     write_table(df, str(tmp_path / "log"))
     back = spark.read.parquet(str(tmp_path / "log"))
     assert sorted(map(tuple, back.collect())) == [(100, 1.5), (200, 2.5)]
+
+
+def test_term_search_and_empty_query(spark):
+    import pytest
+    from litsift.sources.search import term_search
+    arts = spark.createDataFrame([("5", "2001", "Mast cells", "IgE binding to mast cells"),
+                                  ("3", "2002", "Orbit", "A comet orbit"),
+                                  ("9", "2003", "Mast", None)],
+                                 "pmid string, year string, title string, abstract string")
+    got = [r["pmid"] for r in term_search(arts, "mast AND cells").collect()]
+    assert got == ["5"]
+    assert [r["pmid"] for r in term_search(arts, "mast", max_hits=1).collect()] == ["5"]
+    with pytest.raises(ValueError):
+        term_search(arts, "quasar", check_empty=True)
+    u = corpus.category_union(spark.createDataFrame([("1",)], "pmid string"),
+                              term_search(arts, "comet"))
+    assert sorted(r["pmid"] for r in u.collect()) == ["1", "3"]
