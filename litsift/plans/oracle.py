@@ -561,6 +561,10 @@ def oracle_sql() -> dict[str, str]:
                                            ORDER BY auc DESC, Model LIMIT 3)
                         UNION SELECT Model FROM (SELECT Model FROM ({_auc_by_model()})
                                                  ORDER BY auc ASC, Model LIMIT 3))""")
+    q["xml_articles"] = with_ctes(["articles"], "SELECT pmid, year, title, abstract FROM articles")
+    q["csv_articles"] = _with_curated("SELECT pmid, year, title, abstract, class FROM curated")
+    q["id_file_scan"] = with_ctes(["article_index"],
+                                  "SELECT pmid FROM article_index WHERE class = 1")
     q["ranked_list"] = with_ctes(["ranked"], "SELECT * FROM ranked")
     q["resort_list"] = with_ctes(["ranked"], """
         SELECT *, row_number() OVER (ORDER BY "Year of publication",

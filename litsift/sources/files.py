@@ -26,8 +26,11 @@ def read_article_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_article_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header; text kept verbatim (no whitespace trimming, quotes escaped)."""
     (df.select("pmid", "year", "title", "abstract", "class").write.mode("overwrite")
-     .option("header", True).option("escape", '"').csv(path))
+     .option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
 
 
 def write_table(df: DataFrame, path: str) -> None:

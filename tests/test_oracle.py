@@ -10,7 +10,8 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 SF = "/root/testdata/sf0.001"
 KEYS = ["id_list_parse", "batch_plan", "labelled_articles", "coverage", "assign_folds",
         "stratified_split", "tfidf", "term_rank_sum", "term_weights", "auc_by_fold",
-        "roc_curve", "spec_at_sens", "ranked_list", "unnest_metrics", "model_select"]
+        "roc_curve", "spec_at_sens", "ranked_list", "unnest_metrics", "model_select",
+        "xml_articles", "csv_articles"]
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="test data not present")
