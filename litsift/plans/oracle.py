@@ -565,6 +565,10 @@ def oracle_sql() -> dict[str, str]:
     q["csv_articles"] = _with_curated("SELECT pmid, year, title, abstract, class FROM curated")
     q["id_file_scan"] = with_ctes(["article_index"],
                                   "SELECT pmid FROM article_index WHERE class = 1")
+    q["model_null"] = with_ctes(["train", "test"], """
+        SELECT 'null' AS model_name, pmid, round(p, 6) AS p_positive,
+               CASE WHEN p >= 0.5 THEN 'Positive' ELSE 'Negative' END AS pred_class
+        FROM test CROSS JOIN (SELECT avg(label) AS p FROM train)""")
     q["ranked_list"] = with_ctes(["ranked"], "SELECT * FROM ranked")
     q["resort_list"] = with_ctes(["ranked"], """
         SELECT *, row_number() OVER (ORDER BY "Year of publication",

@@ -14,7 +14,7 @@ from litsift.models.classifiers import DEFAULT_MODELS, OPTIONAL_MODELS
 from litsift.models.features import TfidfFeaturizer, add_tokens
 from litsift.operators import corpus, evaluate, project, rank, sampling
 from litsift.plans import fixtures as fx
-from litsift.plans.queries import Ctx
+from litsift.plans.queries import Ctx, r6
 from litsift.sources import files, xml
 
 
@@ -60,7 +60,8 @@ def _model_query(name: str):
         tok = add_tokens(train.select("pmid", "abstract", "class", "label"))
         fz, fitted = cv.fit_models(tok, [name])
         pred = cv.predict(fz, fitted[name], test)
-        return pred.select(F.lit(name).alias("model_name"), "pmid", "p_positive", "pred_class")
+        return r6(pred.select(F.lit(name).alias("model_name"), "pmid", "p_positive",
+                              "pred_class"))
     q.__name__ = f"q_model_{name}"
     return q
 
