@@ -294,14 +294,14 @@ def _fold_metrics(src: str = "scored") -> str:
     UNPIVOT INCLUDE NULLS (estimate FOR metric IN (roc_auc, sens, spec, accuracy, precision))"""
 
 
-def _spec_at_sens() -> str:
+def _spec_at_sens(cond: str = "1000 * tp > 945 * P AND 1000 * tp <= 955 * P") -> str:
     rc = _ROC_COUNTS.format(g="Model", src="test_pred")
     return f"""
     SELECT Model, max_spec, printf('Specificity = %.3f', round(max_spec, 3)) AS spec_label FROM (
       SELECT Model, max(1.0 - CAST(fp AS DOUBLE) / N) AS max_spec FROM (
         SELECT Model, tp, fp, P, N FROM ({rc})
         UNION ALL SELECT DISTINCT Model, P, N, P, N FROM ({rc}))
-      WHERE 1000 * tp > 945 * P AND 1000 * tp <= 955 * P
+      WHERE {cond}
       GROUP BY Model)"""
 
 
@@ -549,6 +549,9 @@ def oracle_sql() -> dict[str, str]:
     q["roc_curve"] = with_ctes(["test_pred"], _roc("Model", "test_pred"))
     q["spec_at_sens"] = with_ctes(["test_pred"], f"""
         SELECT Model, round(max_spec, 6) AS max_spec, spec_label FROM ({_spec_at_sens()})""")
+    q["spec_at_least_sens"] = with_ctes(["test_pred"], f"""
+        SELECT Model, round(max_spec, 6) AS max_spec, spec_label
+        FROM ({_spec_at_sens("100 * tp >= 95 * P")})""")
     q["roc_markers"] = with_ctes(["test_pred"], f"""
         SELECT Model, round(max_spec, 6) AS x, y
         FROM ({_spec_at_sens()}) CROSS JOIN (SELECT 0.0::DOUBLE AS y UNION ALL SELECT 0.95::DOUBLE)""")

@@ -376,6 +376,11 @@ def q_spec_at_sens(spark, sf):
     return r6(evaluate.spec_at_sens(Ctx(spark, sf).test_predictions()))
 
 
+def q_spec_at_least_sens(spark, sf):
+    """Specificity at >= 95% sensitivity (the documented intent of the 95% rule)."""
+    return r6(evaluate.spec_at_sens(Ctx(spark, sf).test_predictions(), rule="at_least"))
+
+
 def q_roc_markers(spark, sf):
     best = evaluate.spec_at_sens(Ctx(spark, sf).test_predictions())
     return r6(evaluate.roc_markers(best))
@@ -454,6 +459,7 @@ SQL_QUERIES = {
     "auc_by_model": q_auc_by_model,
     "roc_curve": q_roc_curve,
     "spec_at_sens": q_spec_at_sens,
+    "spec_at_least_sens": q_spec_at_least_sens,
     "roc_markers": q_roc_markers,
     "model_summary": q_model_summary,
     "compare_models": q_compare_models,
