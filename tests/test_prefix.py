@@ -38,3 +38,20 @@ def test_grouped_row_number(spark):
         part = part.sort_values("rn")
         assert list(part.rn) == list(range(1, len(part) + 1))
         assert list(part.v) == sorted(part.v, reverse=True)
+
+
+def test_global_row_number_property(spark):
+    from hypothesis import given, settings, strategies as st
+
+    @settings(max_examples=5, deadline=None)
+    @given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 3)), min_size=1, max_size=60))
+    def check(rows):
+        data = [(i, a, b) for i, (a, b) in enumerate(rows)]
+        df = spark.createDataFrame(data, "id long, a long, b long")
+        out = global_row_number(df, [F.col("a"), F.col("b").desc(), F.col("id")],
+                                name="rn", num_partitions=3).toPandas()
+        assert sorted(out.rn) == list(range(1, len(data) + 1))
+        exp = [r[0] for r in sorted(data, key=lambda r: (r[1], -r[2], r[0]))]
+        assert list(out.sort_values("rn").id) == exp
+
+    check()
