@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
+from .decontam import op3_fm_decontam
 from .setsketch import op10_setsketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_fm_decontam": op3_fm_decontam,
     "op4_bpe": op4_bpe,
     "op10_setsketch": op10_setsketch,
 }
