@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op4_bpe
 from .decontam import op3_fm_decontam
 from .setsketch import op10_setsketch
+from .substring import op8_doubling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fm_decontam": op3_fm_decontam,
     "op4_bpe": op4_bpe,
+    "op8_doubling": op8_doubling,
     "op10_setsketch": op10_setsketch,
 }
 
