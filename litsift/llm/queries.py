@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op4_bpe
 from .decontam import op3_fm_decontam
 from .langid import op5_ppm_langid
+from .secretscan import op6_entropy_secrets
 from .setsketch import op10_setsketch
 from .substring import op8_doubling
 from .warc import op9_warc
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fm_decontam": op3_fm_decontam,
     "op4_bpe": op4_bpe,
     "op5_ppm_langid": op5_ppm_langid,
+    "op6_entropy_secrets": op6_entropy_secrets,
     "op8_doubling": op8_doubling,
     "op9_warc": op9_warc,
     "op10_setsketch": op10_setsketch,
