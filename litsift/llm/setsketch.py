@@ -7,10 +7,11 @@ A candidate's similarity is first estimated jointly from the counts of larger, s
 equal registers by maximum likelihood, then verified on the two full shingle sets.
 
 Texts with equal sets are one class from the start. In a bucket the members are compared
-with one pivot, not with one another; as long as a bucket holds several components it goes
-on with the next pivot, or with the pairs between its components once these are few. So a
-group of thousands of near copies costs a few comparisons a member, and no link between
-two members of a bucket is lost that would join two components.
+with one pivot, not with one another. Where a bucket then holds several components, members
+with so many shingles of their own that no link is possible go; the others go on with the
+next pivot, or with the pairs between components once these are few. So a group of thousands
+of near copies costs a few comparisons a member, and no link between two members of a bucket
+is lost that would join two components.
 
 Null and empty texts have no shingles and are linked with nothing. Rows of equal text are
 one class. A null id never names a component: its class takes the least id that is not
@@ -195,6 +196,46 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         "a", "b", "n_a", "n_b", "regs_a", "regs_b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components.
+
+    With ``comp``, the bucket's ``rows`` and its ``squares`` (of the components' sizes), its
+    largest component ``major`` and a ``pivot`` of that.
+    """
+    own = [c for c in ("key", "node", "n", "most") if c in members.columns]
+    known = members.select(own).join(labels, "node", "left").select(*own, F.coalesce("comp", "node").alias("comp"))
+    sizes = known.groupBy("key", "comp").agg(F.count("*").alias("size"), F.min("node").alias("first"))
+    several = sizes.groupBy("key").agg(
+        F.sum("size").alias("rows"), F.sum(F.col("size") * F.col("size")).alias("squares"),
+        F.max_by(F.struct("comp", "first"), F.struct("size", "comp")).alias("top")).filter("rows * rows > squares")
+    return known.join(several.select("key", "rows", "squares", F.col("top.comp").alias("major"),
+                                     F.col("top.first").alias("pivot")), "key")
+
+
+def _linkable(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, node, n, most) of the members that may have a link.
+
+    ``most`` is the number of a set's shingles that another member's set holds, too. No
+    intersection is larger, so a set with den * most < num * n has no link.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, "members", 1 << 20):
+                flat, offsets = common.raw(part.column("members"))
+                node = np.repeat(part.column("node").to_numpy(), np.diff(offsets) // 8)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node), pa.array(flat.copy().view(np.int64))], ["node", "shingle"])
+
+    own = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", "n", "members")
+    shingles = own.select("node", "members").mapInArrow(run, "node long, shingle long")
+    alone = shingles.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).filter(
+        "node = other").groupBy("node").agg(F.count("*").alias("alone"))
+    most = own.select("node", "n").distinct().join(alone, "node", "left").select(
+        "node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")).filter(
+        den * F.col("most") >= num * F.col("n"))
+    return members.select("key", "node").join(most, "node")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
@@ -218,40 +259,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     wanted = members.select("node").distinct().join(classes.select("node", "id", "n", "regs"), "node")
     sets = scratch.keep(_full_sets(source.join(wanted, "id").select("node", "n", "regs", "text"), width), "sets")
 
-    links = _verified(members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-                      .distinct(), sets, num, den)
-    links = scratch.keep(links, "links-0")
+    near = members.filter("node <> low")
+    links = scratch.keep(_verified(near.select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(),
+                                   sets, num, den), "links-0")
     labels = components(links, scratch, "labels-0")
-    still = members.filter("node <> low").select("key", "node")
+    still = _open(near.select("key", "node"), labels)
+    still = scratch.keep(_linkable(still, sets, num, den), "linkable")
     turn = 0
     while True:
         turn += 1
-        known = still.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        sizes = known.groupBy("key", "comp").agg(F.count("*").alias("size"), F.min("node").alias("first"))
-        open_ = sizes.groupBy("key").agg(
-            F.sum("size").alias("rows"), F.sum(F.col("size") * F.col("size")).alias("squares"),
-            F.max_by(F.struct("comp", "first"), F.struct("size", "comp")).alias("major")
-        ).filter("rows * rows > squares")
-        still = scratch.keep(
-            known.join(open_.select("key", "rows", "squares", "major.comp", "major.first").toDF(
-                "key", "rows", "squares", "major", "pivot"), "key"), f"open-{turn}")
-        total = still.agg(F.count("*"), F.sum((F.col("rows") - F.col("squares") / F.col("rows")) / 2)).first()
-        if not total[0]:
+        still = scratch.keep(_open(still, labels), f"open-{turn}")
+        size, pairs = still.agg(F.count("*"), F.sum((F.col("rows") - F.col("squares") / F.col("rows")) / 2)).first()
+        if not size:
             break
-        if total[1] <= PAIRS_PER_ROW * total[0]:
-            left = still.filter("comp <> major").select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-            right = still.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = left.join(right, "key").filter("comp_a <> comp_b").select(
-                F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        last = pairs <= PAIRS_PER_ROW * size
+        if last:
+            left = still.filter("comp <> major").select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"),
+                                                        F.col("n").alias("n_a"), F.col("most").alias("most_a"))
+            right = still.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"),
+                                 F.col("n").alias("n_b"), F.col("most").alias("most_b"))
+            test = left.join(right, "key").filter("comp_a <> comp_b").filter(
+                den * F.least("most_a", "most_b") >= num * (F.col("n_a") + F.col("n_b") - F.least("most_a", "most_b"))
+            ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         else:
-            pairs = still.filter("comp <> major").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        found = scratch.keep(_verified(pairs.distinct(), sets, num, den), f"links-{turn}")
+            test = still.filter("comp <> major").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        found = scratch.keep(_verified(test.distinct(), sets, num, den), f"links-{turn}")
         links = links.union(found)
         if found.limit(1).count():
             labels = components(links, scratch, f"labels-{turn}")
-        if total[1] <= PAIRS_PER_ROW * total[0]:
+        if last:
             break
-        still = still.filter("node <> pivot").select("key", "node")
+        still = still.filter("node <> pivot").select("key", "node", "n", "most")
 
     named = classes.select("node", "id").join(labels, "node", "left").select(
         "node", "id", F.coalesce("comp", "node").alias("comp"))
