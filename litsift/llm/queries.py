@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
 from .decontam import op3_fm_decontam
+from .fingerprints import op1_scaled_sketch
 from .langid import op5_ppm_langid
 from .secretscan import op6_entropy_secrets
 from .setsketch import op10_setsketch
@@ -15,6 +16,7 @@ from .substring import op8_doubling
 from .warc import op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_scaled_sketch": op1_scaled_sketch,
     "op3_fm_decontam": op3_fm_decontam,
     "op4_bpe": op4_bpe,
     "op5_ppm_langid": op5_ppm_langid,
