@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op4_bpe
 from .decontam import op3_fm_decontam
 from .fingerprints import op1_scaled_sketch
+from .htmltemplate import op2_template_text
 from .langid import op5_ppm_langid
 from .secretscan import op6_entropy_secrets
 from .setsketch import op10_setsketch
@@ -17,6 +18,7 @@ from .warc import op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_scaled_sketch": op1_scaled_sketch,
+    "op2_template_text": op2_template_text,
     "op3_fm_decontam": op3_fm_decontam,
     "op4_bpe": op4_bpe,
     "op5_ppm_langid": op5_ppm_langid,
