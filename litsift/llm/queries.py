@@ -11,6 +11,7 @@ from .decontam import op3_fm_decontam
 from .fingerprints import op1_scaled_sketch
 from .htmltemplate import op2_template_text
 from .langid import op5_ppm_langid
+from .quality import op7_weak_quality
 from .secretscan import op6_entropy_secrets
 from .setsketch import op10_setsketch
 from .substring import op8_doubling
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_ppm_langid": op5_ppm_langid,
     "op6_entropy_secrets": op6_entropy_secrets,
+    "op7_weak_quality": op7_weak_quality,
     "op8_doubling": op8_doubling,
     "op9_warc": op9_warc,
     "op10_setsketch": op10_setsketch,
