@@ -6,12 +6,13 @@ their maximum and are locality-sensitive: bands of equal register values give ca
 A candidate's similarity is first estimated jointly from the counts of larger, smaller and
 equal registers by maximum likelihood, then verified on the two full shingle sets.
 
-Texts with equal sets are one class from the start. In a bucket the members are compared
-with one pivot, not with one another. Where a bucket then holds several components, members
-with so many shingles of their own that no link is possible go; the others go on with the
-next pivot, or with the pairs between components once these are few. So a group of thousands
-of near copies costs a few comparisons a member, and no link between two members of a bucket
-is lost that would join two components.
+Texts with equal sets are one class from the start. In a bucket the members are first
+compared with one pivot, not with one another. Only where a bucket then holds several
+components, members with so many shingles of their own that no link is possible go, and
+the pairs between components that are left are compared in blocks of bounded size. So a
+group of thousands of near copies of one text costs a few comparisons a member, no pair of
+one component is compared or emitted, and no link between two members of a bucket is lost
+that would join two components.
 
 Null and empty texts have no shingles and are linked with nothing. Rows of equal text are
 one class. A null id never names a component: its class takes the least id that is not
@@ -38,8 +39,8 @@ REGISTERS, BAND = 125, 5
 BASE, RATE = 1.1, 20.0
 #: Standard errors that an estimate may lie below the threshold before its pair is dropped.
 MARGIN = 5.0
-#: Pairs between components that are compared at once, for each row of the open buckets.
-PAIRS_PER_ROW = 8
+#: Bytes of sets in one block of a bucket that is compared pair by pair.
+BLOCK_BYTES = 8 << 20
 _SHINGLE_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -181,11 +182,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 keep[keep] = estimate(regs[0][keep], regs[1][keep], n_a[keep], n_b[keep]) >= floor
                 for i in np.flatnonzero(keep):
                     a, b = (np.frombuffer(part.column(c)[i].as_py(), np.uint64) for c in ("set_a", "set_b"))
-                    if len(a) > len(b):
-                        a, b = b, a
-                    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                    common_n = int((b[at] == a).sum())
-                    keep[i] = den * common_n >= num * (len(a) + len(b) - common_n)
+                    keep[i] = _enough(a, b, num, den)
                 yield part.select(["a", "b"]).filter(pa.array(keep))
 
     def side(name: str) -> DataFrame:
@@ -197,19 +194,77 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components.
+    """(key, node, n, most, comp, blocks) of the buckets that hold several components.
 
-    With ``comp``, the bucket's ``rows`` and its ``squares`` (of the components' sizes), its
-    largest component ``major`` and a ``pivot`` of that.
+    ``blocks`` is how many parts of about BLOCK_BYTES a bucket's sets are compared in.
     """
-    own = [c for c in ("key", "node", "n", "most") if c in members.columns]
-    known = members.select(own).join(labels, "node", "left").select(*own, F.coalesce("comp", "node").alias("comp"))
-    sizes = known.groupBy("key", "comp").agg(F.count("*").alias("size"), F.min("node").alias("first"))
-    several = sizes.groupBy("key").agg(
-        F.sum("size").alias("rows"), F.sum(F.col("size") * F.col("size")).alias("squares"),
-        F.max_by(F.struct("comp", "first"), F.struct("size", "comp")).alias("top")).filter("rows * rows > squares")
-    return known.join(several.select("key", "rows", "squares", F.col("top.comp").alias("major"),
-                                     F.col("top.first").alias("pivot")), "key")
+    known = members.join(labels, "node", "left").select("key", "node", "n", "most",
+                                                        F.coalesce("comp", "node").alias("comp"))
+    several = known.groupBy("key").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"),
+        F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("long").alias("blocks")).filter("low < high")
+    return known.join(several.select("key", "blocks"), "key")
+
+
+def _joined(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between different components of a bucket, enough to join all that are linked.
+
+    A bucket's sets meet block by block, so no task holds more than two blocks. A pair that
+    shares several buckets is looked at in the first of its bands only.
+    """
+    at = num / den
+    floor = at - MARGIN * math.sqrt(at * (1 - at) / REGISTERS)
+
+    def run(table: pa.Table) -> pa.Table:
+        _, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        table = table.take(pa.array(first)).combine_chunks()
+        node, comp, n, most, block = (table.column(c).to_numpy() for c in ("node", "comp", "n", "most", "block"))
+        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
+        keys, key = band_keys(regs), table.column("key")[0].as_py()
+        two = table.column("low")[0].as_py() != table.column("high")[0].as_py()
+        root = {c: c for c in comp.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        out: list[tuple[int, int]] = []
+        for i in range(len(node)):
+            j = np.arange(i + 1, len(node))
+            shared = np.minimum(most[i], most[j])
+            j = j[(comp[j] != comp[i]) & ((block[j] != block[i]) | (not two))
+                  & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+                  & (den * shared >= num * (n[i] + n[j] - shared))]
+            same = keys[j] == keys[i]
+            j = j[keys[j, same.argmax(1)] == key] if len(j) else j
+            if not len(j):
+                continue
+            likely = estimate(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j],
+                              np.full(len(j), n[i]), n[j])
+            for k in j[np.argsort(-likely)][:int((likely >= floor).sum())].tolist():
+                a, b = find(int(comp[i])), find(int(comp[k]))
+                if a != b and _enough(sets[i], sets[k], num, den):
+                    root[a] = b
+                    out.append((int(node[i]), int(node[k])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    own = members.withColumn("block", F.expr("pmod(node, blocks)"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    own = own.select("key", "node", "n", "most", "comp", "block", F.least("block", "other").alias("low"),
+                     F.greatest("block", "other").alias("high"))
+    return own.join(sets.select("node", "regs", "members"), "node").groupBy("key", "low", "high").applyInArrow(
+        run, "a long, b long")
+
+
+def _enough(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """Whether den * |a & b| >= num * |a | b|, for sorted arrays."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int((b[at] == a).sum())
+    return den * both >= num * (len(a) + len(b) - both)
 
 
 def _linkable(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -263,33 +318,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     links = scratch.keep(_verified(near.select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(),
                                    sets, num, den), "links-0")
     labels = components(links, scratch, "labels-0")
-    still = _open(near.select("key", "node"), labels)
-    still = scratch.keep(_linkable(still, sets, num, den), "linkable")
-    turn = 0
-    while True:
-        turn += 1
-        still = scratch.keep(_open(still, labels), f"open-{turn}")
-        size, pairs = still.agg(F.count("*"), F.sum((F.col("rows") - F.col("squares") / F.col("rows")) / 2)).first()
-        if not size:
-            break
-        last = pairs <= PAIRS_PER_ROW * size
-        if last:
-            left = still.filter("comp <> major").select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"),
-                                                        F.col("n").alias("n_a"), F.col("most").alias("most_a"))
-            right = still.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"),
-                                 F.col("n").alias("n_b"), F.col("most").alias("most_b"))
-            test = left.join(right, "key").filter("comp_a <> comp_b").filter(
-                den * F.least("most_a", "most_b") >= num * (F.col("n_a") + F.col("n_b") - F.least("most_a", "most_b"))
-            ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        else:
-            test = still.filter("comp <> major").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        found = scratch.keep(_verified(test.distinct(), sets, num, den), f"links-{turn}")
-        links = links.union(found)
-        if found.limit(1).count():
-            labels = components(links, scratch, f"labels-{turn}")
-        if last:
-            break
-        still = still.filter("node <> pivot").select("key", "node", "n", "most")
+    known = near.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    several = known.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most")
+    still = _linkable(known.join(several, "key").select("key", "node"), sets, num, den)
+    still = scratch.keep(_open(still, labels), "open")
+    more = scratch.keep(_joined(still, sets, num, den), "links-1")
+    if more.limit(1).count():
+        labels = components(links.union(more), scratch, "labels-1")
 
     named = classes.select("node", "id").join(labels, "node", "left").select(
         "node", "id", F.coalesce("comp", "node").alias("comp"))
