@@ -337,12 +337,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     return out
 
 
-def keep_first(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component, or that have no component."""
-    found = near_duplicates(docs, width, num, den).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
-
-
 def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's set size and component at 85 of 100 shared three-word shingles."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 85, 100)
