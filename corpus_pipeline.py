@@ -9,7 +9,11 @@ from litsift.llm.common import Scratch
 
 #: (name, function); each takes (spark, docs, sf_dir). All but the last return the columns of documents.
 STAGES = [
-    ("encode", pipeline.encode),
+    ("language", pipeline.language),
+    ("near_dedup", pipeline.deduplicate),
+    ("decontaminate", pipeline.decontaminate),
+    ("secrets", pipeline.redact),
+    ("tokens", pipeline.encode),
 ]
 
 #: SQL can't express the stages (language models, sketches, a suffix index, merges); tests/llm has brute-force versions.
