@@ -16,7 +16,7 @@ that would join two components.
 
 Null and empty texts have no shingles and are linked with nothing. Rows of equal text are
 one class. A null id never names a component: its class takes the least id that is not
-null, and has a null component without one. Rows that repeat an id with other texts are
+null; without one it is linked with no other class and its component is null. Rows that repeat an id with other texts are
 separate texts under one id. Extra columns are ignored.
 """
 
