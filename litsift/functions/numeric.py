@@ -32,8 +32,20 @@ def r_round(x: Column | str, digits: int = 0) -> Column:
 
 
 def sprintf3(prefix: str, x: Column | str) -> Column:
-    """``sprintf("<prefix>%.3f", x)``, formatted from a value already rounded to 3 places."""
-    return F.format_string(prefix + "%.3f", F.round(_c(x), 3))
+    """C ``sprintf("<prefix>%.3f", x)``: the double's exact value, rounded half to even.
+
+    0.8125 and 0.0625 are exact halves and give 0.812 and 0.062; Java's own %.3f and round()
+    would go up. Which side of a half the thousandfold lies on is decided on two parts of
+    the double whose products with 1000 are exact.
+    """
+    x = _c(x).cast("double")
+    wide = x * F.lit(134217729.0)
+    high = wide - (wide - x)
+    low = x - high
+    floor = F.floor(x * 1000).cast("double")
+    rest = (high * 1000 - (floor + 0.5)) + low * 1000
+    up = (rest > 0) | ((rest == 0) & (floor % 2 == 1))
+    return F.format_string(prefix + "%.3f", (floor + F.when(up, 1.0).otherwise(0.0)) / 1000)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -33,13 +33,9 @@ def _specs(models: list[str], specs: dict | None) -> dict:
     return {m: reg[m] for m in models}
 
 
-def _fit_partitions(n_rows: int, rows_per_partition: int = 20_000) -> int:
-    """Partitions for an iterative fit: one per ``rows_per_partition`` rows (at least 1).
-
-    Iterative optimisers run one job per iteration; tiny partitions only add task
-    overhead, large data still gets one task per ~20k rows.
-    """
-    return max(1, -(-n_rows // rows_per_partition))
+def _fit_partitions(df: DataFrame) -> int:
+    """Partitions for an iterative fit: one for each core the session has."""
+    return max(1, df.sparkSession.sparkContext.defaultParallelism)
 
 
 def _fold_frames(folds: DataFrame, k: int):
@@ -49,7 +45,7 @@ def _fold_frames(folds: DataFrame, k: int):
     # row count and number of classes of the analysis rows in one small aggregate
     st = ana.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("k")).first()
     fa = (fz.transform(ana).select("pmid", "class", "label", "features")
-          .repartition(_fit_partitions(st["n"])).persist(StorageLevel.MEMORY_AND_DISK))
+          .repartition(_fit_partitions(ana)).persist(StorageLevel.MEMORY_AND_DISK))
     fs = (fz.transform(ass).select("pmid", "class", "label", "features")
           .persist(StorageLevel.MEMORY_AND_DISK))
     return fa, fs, st["k"]
@@ -117,7 +113,7 @@ def fit_models(train_tok: DataFrame, names: list[str], specs: dict | None = None
     chosen = _specs(names, specs)
     cached = train_tok.persist(StorageLevel.MEMORY_AND_DISK)
     fz = TfidfFeaturizer().fit(cached)
-    feats = (fz.transform(cached).repartition(_fit_partitions(cached.count()))
+    feats = (fz.transform(cached).repartition(_fit_partitions(cached))
              .persist(StorageLevel.MEMORY_AND_DISK))
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         fitted = dict(zip(names, pool.map(lambda n: chosen[n].fit(feats), names)))

@@ -2,10 +2,9 @@
 
 Index rows are a bag ``(pmid: string, class: int)`` with class 1 = positive,
 0 = negative, 2 = to be determined (TBD).  Articles are ``(pmid, year, title,
-abstract)`` strings.  Every function is DataFrame -> DataFrame.  Id lists are the
-small side of every join with the article store: they are counted and broadcast up
-to a bound (:func:`checked_broadcast`), so the article store is scanned once and
-never shuffled; beyond the bound the joins fall back to shuffle joins.
+abstract)`` strings.  Every function is DataFrame -> DataFrame.  How an id list is joined
+with the article store is left to Spark, which goes by measured bytes (broadcast, or a
+shuffle join with skewed partitions split).
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litsift.operators.prefix import global_row_number
-from litsift.operators.scalars import BROADCAST_MAX_ROWS, checked_broadcast, with_scalars
+from litsift.operators.scalars import with_scalars
 
 POSITIVE, NEGATIVE, TBD = 1, 0, 2
 POS_LABEL, NEG_LABEL = "Positive", "Negative"
@@ -76,38 +75,15 @@ def check_inputs(pos_ids: str = "", pos_query: str = "", neg_ids: str = "",
 
 # ---------------------------------------------------------------- retrieval
 
-def index_is_small(index: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """One count over the id list: can it (and everything derived from it) be broadcast?"""
-    return index.count() <= max_rows
-
-
-def _ids_side(df: DataFrame, small: bool | None) -> DataFrame:
-    if small is None:
-        return checked_broadcast(df)
-    return F.broadcast(df) if small else df
-
-
-def retrieve_by_id(articles: DataFrame, index: DataFrame, small: bool | None = None) -> DataFrame:
-    """Articles whose pmid occurs in the index (semi join; one row per stored record).
-
-    The id list is the small side: it is broadcast after a size check (``small``, or a
-    count when not given), so the article store is scanned once and never shuffled.
-    """
-    ids = _ids_side(index.select("pmid").distinct(), small)
-    return (articles.join(ids, "pmid", "left_semi")
+def retrieve_by_id(articles: DataFrame, index: DataFrame) -> DataFrame:
+    """Articles whose pmid occurs in the index (semi join; one row per stored record)."""
+    return (articles.join(index.select("pmid").distinct(), "pmid", "left_semi")
             .select("pmid", "year", "title", "abstract"))
 
 
-def index_retrieved(index: DataFrame, articles: DataFrame, small: bool | None = None) -> DataFrame:
-    """Index rows whose pmid was retrieved.
-
-    Retrieved ids are found from the article side against the (checked, broadcast) id
-    list; they are at most as many as the index, so they are broadcast back in turn.
-    """
-    if small is None:
-        small = index_is_small(index)
-    got = retrieve_by_id(articles, index, small).select("pmid").distinct()
-    return index.join(_ids_side(got, small), "pmid", "left_semi")
+def index_retrieved(index: DataFrame, articles: DataFrame) -> DataFrame:
+    """Index rows whose pmid was retrieved (only ids of the article store are read)."""
+    return index.join(articles.select("pmid").distinct(), "pmid", "left_semi")
 
 
 def batch_chunk_len(n: Column) -> Column:
@@ -120,7 +96,7 @@ def index_order(index: DataFrame) -> list[Column]:
     """Input order of the index: positives, negatives, TBD; numeric pmid inside."""
     cls_order = (F.when(F.col("class") == POSITIVE, 0)
                  .when(F.col("class") == NEGATIVE, 1).otherwise(2))
-    return [cls_order, F.col("pmid").cast("long"), F.col("pmid")]
+    return [cls_order, F.col("pmid").try_cast("long"), F.col("pmid")]
 
 
 def batch_plan(index: DataFrame) -> DataFrame:
@@ -133,7 +109,7 @@ def batch_plan(index: DataFrame) -> DataFrame:
     n = index.agg(F.count(F.lit(1)).alias("n"))
     numbered = global_row_number(
         index.withColumn("_o1", index_order(index)[0])
-             .withColumn("_o2", F.col("pmid").cast("long")),
+             .withColumn("_o2", F.col("pmid").try_cast("long")),
         [F.col("_o1"), F.col("_o2"), F.col("pmid")], name="rn")
     with_len = with_scalars(numbered, n.select(batch_chunk_len(F.col("n")).alias("len")))
     batched = with_len.withColumn("batch_id", F.floor((F.col("rn") - 1) / F.col("len")).cast("long"))
@@ -152,55 +128,51 @@ def missing_abstracts(articles: DataFrame) -> DataFrame:
             .where("_all_null").select("pmid"))
 
 
-def drop_missing(df: DataFrame, missing: DataFrame, small: bool | None = None) -> DataFrame:
-    """Remove rows of missing-abstract pmids (anti join; missing ids broadcast if small).
-
-    Missing ids are a subset of the index, so the index's size check covers them.
-    """
-    return df.join(_ids_side(missing, small), "pmid", "left_anti")
+def drop_missing(df: DataFrame, missing: DataFrame) -> DataFrame:
+    """Remove rows of missing-abstract pmids (anti join)."""
+    return df.join(missing, "pmid", "left_anti")
 
 
-def labelled_articles(articles: DataFrame, index: DataFrame,
-                      small: bool | None = None) -> DataFrame:
+def labelled_articles(articles: DataFrame, index: DataFrame) -> DataFrame:
     """Articles joined to their class tags (inner, many-to-many allowed)."""
-    return articles.join(_ids_side(index.select("pmid", "class"), small), "pmid", "inner") \
+    return articles.join(index.select("pmid", "class"), "pmid", "inner") \
         .select("pmid", "year", "title", "abstract", "class")
 
 
 def assemble_corpus(index: DataFrame, articles: DataFrame) -> DataFrame:
     """The post-fetch retrieval pipeline: semi-join cut, missing-abstract removal, label join.
 
-    ``articles`` is the article store; only records of indexed ids are used.  The
-    reference also cuts the index to retrieved, non-missing ids before the label join;
-    the inner join already does that, so the index is joined once.  Missing-ness is a
-    per-pmid aggregate (map-side combined), so a pmid with very many records is safe.
+    ``articles`` is the article store; only records of indexed ids are used.  The store is
+    read twice: once for the ids that have an abstract (a map-side combined aggregate, so
+    a pmid with very many records is safe), which cut the index, and once for the records.
+    The label join then drops records that are not indexed or have no abstract anywhere.
     """
-    small = index_is_small(index)  # one count over the id list covers all three joins
-    fetched = retrieve_by_id(articles, index, small)
-    clean = drop_missing(fetched, missing_abstracts(fetched), small)
-    return labelled_articles(clean, index, small)
+    with_abstract = articles.where(F.col("abstract").isNotNull()).select("pmid").distinct()
+    return labelled_articles(articles, index.join(with_abstract, "pmid", "left_semi"))
 
 
 def coverage(index: DataFrame, articles: DataFrame) -> DataFrame:
     """Retrieval coverage: % of (retrieved) index rows with an abstract, and % retrieved.
 
     ``pct_with_abstract`` follows the reference: article rows with an abstract whose
-    pmid is indexed, over index rows cut to retrieved ids, ``round(x, 4) * 100``.
+    pmid is indexed, over index rows cut to retrieved ids, ``round(x, 4) * 100``.  One
+    aggregate per id on either side, one join, one sum; a share of nothing is NULL.
     """
-    small = index_is_small(index)
-    fetched = retrieve_by_id(articles, index, small)
-    idx = index_retrieved(index, fetched, small)
-    clean = drop_missing(fetched, missing_abstracts(fetched), small)
-    n_index = index.agg(F.count(F.lit(1)).alias("n_index"))
-    n_idx = idx.agg(F.count(F.lit(1)).alias("n_retrieved"))
-    n_clean = clean.join(idx.select("pmid").distinct(), "pmid", "left_semi") \
-        .agg(F.count(F.lit(1)).alias("n_with_abstract"))
-    out = with_scalars(with_scalars(n_index, n_idx), n_clean)
-    return out.select(
-        "n_index", "n_retrieved", "n_with_abstract",
-        (F.bround(F.col("n_retrieved") / F.col("n_index"), 4) * 100).alias("pct_retrieved"),
-        (F.bround(F.col("n_with_abstract") / F.col("n_retrieved"), 4) * 100)
-        .alias("pct_with_abstract"))
+    stored = articles.groupBy("pmid").agg(F.count(F.lit(1)).alias("_records"),
+                                          F.bool_or(F.col("abstract").isNotNull()).alias("_has"))
+    listed = index.groupBy("pmid").agg(F.count(F.lit(1)).alias("_listed"))
+    both = listed.join(stored, "pmid", "left")
+    out = both.agg(
+        F.coalesce(F.sum("_listed"), F.lit(0)).alias("n_index"),
+        F.coalesce(F.sum(F.when(F.col("_records") > 0, F.col("_listed"))), F.lit(0)).alias("n_retrieved"),
+        F.coalesce(F.sum(F.when(F.col("_has"), F.col("_records"))), F.lit(0)).alias("n_with_abstract"))
+
+    def share(a: str, b: str) -> Column:
+        return F.bround(F.try_divide(F.col(a), F.col(b)), 4) * 100
+
+    return out.select("n_index", "n_retrieved", "n_with_abstract",
+                      share("n_retrieved", "n_index").alias("pct_retrieved"),
+                      share("n_with_abstract", "n_retrieved").alias("pct_with_abstract"))
 
 
 def class_counts(df: DataFrame, col: str = "class") -> DataFrame:
@@ -230,8 +202,11 @@ def split_data(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def year_filter(df: DataFrame, before: int = 2020) -> DataFrame:
-    """Keep rows published before ``before`` (applied to training sources only)."""
-    return df.where(F.col("year").cast("int") < before)
+    """Keep rows published before ``before`` (applied to training sources only).
+
+    A year that is no number is not before any.
+    """
+    return df.where(F.col("year").try_cast("int") < before)
 
 
 def recode_labels(train: DataFrame, held_out: DataFrame, yes: str = "yes") -> DataFrame:

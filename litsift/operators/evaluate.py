@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from litsift.functions.numeric import sprintf3
 from litsift.operators.prefix import grouped_cumsum
+from litsift.operators.scalars import with_group_values
 
 POS = "Positive"
 THRESHOLD = 0.5
@@ -85,6 +86,16 @@ def _score_counts(pred: DataFrame, group_cols: list[str]) -> DataFrame:
         F.sum(F.when(_is_pos(), 0).otherwise(1)).alias("n_neg"))
 
 
+def f_by_class(pred: DataFrame, group_cols: list[str]) -> DataFrame:
+    """F1 of either class taken as the event: (<groups>, class, f_score)."""
+    c = confusion_counts(pred, group_cols)
+    wrong = F.col("fp") + F.col("fn")
+    per_class = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("class"), _ratio(2 * F.col(hit), 2 * F.col(hit) + wrong).alias("f_score"))
+        for name, hit in ((POS, "tp"), ("Negative", "tn"))]))
+    return c.select(*group_cols, per_class.alias("_f")).select(*group_cols, "_f.class", "_f.f_score")
+
+
 def auc(pred: DataFrame, group_cols: list[str]) -> DataFrame:
     """Exact ROC AUC with ties (Mann-Whitney form) per group; NULL for a single-class group."""
     sc = _score_counts(pred, group_cols)
@@ -104,7 +115,7 @@ def roc_counts(pred: DataFrame, group_cols: list[str]) -> DataFrame:
     sc = _score_counts(pred, group_cols)
     cum = grouped_cumsum(sc, group_cols, "score", ["n_pos", "n_neg"], ascending=False)
     tot = sc.groupBy(*group_cols).agg(F.sum("n_pos").alias("P"), F.sum("n_neg").alias("N"))
-    return (cum.join(tot, group_cols)
+    return (with_group_values(cum, tot, group_cols)
             .select(*group_cols, F.col("score").alias("threshold"),
                     F.col("n_pos_cum").alias("tp"), F.col("n_neg_cum").alias("fp"), "P", "N")
             .where((F.col("P") > 0) & (F.col("N") > 0)))
@@ -129,11 +140,17 @@ def roc_curve(pred: DataFrame, group_cols: list[str]) -> DataFrame:
 
 
 def _sens_rounds_to(tp: Column, p: Column, target_pct: int) -> Column:
-    """round(tp / P, 2) == target / 100, decided on integers (a tie at x.xx5 rounds down,
-    as the nearest double of such a ratio lies below it)."""
+    """round(tp / P, 2) == target / 100, decided on integers.
+
+    Exact halves round to the even digit: 0.945 gives 0.94 and 0.955 gives 0.96, so for an
+    odd target neither end belongs to it, for an even one both do.
+    """
     lo = 10 * target_pct - 5
     hi = 10 * target_pct + 5
-    return (F.lit(1000) * tp > F.lit(lo) * p) & (F.lit(1000) * tp <= F.lit(hi) * p)
+    share = F.lit(1000) * tp
+    if target_pct % 2:
+        return (share > F.lit(lo) * p) & (share < F.lit(hi) * p)
+    return (share >= F.lit(lo) * p) & (share <= F.lit(hi) * p)
 
 
 def spec_at_sens(pred: DataFrame, group_col: str = "Model", target_pct: int = 95,
@@ -228,5 +245,5 @@ def compare_models(aucs: DataFrame, curves: DataFrame, n: int = 3,
     """ROC curves of the ``n`` best and ``n`` worst models by AUC (no ties; name breaks ties)."""
     top = aucs.orderBy(F.desc("auc"), F.asc(group_col)).limit(n).select(group_col)
     bottom = aucs.orderBy(F.asc("auc"), F.asc(group_col)).limit(n).select(group_col)
-    chosen = top.unionByName(bottom).distinct()
-    return curves.join(chosen, group_col, "left_semi")
+    chosen = [r[0] for r in top.unionByName(bottom).distinct().collect()]  # 2 n names at most
+    return curves.where(F.col(group_col).isin(chosen))

@@ -26,6 +26,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litsift.operators.scalars import with_group_values
+
 from litsift.session import ensure_checkpoint_dir
 
 _LOW33 = (1 << 33) - 1
@@ -114,6 +116,6 @@ def grouped_row_number(df: DataFrame, group_cols: list[str], order: list[Column]
     keys = [F.col(g) for g in group_cols] + list(order)
     numbered = global_row_number(df, keys, name="_grn", num_partitions=num_partitions)
     first = numbered.groupBy(*group_cols).agg(F.min("_grn").alias("_gmin"))
-    return (numbered.join(first, group_cols)
+    return (with_group_values(numbered, first, group_cols)
             .withColumn(name, F.col("_grn") - F.col("_gmin") + F.lit(1))
             .drop("_grn", "_gmin"))

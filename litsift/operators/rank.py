@@ -19,9 +19,11 @@ LINK_SUFFIX = "</a>"
 
 
 def article_link(pmid: Column, title: Column) -> Column:
-    """HTML anchor to the article page with the title as text (title is not escaped)."""
-    return F.concat(F.lit(LINK_PREFIX), pmid, F.lit(LINK_MIDDLE), F.coalesce(title, F.lit("NA")),
-                    F.lit(LINK_SUFFIX))
+    """HTML anchor to the article page with the title, escaped, as text."""
+    text = F.coalesce(title, F.lit("NA"))
+    for char, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(char), F.lit(reference))
+    return F.concat(F.lit(LINK_PREFIX), pmid, F.lit(LINK_MIDDLE), text, F.lit(LINK_SUFFIX))
 
 
 def ranked_list(pred: DataFrame, negative_order: str = "p_positive") -> DataFrame:
@@ -37,7 +39,7 @@ def ranked_list(pred: DataFrame, negative_order: str = "p_positive") -> DataFram
     key = F.when(is_pos, F.col("p_positive")).otherwise(neg_key)
     df = pred.select("pmid", "year", "title", "pred_class", "p_positive",
                      F.when(is_pos, 0).otherwise(1).alias("_blk"), key.alias("_key"),
-                     F.col("pmid").cast("long").alias("_pnum"))
+                     F.col("pmid").try_cast("long").alias("_pnum"))
     numbered = global_row_number(
         df, [F.col("_blk").asc(), F.col("_key").desc(), F.col("_pnum").asc(),
              F.col("pmid").asc()], name="_rank")
@@ -49,12 +51,16 @@ def ranked_list(pred: DataFrame, negative_order: str = "p_positive") -> DataFram
         F.col("pmid").alias(COL_PMID))
 
 
-def resort_list(ranked: DataFrame, label: str, by: list[str]) -> DataFrame:
-    """One class of the list re-sorted by display columns (e.g. year then rank).
+def resort_list(ranked: DataFrame, by: list[str | tuple[str, bool]],
+                label: str | None = None) -> DataFrame:
+    """The list re-sorted by display columns, one class or both (positives first).
 
-    Adds ``position`` (1..n in the new order); ``by`` names ranked-list columns, and the
-    rank is always the last tie-breaker.
+    ``by`` names columns, each with an optional "descending" flag; the rank is always the
+    last tie-breaker. Adds ``position`` (1..n in the new order).
     """
-    keys = [F.col(c) for c in by] + [F.col(COL_RANK)]
-    sub = ranked.where(F.col(COL_LABEL) == label)
-    return global_row_number(sub, keys, name="position")
+    sub = ranked if label is None else ranked.where(F.col(COL_LABEL) == label)
+    keys = [F.when(F.col(COL_LABEL) == "Positive", 0).otherwise(1).asc()]
+    for key in by:
+        name, down = key if isinstance(key, tuple) else (key, False)
+        keys.append(F.col(name).desc_nulls_last() if down else F.col(name).asc_nulls_last())
+    return global_row_number(sub, [*keys, F.col(COL_RANK).asc()], name="position")

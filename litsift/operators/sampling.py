@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litsift.operators.prefix import global_row_number, grouped_row_number
-from litsift.operators.scalars import with_scalars
+from litsift.operators.scalars import with_group_values, with_scalars
 
 
 def seeded_hash(key: Column | str, seed: int) -> Column:
@@ -51,7 +51,7 @@ def stratified_split(df: DataFrame, strata: str = "class", prop: float = 0.8,
     numer = int(round(prop * 1000))
     ranked = grouped_row_number(df.withColumn("_h", seeded_hash(key, seed)), [strata],
                                 [F.col("_h"), F.col(key)], name="_rk")
-    sized = ranked.join(_class_sizes(df, strata), strata)
+    sized = with_group_values(ranked, _class_sizes(df, strata), [strata])
     cut = F.floor(F.col("_n_class") * numer / 1000)
     return (sized.withColumn(out, F.when(F.col("_rk") <= cut, F.lit("train"))
                              .otherwise(F.lit("test")))
@@ -62,18 +62,17 @@ def prefix_split(df: DataFrame, strata: str = "class", order_key: str = "pmid",
                  size: int | None = None, out: str = "split") -> DataFrame:
     """Positional 80/20 split of each class's ordered list, cut to its first ``size`` rows.
 
-    Follows the reference's index arithmetic: rows 1..floor(0.8 s) train, the next
-    floor(0.2 s) rows test; when 0.8 s is not whole the last row of the prefix is left
-    out.  ``size=None`` uses each class's whole list.
+    Rows 1..floor(0.8 s) train, the others of the prefix test. (The reference's index
+    arithmetic leaves the last row out when 0.8 s is not whole; here it is a test row.)
+    ``size=None`` uses each class's whole list.
     """
-    ranked = grouped_row_number(df, [strata], [F.col(order_key).cast("long"),
+    ranked = grouped_row_number(df, [strata], [F.col(order_key).try_cast("long"),
                                                F.col(order_key)], name="_rk")
-    sized = ranked.join(_class_sizes(df, strata), strata)
+    sized = with_group_values(ranked, _class_sizes(df, strata), [strata])
     s = F.col("_n_class") if size is None else F.least(F.col("_n_class"), F.lit(size))
     n_train = F.floor(s * 4 / 5)
-    n_test = F.floor(s / 5)
     role = (F.when(F.col("_rk") <= n_train, F.lit("train"))
-            .when(F.col("_rk") <= n_train + n_test, F.lit("test")))
+            .when(F.col("_rk") <= s, F.lit("test")))
     return (sized.withColumn(out, role).where(F.col(out).isNotNull())
             .drop("_rk", "_n_class"))
 
@@ -107,6 +106,6 @@ def head_per_class(df: DataFrame, n: int = 100, strata: str = "class",
     ``row_number() <= n`` with a small ``n`` lets Spark insert a per-partition group
     limit before the shuffle, so a hot class ships at most ``n`` rows per map task.
     """
-    w = Window.partitionBy(strata).orderBy(F.col(order_key).cast("long"), F.col(order_key))
+    w = Window.partitionBy(strata).orderBy(F.col(order_key).try_cast("long"), F.col(order_key))
     return (df.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= n)
             .drop("_rk"))

@@ -20,15 +20,30 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.select("*", *cols)
 
 
-# Largest id list shipped to every executor (ids are short strings: tens of MB at most).
-BROADCAST_MAX_ROWS = 2_000_000
+# Groups whose values enter a plan as constants; a table of more groups is joined.
+MAX_GROUPS = 256
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged.
+def with_group_values(df: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach a small per-group table (one row per class, model, fold) to every row.
 
-    The count is one small job over the (small) side; beyond the bound the join falls
-    back to a shuffle join (and AQE may still convert it after measuring).
+    Its values enter the plan as constants, so the rows of ``df`` are not shuffled on a
+    key of a few values. Only a table of more than ``MAX_GROUPS`` groups, whose keys
+    spread the rows, is joined. Every group of ``df`` must be in ``per_group``.
     """
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    rows = per_group.limit(MAX_GROUPS + 1).collect()
+    if len(rows) > MAX_GROUPS:
+        return df.join(per_group, keys)
+    kinds = {f.name: f.dataType for f in per_group.schema.fields}
+    out = []
+    for name in per_group.columns:
+        if name in keys:
+            continue
+        value = F.lit(None).cast(kinds[name])
+        for row in rows:
+            same = F.lit(True)
+            for k in keys:
+                same = same & F.col(k).eqNullSafe(F.lit(row[k]).cast(kinds[k]))
+            value = F.when(same, F.lit(row[name]).cast(kinds[name])).otherwise(value)
+        out.append(value.alias(name))
+    return df.select("*", *out)

@@ -125,8 +125,8 @@ def class_term_means(lcounts: DataFrame, terms: DataFrame, class_sizes: DataFram
         F.sum(F.when(F.col("label") == 1.0, 0).otherwise(F.col(value))).alias("s0"))
     return (with_scalars(terms.select("term").join(sums, "term", "left"), class_sizes)
             .select("term",
-                    (F.coalesce(F.col("s1"), F.lit(0)) / F.col("n1")).alias("mean_pos"),
-                    (F.coalesce(F.col("s0"), F.lit(0)) / F.col("n0")).alias("mean_neg")))
+                    F.try_divide(F.coalesce(F.col("s1"), F.lit(0)), F.col("n1")).alias("mean_pos"),
+                    F.try_divide(F.coalesce(F.col("s0"), F.lit(0)), F.col("n0")).alias("mean_neg")))
 
 
 def fold_change(means: DataFrame) -> DataFrame:
@@ -265,10 +265,11 @@ def welch_terms(ltfidf: DataFrame, terms: DataFrame, class_sizes: DataFrame,
     b = with_scalars(terms.select("term").join(s, "term", "left")
                      .na.fill(0.0, ["s1", "q1", "s0", "q0"]), class_sizes)
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
-    m1, m0 = F.col("s1") / n1, F.col("s0") / n0
-    v1 = (F.col("q1") - n1 * m1 * m1) / (n1 - 1)
-    v0 = (F.col("q0") - n0 * m0 * m0) / (n0 - 1)
-    se2 = v1 / n1 + v0 / n0
+    m1, m0 = F.try_divide(F.col("s1"), n1), F.try_divide(F.col("s0"), n0)
+    # a class of one document has no variance: everything but the means is NULL then
+    v1 = F.try_divide(F.col("q1") - n1 * m1 * m1, n1 - 1)
+    v0 = F.try_divide(F.col("q0") - n0 * m0 * m0, n0 - 1)
+    se2 = F.try_divide(v1, n1) + F.try_divide(v0, n0)
     t = F.when(se2 > 1e-18, (m1 - m0) / F.sqrt(se2))
     dfw = F.when(se2 > 1e-18, se2 * se2 / ((v1 / n1) ** 2 / (n1 - 1) + (v0 / n0) ** 2 / (n0 - 1)))
     out = b.select("term", m1.alias("mean_pos"), m0.alias("mean_neg"), t.alias("t"),

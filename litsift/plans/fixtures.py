@@ -11,8 +11,8 @@ jobs' work.  The reference reads id lists and fetched article records; here
   quality, unlabelled ones and every 5th id are to be determined; ids that cannot be
   retrieved (non-English and ``doc_id + 10000000``) are mixed in.
 * ``truth``          (pmid, class): the true class of the held-out labelled ids.
-* ``scored``         model-free scores (substring shares) with ties, per pseudo model
-  and fold, for the evaluation operators.
+* ``scored``         scores in [0, 1] of every labelled document per pseudo model and fold:
+  a weighted mean of its class and a hash, in steps, so there are ties.
 * ``id_text``        free-text id boxes (ids joined by ", " or newline) per source and
   id block.
 The SQL versions (DuckDB dialect) live in :mod:`litsift.plans.oracle`.
@@ -20,7 +20,7 @@ The SQL versions (DuckDB dialect) live in :mod:`litsift.plans.oracle`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ["documents", "labels"]
@@ -32,7 +32,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def articles(docs: DataFrame) -> DataFrame:
     en = docs.where(F.col("lang") == "en").select("doc_id", "text")
-    title = F.translate(F.substring("text", 1, 60), "\n", " ")
+    title = F.substring_index("text", "\n", 1)
     year = (F.lit(2000) + F.col("doc_id") % 25).cast("string")
     base = en.select(F.col("doc_id").cast("string").alias("pmid"), year.alias("year"),
                      title.alias("title"),
@@ -64,25 +64,36 @@ def truth(labels: DataFrame) -> DataFrame:
         .alias("class"))
 
 
-# Pseudo models and the substring whose share of the text is their score.
-SCORE_NEEDLES = [("logit", " the "), ("nb", "ing"), ("rf", "ed"), ("null", "~~~~")]
+# Pseudo models with the weight (percent) of the true class in their score and
+# the number of steps their scores have. The last scores every document alike.
+SCORE_MODELS = [("logit", 45, 1000), ("nb", 30, 1000), ("rf", 55, 100), ("xgboost", 40, 1000),
+                ("svm_linear", 25, 1000), ("knn", 20, 5), ("pls", 15, 1000), ("ldm", 35, 50),
+                ("mr", 10, 1000), ("null", 0, 1)]
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    models = F.array(*[F.struct(F.lit(m).alias("model_name"), F.lit(n).alias("needle"))
-                       for m, n in SCORE_NEEDLES])
-    d = docs.where(F.length("text") > 0).select("doc_id", "text") \
-        .join(labels.select("doc_id", "quality"), "doc_id") \
-        .select("*", F.inline(models))
-    share = ((F.length("text") - F.length(F.replace(F.lower(F.col("text")), F.col("needle"),
-                                                      F.lit(""))))
-             * F.lit(1.0) / F.length("text"))
+def _draw(*parts) -> Column:
+    """0..65535 from a hash, standing in for a model's noise."""
+    return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 4), 16, 10).cast("long")
+
+
+def scored(labels: DataFrame) -> DataFrame:
+    models = F.array(*[F.struct(F.lit(m).alias("model_name"), F.lit(w).cast("long").alias("w"),
+                                F.lit(n).cast("long").alias("steps")) for m, w, n in SCORE_MODELS])
+    d = labels.select("doc_id", "quality").select("*", F.inline(models))
+    d = d.withColumn("noise", _draw(F.col("doc_id").cast("string"), F.lit(":"), F.col("model_name")))
+    step = F.expr("((w * quality * 65535 + (100 - w) * noise) * steps) div 6553500")
     return d.select(
         "model_name", (F.lit(1) + F.col("doc_id") % 5).cast("int").alias("fold"),
         F.col("doc_id").cast("string").alias("pmid"),
         F.when(F.col("quality") == 1, F.lit("Positive")).otherwise(F.lit("Negative"))
         .alias("class"),
-        F.round(share, 4).alias("p_positive"))
+        (step / F.col("steps")).alias("p_positive"))
+
+
+def rank_scores(test: DataFrame) -> DataFrame:
+    """(pmid, p_positive) for every row to be ranked, in steps of 0.0001."""
+    noise = _draw(F.col("pmid"), F.lit(":rank")) * F.lit(10000)
+    return test.select("pmid", (F.shiftright(noise, 16) / F.lit(10000.0)).alias("p_positive"))
 
 
 def id_text(docs: DataFrame) -> DataFrame:

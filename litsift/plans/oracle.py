@@ -8,25 +8,26 @@ rounded to 6 places like the Spark side.
 from __future__ import annotations
 
 from litsift.functions.text import STOP_WORDS, TOKEN_PATTERN, sql_string_list
-from litsift.plans.fixtures import SCORE_NEEDLES
-from litsift.plans.queries import QUERY_CATEGORY_TERMS, RANK_SCALE, RANKED_MODEL, SEARCH_QUERY
-from litsift.sources.search import parse_query
+from litsift.operators import rank
+from litsift.plans.fixtures import SCORE_MODELS
+from litsift.plans.queries import SEARCH_RETMAX
 
 _STOP = "[" + sql_string_list(STOP_WORDS) + "]"
 _PAT = TOKEN_PATTERN.replace("'", "''")
-_NEEDLES = " UNION ALL ".join(f"SELECT '{m}' AS model_name, '{n}' AS needle"
-                              for m, n in SCORE_NEEDLES)
+_MODELS = " UNION ALL ".join(f"SELECT '{m}' AS model_name, {w} AS w, {n} AS steps" for m, w, n in SCORE_MODELS)
+#: The terms that SEARCH_QUERY and QUERY_CATEGORY_TERMS stand for.
+SEARCH_TERMS, CATEGORY_TERMS = ["the", "ing"], ["with", "from"]
 
 # name -> (dependencies, body)
 _CTES: dict[str, tuple[list[str], str]] = {
     "articles": ([], """
         SELECT CAST(doc_id AS VARCHAR) AS pmid, CAST(2000 + doc_id % 25 AS VARCHAR) AS year,
-               replace(substr(text, 1, 60), chr(10), ' ') AS title,
+               split_part(text, chr(10), 1) AS title,
                CASE WHEN doc_id % 17 = 0 THEN NULL ELSE text END AS abstract
         FROM documents WHERE lang = 'en'
         UNION ALL
         SELECT CAST(doc_id AS VARCHAR), CAST(2000 + doc_id % 25 AS VARCHAR),
-               replace(substr(text, 1, 60), chr(10), ' '), NULL
+               split_part(text, chr(10), 1), NULL
         FROM documents WHERE lang = 'en' AND doc_id % 29 = 0"""),
     "article_index": ([], """
         SELECT CAST(d.doc_id AS VARCHAR) AS pmid,
@@ -41,14 +42,13 @@ _CTES: dict[str, tuple[list[str], str]] = {
                CASE WHEN quality = 1 THEN 'Positive' ELSE 'Negative' END AS class
         FROM labels WHERE doc_id % 5 = 0"""),
     "scored": ([], f"""
-        SELECT m.model_name, CAST(1 + d.doc_id % 5 AS INTEGER) AS fold,
-               CAST(d.doc_id AS VARCHAR) AS pmid,
-               CASE WHEN l.quality = 1 THEN 'Positive' ELSE 'Negative' END AS class,
-               round(CAST(length(d.text) - length(replace(lower(d.text), m.needle, ''))
-                          AS DOUBLE) / length(d.text), 4) AS p_positive
-        FROM documents d JOIN labels l ON d.doc_id = l.doc_id
-        CROSS JOIN ({_NEEDLES}) m
-        WHERE length(d.text) > 0"""),
+        SELECT model_name, CAST(1 + doc_id % 5 AS INTEGER) AS fold, CAST(doc_id AS VARCHAR) AS pmid,
+               CASE WHEN quality = 1 THEN 'Positive' ELSE 'Negative' END AS class,
+               CAST(((w * CAST(quality AS BIGINT) * 65535 + (100 - w) * noise) * steps) // 6553500 AS DOUBLE)
+                 / steps AS p_positive
+        FROM (SELECT l.doc_id, l.quality, m.model_name, m.w, m.steps,
+                     CAST('0x' || substr(md5(concat(l.doc_id, ':', m.model_name)), 1, 4) AS BIGINT) AS noise
+              FROM labels l CROSS JOIN ({_MODELS}) m)"""),
     "fetched": (["articles", "article_index"], """
         SELECT pmid, year, title, abstract FROM articles
         WHERE pmid IN (SELECT pmid FROM article_index)"""),
@@ -160,20 +160,22 @@ _CTES: dict[str, tuple[list[str], str]] = {
         SELECT s.model_name, s.fold, s.pmid, s.p_positive, t.class,
                CASE s.model_name {model_case} ELSE s.model_name END AS Model
         FROM scored s JOIN truth t ON s.pmid = t.pmid"""),
-    "ranked_in": (["test", "scored"], f"""
-        SELECT t.pmid, t.year, t.title, p.p_positive,
-               CASE WHEN p.p_positive >= 0.5 THEN 'Positive' ELSE 'Negative' END AS pred_class
-        FROM test t JOIN (SELECT pmid, least(1.0, round(p_positive * {RANK_SCALE}, 4)) AS p_positive
-                          FROM scored WHERE model_name = '{RANKED_MODEL}') p
-          ON t.pmid = p.pmid"""),
+    "ranked_in": (["test"], """
+        SELECT pmid, year, title, p_positive,
+               CASE WHEN p_positive >= 0.5 THEN 'Positive' ELSE 'Negative' END AS pred_class
+        FROM (SELECT pmid, year, title,
+                     CAST((CAST('0x' || substr(md5(concat(pmid, ':rank')), 1, 4) AS BIGINT) * 10000) >> 16
+                          AS DOUBLE) / 10000.0 AS p_positive
+              FROM test)"""),
     "ranked": (["ranked_in"], """
-        SELECT concat('<a href="http://www.ncbi.nlm.nih.gov/pubmed/', pmid, '", target="_blank">',
-                      coalesce(title, 'NA'), '</a>') AS "Article",
-               year AS "Year of publication", pred_class AS "Label",
+        SELECT concat('{link_prefix}', pmid, '{link_middle}',
+                      replace(replace(replace(replace(coalesce(title, 'NA'), '&', '&amp;'), '<', '&lt;'),
+                                      '>', '&gt;'), '"', '&quot;'), '{link_suffix}') AS "{col_article}",
+               year AS "{col_year}", pred_class AS "{col_label}",
                row_number() OVER (ORDER BY CASE WHEN pred_class = 'Positive' THEN 0 ELSE 1 END,
                                   p_positive DESC, CAST(pmid AS BIGINT), pmid)
-                 AS "Rank of article (ordered by probability of correct classification)",
-               pmid AS "PMID"
+                 AS "{col_rank}",
+               pmid AS "{col_pmid}"
         FROM ranked_in"""),
 }
 
@@ -189,6 +191,9 @@ def _model_case() -> str:
 
 
 def _fill(body: str) -> str:
+    for name in ("LINK_PREFIX", "LINK_MIDDLE", "LINK_SUFFIX", "COL_ARTICLE", "COL_YEAR", "COL_LABEL", "COL_RANK",
+                 "COL_PMID"):
+        body = body.replace("{" + name.lower() + "}", getattr(rank, name))
     return (body.replace("{signif_pos}", _signif("m.mean_pos"))
             .replace("{signif_neg}", _signif("m.mean_neg"))
             .replace("{model_case}", _model_case()))
@@ -211,14 +216,9 @@ def with_ctes(names: list[str], body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
-def _terms_where(query: str) -> str:
-    return " AND ".join(f"lower(concat_ws(' ', title, abstract)) LIKE '%{t}%'"
-                        for t in parse_query(query))
-
-
-def _search(query: str) -> str:
-    return (f"SELECT pmid FROM (SELECT DISTINCT pmid FROM articles WHERE {_terms_where(query)}) "
-            f"ORDER BY CAST(pmid AS BIGINT), pmid LIMIT 10000")
+def _search(terms: list[str]) -> str:
+    where = " AND ".join(f"lower(concat_ws(' ', title, abstract)) LIKE '%{t}%'" for t in terms)
+    return f"SELECT DISTINCT pmid FROM articles WHERE {where}"
 
 
 def _r(x: str, alias: str | None = None) -> str:
@@ -294,10 +294,10 @@ def _fold_metrics(src: str = "scored") -> str:
     UNPIVOT INCLUDE NULLS (estimate FOR metric IN (roc_auc, sens, spec, accuracy, precision))"""
 
 
-def _spec_at_sens(cond: str = "1000 * tp > 945 * P AND 1000 * tp <= 955 * P") -> str:
+def _spec_at_sens(cond: str = "1000 * tp > 945 * P AND 1000 * tp < 955 * P") -> str:
     rc = _ROC_COUNTS.format(g="Model", src="test_pred")
     return f"""
-    SELECT Model, max_spec, printf('Specificity = %.3f', round(max_spec, 3)) AS spec_label FROM (
+    SELECT Model, max_spec, printf('Specificity = %.3f', max_spec) AS spec_label FROM (
       SELECT Model, max(1.0 - CAST(fp AS DOUBLE) / N) AS max_spec FROM (
         SELECT Model, tp, fp, P, N FROM ({rc})
         UNION ALL SELECT DISTINCT Model, P, N, P, N FROM ({rc}))
@@ -307,7 +307,7 @@ def _spec_at_sens(cond: str = "1000 * tp > 945 * P AND 1000 * tp <= 955 * P") ->
 
 def _auc_by_model() -> str:
     a = _AUC.format(g="Model", src="test_pred")
-    return f"""SELECT Model, auc, printf('AUC = %.3f', round(auc, 3)) AS label_auc
+    return f"""SELECT Model, auc, printf('AUC = %.3f', auc) AS label_auc
                FROM ({a}) WHERE auc IS NOT NULL"""
 
 
@@ -348,10 +348,12 @@ def oracle_sql() -> dict[str, str]:
           FROM documents GROUP BY source, CAST(floor(doc_id / 50) AS BIGINT))
         SELECT source, block, unnest(regexp_extract_all(id_text, '\\d+')) AS pmid
         FROM id_text WHERE nullif(trim(id_text), '') IS NOT NULL"""
-    q["term_search"] = with_ctes(["articles"], _search(SEARCH_QUERY))
+    q["term_search"] = with_ctes(["articles"], _search(SEARCH_TERMS))
+    q["term_search_retmax"] = with_ctes(["articles"], f"""
+        SELECT pmid FROM ({_search(SEARCH_TERMS)}) ORDER BY CAST(pmid AS BIGINT), pmid LIMIT {SEARCH_RETMAX}""")
     q["category_union"] = with_ctes(["articles", "article_index"], f"""
         SELECT pmid FROM article_index WHERE class = 1
-        UNION ALL SELECT pmid FROM ({_search(QUERY_CATEGORY_TERMS)})""")
+        UNION ALL SELECT pmid FROM ({_search(CATEGORY_TERMS)})""")
     q["build_index"] = with_ctes(["article_index"], """
         SELECT pmid, class FROM article_index WHERE class = 1 UNION ALL
         SELECT pmid, class FROM article_index WHERE class = 0 UNION ALL
@@ -399,15 +401,11 @@ def oracle_sql() -> dict[str, str]:
         SELECT s.pmid, s.model_name, s.fold, round(s.p_positive, 6) AS p_positive, t.class
         FROM scored s JOIN truth t ON s.pmid = t.pmid""")
     q["prefix_split"] = with_ctes(["train"], """
-        SELECT pmid, class, split FROM (
-          SELECT pmid, class,
-                 CASE WHEN rk <= floor(n * 4 / 5) THEN 'train'
-                      WHEN rk <= floor(n * 4 / 5) + floor(n / 5) THEN 'test' END AS split
-          FROM (SELECT pmid, class,
-                       row_number() OVER (PARTITION BY class ORDER BY CAST(pmid AS BIGINT), pmid) AS rk,
-                       count(*) OVER (PARTITION BY class) AS n
-                FROM train))
-        WHERE split IS NOT NULL""")
+        SELECT pmid, class, CASE WHEN rk <= floor(n * 4 / 5) THEN 'train' ELSE 'test' END AS split
+        FROM (SELECT pmid, class,
+                     row_number() OVER (PARTITION BY class ORDER BY CAST(pmid AS BIGINT), pmid) AS rk,
+                     count(*) OVER (PARTITION BY class) AS n
+              FROM train)""")
     q["balance_classes"] = with_ctes(["train"], """
         SELECT pmid, class FROM (
           SELECT pmid, class,
@@ -519,6 +517,12 @@ def oracle_sql() -> dict[str, str]:
     q["f_score"] = with_ctes(["scored"], f"""
         SELECT model_name, {_r('precision')}, {_r('sens', 'recall')}, {_r('f_score')}
         FROM ({conf_m})""")
+    q["f_score_by_class"] = with_ctes(["scored"], f"""
+        SELECT model_name, 'Positive' AS class, {_r('f_score')} FROM ({conf_m})
+        UNION ALL
+        SELECT model_name, 'Negative',
+               round(CASE WHEN 2 * tn + fp + fn > 0 THEN CAST(2 * tn AS DOUBLE) / (2 * tn + fp + fn) END, 6)
+        FROM ({conf_m})""")
     q["auc_by_fold"] = with_ctes(["scored"], f"""
         SELECT model_name, fold, {_r('auc')} FROM ({_AUC.format(g='model_name, fold', src='scored')})""")
     q["roc_curve_folds"] = with_ctes(["scored"], _roc("model_name, fold", "scored"))
@@ -532,13 +536,19 @@ def oracle_sql() -> dict[str, str]:
         FROM ({fm}) GROUP BY model_name, metric"""
     q["metric_summary"] = with_ctes(["scored"], f"""
         SELECT model_name, metric, round(mean, 6) AS mean, n_folds FROM ({summ})""")
+    q["metric_names"] = with_ctes(["scored"], f"""
+        SELECT model_name, metric, round(mean, 6) AS mean, n_folds,
+               CASE model_name {_model_case()} ELSE model_name END AS Model,
+               CASE metric WHEN 'roc_auc' THEN 'AUC' WHEN 'sens' THEN 'Sensitivity' WHEN 'spec' THEN 'Specificity'
+                           WHEN 'accuracy' THEN 'Accuracy' WHEN 'precision' THEN 'Precision' END AS metric_name
+        FROM ({summ})""")
     q["model_select"] = with_ctes(["scored"], f"""
         SELECT model_name, metric, round(mean, 6) AS mean, n_folds FROM ({summ})
         WHERE metric = 'roc_auc' AND mean IS NOT NULL
         ORDER BY mean DESC, model_name LIMIT 1""")
     q["mean_auc"] = with_ctes(["scored"], f"""
         SELECT model_name, round(mean_auc, 6) AS mean_auc,
-               printf('AUC = %.3f', round(mean_auc, 3)) AS label_auc
+               printf('AUC = %.3f', mean_auc) AS label_auc
         FROM (SELECT model_name, avg(estimate) AS mean_auc FROM ({fm})
               WHERE metric = 'roc_auc' AND estimate IS NOT NULL GROUP BY model_name)""")
     q["model_names"] = with_ctes(["scored"], f"""
@@ -573,8 +583,8 @@ def oracle_sql() -> dict[str, str]:
                CASE WHEN p >= 0.5 THEN 'Positive' ELSE 'Negative' END AS pred_class
         FROM test CROSS JOIN (SELECT avg(label) AS p FROM train)""")
     q["ranked_list"] = with_ctes(["ranked"], "SELECT * FROM ranked")
-    q["resort_list"] = with_ctes(["ranked"], """
-        SELECT *, row_number() OVER (ORDER BY "Year of publication",
-               "Rank of article (ordered by probability of correct classification)") AS position
-        FROM ranked WHERE "Label" = 'Negative'""")
+    q["resort_list"] = with_ctes(["ranked"], _fill("""
+        SELECT *, row_number() OVER (ORDER BY CASE WHEN "{col_label}" = 'Positive' THEN 0 ELSE 1 END,
+               "{col_year}" DESC NULLS LAST, "{col_article}" NULLS LAST, "{col_rank}") AS position
+        FROM ranked"""))
     return q

@@ -19,10 +19,9 @@ from litsift.session import ensure_checkpoint_dir, ship_package
 from litsift.sources.search import term_search
 
 # Fixed values used by the registered queries.
-SEARCH_QUERY = "the AND ing"
+SEARCH_QUERY = "the [AND] ing"
 QUERY_CATEGORY_TERMS = "with AND from"
-RANKED_MODEL = "logit"
-RANK_SCALE = 10.0
+SEARCH_RETMAX = 100
 
 
 def r6(df: DataFrame) -> DataFrame:
@@ -74,7 +73,7 @@ class Ctx:
 
     @property
     def scored(self):
-        return fx.scored(self.docs, self.labels)
+        return fx.scored(self.labels)
 
     @property
     def truth(self):
@@ -90,10 +89,7 @@ class Ctx:
 
     def ranked_input(self):
         t = self.test.select("pmid", "year", "title")
-        s = self.scored.where(F.col("model_name") == RANKED_MODEL).select(
-            "pmid", F.least(F.lit(1.0), F.round(F.col("p_positive") * RANK_SCALE, 4))
-            .alias("p_positive"))
-        j = t.join(s, "pmid")
+        j = t.join(fx.rank_scores(t.select("pmid").distinct()), "pmid")
         return j.withColumn("pred_class", F.when(F.col("p_positive") >= 0.5, "Positive")
                             .otherwise("Negative"))
 
@@ -110,6 +106,11 @@ def q_term_search(spark, sf):
     return term_search(c.articles, SEARCH_QUERY, check_empty=True)
 
 
+def q_term_search_retmax(spark, sf):
+    """A search that asks for the lowest ids only."""
+    return term_search(Ctx(spark, sf).articles, SEARCH_QUERY, max_hits=SEARCH_RETMAX)
+
+
 def q_category_union(spark, sf):
     c = Ctx(spark, sf)
     ids = c.index.where(F.col("class") == 1).select("pmid")
@@ -144,9 +145,8 @@ def q_missing_abstracts(spark, sf):
 
 def q_drop_missing(spark, sf):
     c = Ctx(spark, sf)
-    small = corpus.index_is_small(c.index)
-    fetched = corpus.retrieve_by_id(c.articles, c.index, small)
-    return corpus.drop_missing(fetched, corpus.missing_abstracts(fetched), small)
+    fetched = corpus.retrieve_by_id(c.articles, c.index)
+    return corpus.drop_missing(fetched, corpus.missing_abstracts(fetched))
 
 
 def q_labelled_articles(spark, sf):
@@ -334,6 +334,15 @@ def q_f_score(spark, sf):
               .select("model_name", "precision", "recall", "f_score"))
 
 
+def q_f_score_by_class(spark, sf):
+    return r6(evaluate.f_by_class(Ctx(spark, sf).scored, ["model_name"]))
+
+
+def q_metric_names(spark, sf):
+    s = evaluate.metric_summary(evaluate.fold_metrics(Ctx(spark, sf).scored))
+    return r6(evaluate.metric_names(evaluate.model_names(s)))
+
+
 def q_auc_by_fold(spark, sf):
     return r6(evaluate.auc(Ctx(spark, sf).scored, ["model_name", "fold"]))
 
@@ -403,12 +412,13 @@ def q_ranked_list(spark, sf):
 
 def q_resort_list(spark, sf):
     ranked = rank.ranked_list(Ctx(spark, sf).ranked_input())
-    return rank.resort_list(ranked, "Negative", [rank.COL_YEAR])
+    return rank.resort_list(ranked, [(rank.COL_YEAR, True), rank.COL_ARTICLE])
 
 
 SQL_QUERIES = {
     "id_list_parse": q_id_list_parse,
     "term_search": q_term_search,
+    "term_search_retmax": q_term_search_retmax,
     "category_union": q_category_union,
     "build_index": q_build_index,
     "retrieve_by_id": q_retrieve_by_id,
@@ -449,6 +459,8 @@ SQL_QUERIES = {
     "normalize_terms": q_normalize_terms,
     "confusion_metrics": q_confusion_metrics,
     "f_score": q_f_score,
+    "f_score_by_class": q_f_score_by_class,
+    "metric_names": q_metric_names,
     "auc_by_fold": q_auc_by_fold,
     "roc_curve_folds": q_roc_curve_folds,
     "unnest_metrics": q_unnest_metrics,

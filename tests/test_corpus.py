@@ -85,3 +85,27 @@ def test_term_search_and_empty_query(spark):
     u = corpus.category_union(spark.createDataFrame([("1",)], "pmid string"),
                               term_search(arts, "comet"))
     assert sorted(r["pmid"] for r in u.collect()) == ["1", "3"]
+
+
+def test_odd_values_do_not_end_a_job(spark):
+    from litsift.operators import corpus, rank, terms
+    from litsift.sources.search import parse_query, term_search
+    years = spark.createDataFrame([("1", "n/a"), ("2", "2019"), ("3", None), ("4", "2021")], "pmid string, year string")
+    assert [r.pmid for r in corpus.year_filter(years).collect()] == ["2"]
+    art = spark.createDataFrame([("x1", "2000", "<script>&\"", "T cell CD8"), ("2", "2001", None, "T CELL")],
+                                "pmid string, year string, title string, abstract string")
+    index = spark.createDataFrame([("9", 1)], "pmid string, class int")
+    row = corpus.coverage(index, art).first()
+    assert (row.n_index, row.n_retrieved, row.pct_retrieved, row.pct_with_abstract) == (1, 0, 0.0, None)
+    ranked = rank.ranked_list(art.selectExpr("*", "'Positive' pred_class", "0.5D p_positive")).collect()
+    assert any("&lt;script&gt;&amp;&quot;" in r["Article"] for r in ranked) and len(ranked) == 2
+    for query in ("T cell [AND] CD8", "t cell and cd8", "T cell And CD8"):
+        assert parse_query(query) == ["t cell", "cd8"]
+        assert [r.pmid for r in term_search(art, query).collect()] == ["x1"]
+    assert parse_query("brand [and] sand") == ["brand", "sand"]
+    counts = spark.createDataFrame([("1", "a", 2, 1.0)], "pmid string, term string, n long, label double")
+    names = spark.createDataFrame([("a",)], "term string")
+    sizes = spark.createDataFrame([(1, 0)], "n1 long, n0 long")
+    assert terms.class_term_means(counts, names, sizes).first().mean_neg is None
+    welch = terms.welch_terms(counts.withColumn("tfidf", counts.n * 1.0), names, sizes, with_p=False).first()
+    assert welch.t is None and welch.df is None

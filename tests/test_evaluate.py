@@ -69,3 +69,20 @@ def test_spec_at_sens_at_least_rule(spark):
     assert evaluate.spec_at_sens(pred).count() == 0
     r = evaluate.spec_at_sens(pred, rule="at_least").first()
     assert r["max_spec"] == pytest.approx(1.0)
+
+
+def test_labels_round_exact_halves_to_even(spark):
+    from litsift.functions.numeric import sprintf3
+    values = [0.8125, 0.0625, 0.1875, 0.6125, 0.0005, 0.9995, 0.12345, 1.0, 0.0, 0.3335, 0.5, 2 / 3, 0.4375]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = {r.v: r.s for r in df.select("v", sprintf3("x = ", F.col("v")).alias("s")).collect()}
+    assert got == {v: "x = %.3f" % v for v in values}
+
+
+def test_sensitivity_ends_of_the_rounding_interval(spark):
+    from litsift.operators.evaluate import _sens_rounds_to
+    df = spark.createDataFrame([(k, 1000) for k in (944, 945, 946, 954, 955, 956)], "tp long, p long")
+    got = {r.tp for r in df.where(_sens_rounds_to(F.col("tp"), F.col("p"), 95)).collect()}
+    assert got == {946, 954}
+    got = {r.tp for r in df.where(_sens_rounds_to(F.col("tp"), F.col("p"), 96)).collect()}
+    assert got == {955, 956}
