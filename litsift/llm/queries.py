@@ -30,4 +30,67 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_setsketch": op10_setsketch,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RUNS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+#: DuckDB SQL. The others have no counterpart in SQL (hashes, language models, merges, entropy
+#: windows, templates, fitted scorers) and are tested against brute-force versions in tests/llm.
+ORACLES: dict[str, str] = {
+    "op3_fm_decontam": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                          regexp_extract_all({_LOWER.format("coalesce(text, '')")},
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item,
+                     regexp_extract_all({_LOWER.format("coalesce(text, '')")},
+                                        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        win AS (SELECT item, least(len(w), 10) AS k, array_to_string(w[i:i + 9], ' ') AS phrase
+                FROM (SELECT item, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)),
+        lengths AS (SELECT DISTINCT k FROM win),
+        places AS (SELECT r, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d CROSS JOIN lengths),
+        found AS (SELECT p.r, p.i, p.k, win.item FROM places p
+                  JOIN win ON win.k = p.k AND win.phrase = array_to_string(p.w[p.i:p.i + p.k - 1], ' ')),
+        hit AS (SELECT r, count(DISTINCT x) AS n_hit
+                FROM (SELECT r, unnest(generate_series(i, i + k - 1)) AS x FROM found) GROUP BY r),
+        listed AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+                   FROM (SELECT DISTINCT r, item FROM found WHERE item IS NOT NULL) GROUP BY r)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit ON d.r = hit.r LEFT JOIN listed ON d.r = listed.r""",
+    "op8_doubling": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_RUNS.format("coalesce(text, '')")} AS w FROM documents),
+        places AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS passage
+                   FROM (SELECT r, doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d)),
+        least_id AS (SELECT passage, min(doc_id) AS low FROM places GROUP BY passage),
+        gone AS (SELECT DISTINCT r, unnest(generate_series(i, i + 49)) AS x
+                 FROM places JOIN least_id USING (passage) WHERE low < doc_id),
+        every_word AS (SELECT r, unnest(w) AS word, unnest(generate_series(1, len(w))) AS x FROM d),
+        kept AS (SELECT r, string_agg(word, ' ' ORDER BY x) AS words, count(*) AS n
+                 FROM every_word e ANTI JOIN gone g USING (r, x) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(words, '')) AS kept_sha256
+        FROM d LEFT JOIN kept ON d.r = kept.r""",
+    "op9_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+                   FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS low FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest),
+        j AS (SELECT p.*, f.low, f.low IS NOT NULL AND p.page_id IS DISTINCT FROM f.low AS again
+              FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN again THEN low END AS refers_to FROM j""",
+    "op10_setsketch": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_RUNS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS shingle
+              FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (shingle)
+                 WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+        links AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+                  WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        low AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, low.component_id,
+               d.doc_id = low.component_id AS kept
+        FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN low ON d.doc_id = low.doc_id""",
+}
