@@ -358,72 +358,68 @@ class PlsSpec:
 # ---------------------------------------------------------------- k nearest neighbours
 
 class _KnnModel:
-    def __init__(self, blocks: list, k: int, spark):
-        self.blocks, self.k, self.spark = blocks, k, spark
+    """Training rows (sorted by label, features divided by ``sd``), sent once; scoring is narrow."""
+
+    def __init__(self, x: np.ndarray, label: np.ndarray, sd: np.ndarray, k: int, spark, n_seen: int):
+        self.x, self.label, self.sd, self.k = x, label, sd, k
+        self.n_seen, self.sampled = n_seen, n_seen > len(label)
+        self.sent = spark.sparkContext.broadcast((x, label, sd))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        k = self.k
-        # rows are keyed by (pmid, feature hash): equal keys get equal scores
-        keyed = df.withColumn("_x", vector_to_array("features")) \
-            .withColumn("_fh", F.xxhash64("_x"))
-        q = keyed.select("pmid", "_fh", "_x").dropDuplicates(["pmid", "_fh"])
-        cands = None
-        for bc in self.blocks:
-            def top_k(it, bc=bc):
-                ytr, lab = bc.value
-                ysq = (ytr ** 2).sum(axis=1)
-                for pdf in it:
-                    if pdf.empty:
-                        continue
-                    x = np.stack(pdf["_x"].to_numpy())
-                    d2 = (x ** 2).sum(axis=1)[:, None] + ysq[None, :] - 2.0 * x @ ytr.T
-                    d = np.sqrt(np.maximum(d2, 0.0))
-                    kk = min(k, d.shape[1])
-                    idx = np.argpartition(d, kk - 1, axis=1)[:, :kk]
-                    dist = np.take_along_axis(d, idx, axis=1).ravel()
-                    yield pd.DataFrame({"pmid": np.repeat(pdf["pmid"].to_numpy(), kk),
-                                        "_fh": np.repeat(pdf["_fh"].to_numpy(), kk),
-                                        "dist": dist, "lab": lab[idx].ravel()})
-            part = q.mapInPandas(top_k, "pmid string, _fh long, dist double, lab double")
-            cands = part if cands is None else cands.unionByName(part)
-        # k nearest over all blocks (k x blocks candidates per row: bounded)
-        best = (cands.groupBy("pmid", "_fh")
-                .agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "lab"))), 1, k)
-                     .alias("nn")))
-        wsum = F.aggregate("nn", F.lit(0.0), lambda acc, s: acc + F.lit(1.0) / (s["dist"] + 1e-9))
-        psum = F.aggregate("nn", F.lit(0.0),
-                           lambda acc, s: acc + s["lab"] / (s["dist"] + 1e-9))
-        probs = best.select("pmid", "_fh", (psum / wsum).alias("p_positive"))
-        return with_class(keyed.join(probs, ["pmid", "_fh"]).drop("_fh", "_x"))
+        sent, k = self.sent, self.k
+
+        @F.pandas_udf("double")
+        def vote(features: pd.Series) -> pd.Series:
+            x, label, sd = sent.value
+            square = (x ** 2).sum(axis=1)
+            out = np.empty(len(features))
+            for a in range(0, len(features), 256):
+                q = np.stack(features.iloc[a:a + 256].to_numpy()) / sd
+                d = np.sqrt(np.maximum((q ** 2).sum(axis=1)[:, None] + square - 2.0 * q @ x.T, 0.0))
+                far = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                for i in range(len(q)):
+                    # equal distances go to the lower label: rows are in that order
+                    near = np.flatnonzero(d[i] <= far[i])
+                    near = near[np.argsort(d[i][near], kind="stable")][:k]
+                    weight = 1.0 / (d[i][near] + 1e-9)
+                    out[a + i] = (weight * label[near]).sum() / weight.sum()
+            return pd.Series(out)
+
+        return with_class(df.withColumn("p_positive", vote(vector_to_array("features"))))
 
 
 class KnnSpec:
-    """k nearest neighbours (k = 5, Euclidean, inverse-distance vote), exact.
+    """k nearest neighbours (k = 5, Euclidean, inverse-distance vote).
 
-    The training matrix is broadcast in blocks of at most ``block_rows`` rows
-    (a checked bound: block_rows x 500 doubles); each test batch is scored against a
-    block with numpy and keeps its k nearest; the k nearest over all blocks win.
+    Exact over the rows it is fitted on, at most ``max_fit_rows`` labelled rows and
+    ``max_fit_bytes`` of features. Of more rows a seeded hash of the id chooses; the model
+    then says so (``sampled``, ``n_seen``). They are sent to the executors once, and each
+    batch of rows is scored against them where it is: no shuffle and no join.
+    ``scale=True`` divides each feature by its standard deviation first.
     """
     name = "knn"
 
-    def __init__(self, k: int = 5, block_rows: int = 50_000):
-        self.k, self.block_rows = k, block_rows
+    def __init__(self, k: int = 5, max_fit_rows: int = 20_000, max_fit_bytes: int = 128 << 20,
+                 scale: bool = False, seed: int = 7):
+        self.k, self.max_fit_rows, self.max_fit_bytes = k, max_fit_rows, max_fit_bytes
+        self.scale, self.seed = scale, seed
 
     def fit(self, df: DataFrame) -> _KnnModel:
-        spark = df.sparkSession
-        sc = spark.sparkContext
-        tr = df.select(vector_to_array("features").alias("_x"), "label")
-        n = tr.count()
-        n_blocks = max(1, math.ceil(n / self.block_rows))
-        tr = tr.withColumn("_b", (F.abs(F.xxhash64("_x")) % n_blocks))
-        blocks = []
-        for b in range(n_blocks):
-            pdf = tr.where(F.col("_b") == b).select("_x", "label").toPandas()
-            if pdf.empty:
-                continue
-            y = np.stack(pdf["_x"].to_numpy()).astype("float64")
-            blocks.append(sc.broadcast((y, pdf["label"].to_numpy(dtype="float64"))))
-        return _KnnModel(blocks, self.k, spark)
+        keep = df.select(vector_to_array("features").alias("x"), "label",
+                         *(["pmid"] if "pmid" in df.columns else []))
+        n, width = keep.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+        if not n:
+            raise ValueError("no rows to fit on")
+        most = max(1, min(self.max_fit_rows, self.max_fit_bytes // (8 * max(width, 1))))
+        if n > most:
+            draw = F.xxhash64(*keep.columns, F.lit(self.seed)).bitwiseAND(F.lit((1 << 40) - 1))
+            # a little under the bound, as the number drawn varies; the rest is cut
+            keep = keep.where(draw < F.lit(int((1 << 40) * 0.95 * most / n)))
+        pdf = keep.select("x", "label").limit(most).toPandas().sort_values("label", kind="stable")
+        x = np.stack(pdf["x"].to_numpy()).astype("float64")
+        sd = x.std(axis=0, ddof=1) if self.scale and len(x) > 1 else np.ones(x.shape[1])
+        sd = np.where(sd > 0, sd, 1.0)
+        return _KnnModel(x / sd, pdf["label"].to_numpy(dtype="float64"), sd, self.k, df.sparkSession, n)
 
 
 # ---------------------------------------------------------------- registry
@@ -513,13 +509,11 @@ def save_model(spark, fitted, path: str) -> None:
         fitted.svc.write().overwrite().save(base + "/model")
         _write_meta(spark, base, {"kind": "svm", "platt": list(fitted.platt)})
     elif isinstance(fitted, _KnnModel):
-        parts = []
-        for b in fitted.blocks:
-            y, lab = b.value
-            parts.extend((list(map(float, row)), float(l)) for row, l in zip(y, lab))
-        spark.createDataFrame(parts, "x array<double>, label double").write \
+        spark.createDataFrame(pd.DataFrame({"x": list(fitted.x), "label": fitted.label}),
+                              "x array<double>, label double").write \
             .mode("overwrite").parquet(base + "/train")
-        _write_meta(spark, base, {"kind": "knn", "k": fitted.k})
+        _write_vector(spark, base + "/w", fitted.sd)
+        _write_meta(spark, base, {"kind": "knn", "k": fitted.k, "n_seen": int(fitted.n_seen)})
     else:
         raise TypeError(f"cannot save {type(fitted).__name__}")
 
@@ -541,8 +535,7 @@ def load_model(spark, path: str):
         return _SvmModel(_load_spark_model("LinearSVCModel", base + "/model"),
                          tuple(meta["platt"]))
     if kind == "knn":
-        from pyspark.ml.functions import array_to_vector
-        train = spark.read.parquet(base + "/train").select(
-            array_to_vector("x").alias("features"), "label")
-        return KnnSpec(k=meta["k"]).fit(train)
+        pdf = spark.read.parquet(base + "/train").toPandas().sort_values("label", kind="stable")
+        return _KnnModel(np.stack(pdf["x"].to_numpy()), pdf["label"].to_numpy(dtype="float64"),
+                         np.array(_read_vector(spark, base + "/w")), meta["k"], spark, meta["n_seen"])
     raise ValueError(f"unknown model kind {kind}")

@@ -7,7 +7,6 @@ the output (and in the matching oracle SQL) so engines compare equal.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,7 +43,6 @@ class Ctx:
         self.spark = spark
         self.docs = fx.load(spark, sf_dir, "documents")
         self.labels = fx.load(spark, sf_dir, "labels")
-        self._labelled = None
 
     @property
     def articles(self):
@@ -56,12 +54,8 @@ class Ctx:
 
     @property
     def labelled(self):
-        """The labelled corpus, assembled once per context and cached (train and test
-        splits, term tables and models all read it)."""
-        if self._labelled is None:
-            self._labelled = corpus.assemble_corpus(self.index, self.articles) \
-                .persist(StorageLevel.MEMORY_AND_DISK)
-        return self._labelled
+        """The labelled corpus. Not cached: it holds whole texts, and most queries read it once."""
+        return corpus.assemble_corpus(self.index, self.articles)
 
     @property
     def train(self):

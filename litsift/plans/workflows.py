@@ -95,7 +95,8 @@ def q_model_evaluation(spark, sf):
     """Held-out evaluation of every fitted model: AUC and specificity at 95% sensitivity."""
     c = Ctx(spark, sf)
     preds = q_all_predictions(spark, sf).drop("pred_class")
-    tp = corpus.attach_truth(preds, c.truth)
+    # a few columns a row, written once: both measures read them, and no model scores twice
+    tp = corpus.attach_truth(preds, c.truth).checkpoint()
     return evaluate.model_summary(evaluate.spec_at_sens(tp), evaluate.auc_by_model(tp))
 
 

@@ -75,3 +75,29 @@ def test_fold_vocabulary_never_sees_assessment_rows(spark):
     fz = TfidfFeaturizer().fit(ana)
     ana_terms = {t for r in ana.select("tokens").collect() for t in r[0]}
     assert set(fz.vocab) <= ana_terms
+
+
+def test_knn_is_exact_narrow_and_bounded(spark):
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+    from litsift.models.classifiers import KnnSpec
+    draw = np.random.default_rng(5)
+    x = draw.integers(0, 3, (300, 4)).astype(float)  # many ties and equal rows
+    rows = [(str(i), [float(v) for v in x[i]], float(i % 2)) for i in range(300)]
+    df = spark.createDataFrame(rows, "pmid string, x array<double>, label double").select(
+        "pmid", array_to_vector("x").alias("features"), "label")
+    for scale in (False, True):
+        model = KnnSpec(scale=scale).fit(df)
+        out = model.transform(df)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan and not model.sampled
+        sd = x.std(axis=0, ddof=1) if scale else 1.0
+        for r in out.collect():
+            d = np.sqrt((((x - x[int(r.pmid)]) / sd) ** 2).sum(axis=1))
+            near = sorted((round(d[i], 9), i % 2) for i in range(300))[:5]
+            weight = [1 / (a + 1e-9) for a, _ in near]
+            want = sum(w * b for w, (_, b) in zip(weight, near)) / sum(weight)
+            assert r.p_positive == pytest.approx(want, abs=1e-4)
+    few = KnnSpec(max_fit_rows=100).fit(df)
+    assert few.sampled and few.n_seen == 300 and 60 <= len(few.label) <= 100
+    assert few.transform(df).count() == 300
