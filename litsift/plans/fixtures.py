@@ -96,6 +96,12 @@ def rank_scores(test: DataFrame) -> DataFrame:
     return test.select("pmid", (F.shiftright(noise, 16) / F.lit(10000.0)).alias("p_positive"))
 
 
+def run_log(events: DataFrame) -> DataFrame:
+    """(n_docs, seconds): a log of runs, one for each user of ``events``."""
+    return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("value").alias("seconds")) \
+        .select("n_docs", "seconds")
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """One free-text id box per (source, block of 50 ids): ids joined by ', ' or newline."""
     item = F.concat(F.col("doc_id").cast("string"),

@@ -582,6 +582,16 @@ def oracle_sql() -> dict[str, str]:
         SELECT 'null' AS model_name, pmid, round(p, 6) AS p_positive,
                CASE WHEN p >= 0.5 THEN 'Positive' ELSE 'Negative' END AS pred_class
         FROM test CROSS JOIN (SELECT avg(label) AS p FROM train)""")
+    q["model_save_load"] = with_ctes(["train", "test"], """
+        SELECT pmid, round(p, 6) AS p_positive,
+               CASE WHEN p >= 0.5 THEN 'Positive' ELSE 'Negative' END AS pred_class
+        FROM test CROSS JOIN (SELECT avg(label) AS p FROM train)""")
+    q["table_sink"] = with_ctes(["scored"], """
+        SELECT model_name, fold, pmid, class, round(p_positive, 6) AS p_positive FROM scored""")
+    q["runtime_trend"] = """
+        SELECT round(regr_slope(seconds, n_docs), 6) AS slope, round(regr_intercept(seconds, n_docs), 6) AS intercept,
+               count(*) AS n_runs
+        FROM (SELECT count(*) AS n_docs, sum(value) AS seconds FROM events GROUP BY user_id)"""
     q["ranked_list"] = with_ctes(["ranked"], "SELECT * FROM ranked")
     q["resort_list"] = with_ctes(["ranked"], _fill("""
         SELECT *, row_number() OVER (ORDER BY CASE WHEN "{col_label}" = 'Positive' THEN 0 ELSE 1 END,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -166,24 +165,32 @@ def q_two_stage(spark, sf):
     return ranked_from_predictions(cv.predict(fz2, fitted2["logit"], positives))
 
 
-def learning_curve(train: DataFrame, sizes: list[int], model: str = "logit", v: int = 5,
-                   seed: int = 42) -> DataFrame:
-    """CV score and wall time by training-set size (each class cut to its first ``s``
-    rows in id order, train part of the 80/20 positional split)."""
+def learning_curve(train: DataFrame, start: int = 50, step: int = 10, stop: int | None = None,
+                   model: str = "logit", v: int = 5, seed: int = 42, repeats: int = 1) -> DataFrame:
+    """CV score by training-set size, averaged over seeded repeats.
+
+    Sizes run from ``start`` by ``step`` to ``stop`` (the smaller class's size without one),
+    which is always the last. Each class is cut to its first rows in id order, train part of
+    the 80/20 positional split.
+    """
+    smallest = train.groupBy("class").count().agg(F.min("count")).first()[0] or 0
+    stop = min(stop or smallest, smallest)
     rows = []
-    for s in sizes:
-        sub = sampling.prefix_split(train, "class", "pmid", size=s).where("split = 'train'") \
+    for size in sorted({*range(start, stop, step), stop}):
+        sub = sampling.prefix_split(train, "class", "pmid", size=size).where("split = 'train'") \
             .drop("split")
-        t0 = time.time()
-        _, metrics = cv.cross_validate(sub, [model], v=v, seed=seed)
-        m = evaluate.metric_summary(metrics).where("metric = 'roc_auc'").first()
-        rows.append((int(sub.count()), float(time.time() - t0),
-                     None if m is None or m["mean"] is None else float(m["mean"])))
-    return train.sparkSession.createDataFrame(rows, "n_docs long, seconds double, mean_auc double")
+        found = []
+        for k in range(repeats):
+            _, metrics = cv.cross_validate(sub, [model], v=v, seed=seed + k)
+            m = evaluate.metric_summary(metrics).where("metric = 'roc_auc'").first()
+            if m is not None and m["mean"] is not None:
+                found.append(float(m["mean"]))
+        rows.append((int(sub.count()), len(found), sum(found) / len(found) if found else None))
+    return train.sparkSession.createDataFrame(rows, "n_docs long, n_runs int, mean_auc double")
 
 
 def runtime_trend(log: DataFrame) -> DataFrame:
-    """Linear trend of seconds on documents (slope, intercept)."""
+    """Linear trend of seconds on documents (slope, intercept) over a log of runs."""
     return log.agg(F.regr_slope("seconds", "n_docs").alias("slope"),
                    F.regr_intercept("seconds", "n_docs").alias("intercept"),
                    F.count(F.lit(1)).alias("n_runs"))
@@ -191,27 +198,54 @@ def runtime_trend(log: DataFrame) -> DataFrame:
 
 def q_learning_curve(spark, sf):
     _, train, _ = _split(spark, sf)
-    n_min = train.groupBy("class").count().agg(F.min("count")).first()[0]
-    sizes = sorted({max(10, n_min // 4), max(10, n_min // 2), n_min})
-    return learning_curve(train, sizes)
+    return learning_curve(train, start=10, step=10)
 
 
 def q_runtime_trend(spark, sf):
-    return runtime_trend(q_learning_curve(spark, sf))
+    return r6(runtime_trend(fx.run_log(fx.load(spark, sf, "events"))))
 
 
-def q_balance_sweep(spark, sf, shares=(0.2, 0.5, 0.8)):
-    """F1 by class mix: CV of the logit model on samples with a given positive share."""
-    _, train, _ = _split(spark, sf)
+def q_table_sink(spark, sf):
+    """Predictions written by the table sink and read back."""
+    c = Ctx(spark, sf)
+    path = files.scratch_path(spark, "table")
+    files.write_table(c.scored, path)
+    return r6(spark.read.parquet(path))
+
+
+def q_model_save_load(spark, sf):
+    """The null model fitted, saved, loaded and applied."""
+    from litsift.models.classifiers import load_model, save_model
+    _, train, test = _split(spark, sf)
+    tok = add_tokens(train.select("pmid", "abstract", "class", "label"))
+    fz, fitted = cv.fit_models(tok, ["null"])
+    path = files.scratch_path(spark, "model")
+    save_model(spark, fitted["null"], path)
+    pred = cv.predict(fz, load_model(spark, path), test)
+    return r6(pred.select("pmid", "p_positive", "pred_class"))
+
+
+def balance_sweep(train: DataFrame, shares, model: str = "logit", seed: int = 42, repeats: int = 1) -> DataFrame:
+    """F1 of both classes by class mix: CV on samples with a given positive share, seeded repeats averaged."""
     sizes = {r["class"]: r["count"] for r in train.groupBy("class").count().collect()}
     rows = []
     for share in shares:
         total = int(min(sizes.get("Positive", 0) / share, sizes.get("Negative", 0) / (1 - share)))
-        sub = sampling.sample_to_ratio(train, share, total, positive="Positive")
-        preds, _ = cv.cross_validate(sub, ["logit"])
-        f = evaluate.confusion_metrics(preds, ["model_name"]).first()
-        rows.append((float(share), int(total), None if f is None else f["f_score"]))
-    return spark.createDataFrame(rows, "pos_share double, n_docs long, f_score double")
+        found = {"Positive": [], "Negative": []}
+        for k in range(repeats):
+            sub = sampling.sample_to_ratio(train, share, total, positive="Positive", seed=seed + k)
+            preds, _ = cv.cross_validate(sub, [model], seed=seed + k)
+            for r in evaluate.f_by_class(preds, ["model_name"]).collect():
+                if r["f_score"] is not None:
+                    found[r["class"]].append(r["f_score"])
+        rows.append((float(share), int(total), *(sum(f) / len(f) if f else None for f in found.values())))
+    return train.sparkSession.createDataFrame(
+        rows, "pos_share double, n_docs long, f_positive double, f_negative double")
+
+
+def q_balance_sweep(spark, sf):
+    _, train, _ = _split(spark, sf)
+    return balance_sweep(train, (0.2, 0.5, 0.8))
 
 
 WORKFLOW_QUERIES = {
@@ -228,6 +262,8 @@ WORKFLOW_QUERIES = {
     "xml_articles": q_xml_articles,
     "csv_articles": q_csv_articles,
     "id_file_scan": q_id_file_scan,
+    "table_sink": q_table_sink,
+    "model_save_load": q_model_save_load,
     "two_stage": q_two_stage,
     "learning_curve": q_learning_curve,
     "runtime_trend": q_runtime_trend,
