@@ -27,8 +27,8 @@ from . import common
 
 #: A vocabulary file larger than this is refused, as it is sent to every executor.
 MAX_VOCAB_BYTES = 64 << 20
-#: Pieces kept encoded in a worker; the store is emptied when it holds more.
-CACHE_PIECES = 400_000
+#: Pieces kept encoded in a task; the store is emptied when it holds more.
+CACHE_PIECES = 150_000
 #: Pieces of more bytes than this are merged one at a time.
 LOCKSTEP_BYTES = 256
 _NONE = np.int64(1) << 60
@@ -58,11 +58,16 @@ def splitter(pattern: str) -> tuple[re.Pattern, re.Pattern, np.ndarray]:
     exact form spells these out by category; it is needed only for texts that hold them.
     """
     if pattern not in _splitters:
-        kinds = {c: unicodedata.category(chr(c)) for c in range(128, sys.maxunicode + 1)}
-        numbers = [c for c, k in kinds.items() if k in ("Nl", "No")]
-        odds = [c for c, k in kinds.items() if k[0] not in "LN" and chr(c).isalnum()]
-        missed = [c for c, k in kinds.items() if k[0] in "LN" and not chr(c).isalnum()]
-        if any(kinds[c][0] == "L" for c in missed):
+        numbers, odds, missed = [], [], []
+        for c in range(128, sys.maxunicode + 1):
+            kind, alnum = unicodedata.category(chr(c)), chr(c).isalnum()
+            if kind in ("Nl", "No"):
+                numbers.append(c)
+            if alnum and kind[0] not in "LN":
+                odds.append(c)
+            if not alnum and kind[0] in "LN":
+                missed.append(c)
+        if any(unicodedata.category(chr(c))[0] == "L" for c in missed):
             raise ValueError("this Python's letters don't follow the Unicode categories")
         number, odd = _ranges(numbers), _ranges(odds)
         space = r"\t-\r \x85\xa0" + _ranges([0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
@@ -228,16 +233,16 @@ class Vocabulary:
         return out
 
 
-_vocabularies: dict[int, tuple[Vocabulary, dict[str, bytes]]] = {}
+_vocabularies: dict[bytes, Vocabulary] = {}
 
 
-def _vocabulary(blob: bytes) -> tuple[Vocabulary, dict[str, bytes]]:
-    """The worker's vocabulary and its store of encoded pieces."""
-    key = hash(blob)
-    if key not in _vocabularies:
+def _vocabulary(blob: bytes) -> Vocabulary:
+    """The worker's vocabulary, read once. Encoded pieces are kept for one task only, so that
+    a worker that goes on with other work doesn't hold them."""
+    if blob not in _vocabularies:
         _vocabularies.clear()
-        _vocabularies[key] = (Vocabulary(blob), {})
-    return _vocabularies[key]
+        _vocabularies[blob] = Vocabulary(blob)
+    return _vocabularies[blob]
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -273,7 +278,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     blob = spark.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, store = _vocabulary(blob.value)
+        vocabulary, store = _vocabulary(blob.value), {}
         for batch in batches:
             for part in common.slices(batch, "text"):
                 texts = [t or "" for t in part.column("text").to_pylist()]
@@ -300,7 +305,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     first = tokens.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _vocabulary(blob.value)[0].bytes.__getitem__
+        token = _vocabulary(blob.value).bytes.__getitem__
         for batch in batches:
             for row in range(0, batch.num_rows, 256):
                 part = batch.slice(row, 256)

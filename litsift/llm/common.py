@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from litsift.session import ship_package
 
 #: Bytes of text that a task works on at once; one longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 # ------------------------------------------------------------------ scratch tables
 
