@@ -5,9 +5,10 @@ from ``regexp_extract_all`` and their places from the lengths of the pieces betw
 
 Candidates are runs of one character class. A window of ``WINDOW`` characters slides over
 each; the sum of c * log2(c) over its character counts c changes only by the character that
-comes and the one that goes, so each step needs these two counts. A candidate whose highest
-window entropy reaches its class's limit is a secret, unless the allow-list knows it or a
-base span overlaps it.
+comes and the one that goes, so each step needs these two counts. Fragments that the
+allow-list knows are cut out first, and only what is left is judged. A candidate with a window
+left whose entropy reaches its class's limit is a secret as a whole, unless a base span
+overlaps it.
 
 Null and empty texts hold nothing. Repeated rows are scanned one by one; a null id is
 carried through. Extra columns are ignored.
@@ -29,12 +30,16 @@ ASSIGN_CHARS = 6
 WINDOW = 24
 #: Candidate runs of each character class, and the bits a character from which one is a secret.
 CLASSES = {"hexadecimal": (r"[0-9A-Fa-f]{24,}", 3.0), "token": (r"[A-Za-z0-9+/_=-]{24,}", 3.8)}
-#: Candidates that are no secrets: words, numbers, identifiers, placeholders, rows of one character.
-ALLOWED = [
-    r"^[A-Za-z+/_=-]*$", r"^[0-9+/_=-]*$",
-    r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
-    r"(?i)example|sample|dummy|placeholder|changeme", r"(.)\1{7,}", r"(?i)0123456789|abcdefghij",
-]
+#: Fragments that are no secrets: identifiers, placeholders, rows of one character or of the alphabet. They
+#: are cut out of a candidate. A placeholder joined to its end takes one character along, so that a single
+#: window before "-example" is none.
+FRAGMENTS = "|".join([
+    r"(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})",
+    r"(?:[A-Za-z0-9][+/_=-])?(?i:example|sample|dummy|placeholder|changeme)", r"(.)\1{7,}",
+    r"(?i:0123456789|abcdefghij)",
+])
+#: Candidates that are no secrets if all that is left of them is like this: words, numbers.
+ALLOWED = [r"^[A-Za-z+/_=-]*$", r"^[0-9+/_=-]*$"]
 KINDS = [*BASE, "entropy"]
 _FOUND = "array<struct<start:int,kind:int,stop:int,text:string>>"
 
@@ -80,10 +85,12 @@ def highest_entropy(text: Column, window: int = WINDOW) -> Column:
 
 
 def _is_secret(found: Column, limit: float) -> Column:
+    pieces = F.split(found["text"], FRAGMENTS, -1)
     allowed = F.lit(False)
     for pattern in ALLOWED:
-        allowed = allowed | found["text"].rlike(pattern)
-    return F.when(allowed, F.lit(False)).otherwise(highest_entropy(found["text"]) >= limit)
+        allowed = allowed | F.array_join(pieces, "").rlike(pattern)
+    high = F.exists(pieces, lambda p: F.when(F.length(p) >= WINDOW, highest_entropy(p) >= limit).otherwise(False))
+    return F.when(allowed, F.lit(False)).otherwise(high)
 
 
 def _apart(found: Column, others: str) -> Column:

@@ -64,3 +64,17 @@ def test_redaction_and_plan(spark):
     plan = scanned._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
     assert secretscan.scan(docs.limit(0)).count() == 0
+
+
+def test_allowed_fragments_excuse_themselves_only(spark):
+    key, uuid = "q8Zt3LmP0xVb7RkW2yNc5HsJd4Gf9TaXe6UoMi1K", "123e4567-e89b-12d3-a456-426614174000"
+    secret = [f"{uuid}/{key}", f"{key}_{uuid}", f"sample-{key}", f"sample-{key[:24]}", f"{key}-example-key", f"{key}AAAAAAAA{key}",
+              f"0123456789{key}", "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZW"]
+    fine = [uuid, f"{uuid}_{uuid}", f"{uuid}/internationalization-and-localization", "A" * 40,
+            "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "changeme-changeme-changeme-123"]
+    docs = spark.createDataFrame(list(enumerate(secret + fine)), "doc_id long, text string")
+    got = {r.doc_id: [(secretscan.KINDS[x.kind], x.start, x.stop) for x in r.found]
+           for r in secretscan.scan(docs).collect()}
+    for i, text in enumerate(secret):
+        assert got[i] == [("entropy", 0, len(text))], text
+    assert not any(got[i] for i in range(len(secret), len(secret + fine)))
