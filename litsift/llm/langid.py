@@ -4,12 +4,14 @@ For each language a byte context tree of up to ``ORDER`` bytes holds how often e
 followed each context. A byte's code length under a language is that of its longest known
 context; a byte not seen there pays the context's escape (method C: kinds / (count + kinds))
 and is coded by the next shorter one, at last uniformly over the byte values. The counts are frozen,
-so each (context, byte) has one code length per language: they are worked out once on
-the driver, and a text's exact code lengths are sums of table rows.
+so each (context, byte) has one code length per language, and a text's exact code lengths are
+sums of table entries. The counts are sent to the tasks, which lay them out as tables.
 
 The trees are fitted on a bounded sample of the distinct labelled texts, ``FIT_ROWS`` a
-language, chosen by a hash of the text; the contexts of the tables are the ``CONTEXTS`` most frequent
-of each length, the others back off to their suffix.
+language, chosen by a hash of the text; the contexts of a language's table are its own ``CONTEXTS``
+most frequent of each length, the others back off to their suffix. Every language is learned, and
+its table doesn't depend on the others: languages are scored ``BLOCK`` at a time, and the code
+lengths of all blocks compared.
 
 A null text, or one without a letter, is ``und`` with score 0; so is every text if nothing
 is labelled. Ties go to the first language by name. Repeated rows are predicted one by one;
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +34,10 @@ from . import common
 ORDER = 3
 #: Distinct labelled texts of each language that are fitted, at most (in expectation).
 FIT_ROWS = 1500
-#: Contexts of each length that the tables hold.
+#: Contexts of each length that a language's table holds.
 CONTEXTS = 6000
-#: Languages that are learned: the most frequent ones.
-LANGUAGES = 64
-#: Bytes of the tables, which are sent to every executor; with many languages they hold fewer contexts.
-TABLE_BYTES = 96 << 20
+#: Languages whose tables (at most 19 MB each) a task holds at once.
+BLOCK = 8
 UNKNOWN = "und"
 
 
@@ -66,7 +67,12 @@ def _codes(data: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Frozen context trees of all languages, laid out as tables of code lengths."""
+    """Frozen context trees of a block of languages, laid out as tables of code lengths.
+
+    Each language has its own contexts and its own table, the same whatever languages stand
+    beside it. ``state`` leads from the bytes before a byte to the longest context that any of
+    them knows, and ``rows`` from there to each language's row.
+    """
 
     def __init__(self, languages: list[str], codes: list[np.ndarray], counts: list[np.ndarray],
                  contexts: int = CONTEXTS):
@@ -81,49 +87,47 @@ class Model:
         renumber[0], renumber[1:] = 0, self.number
         place = [np.stack([renumber[c // 257**(ORDER - k) % 257] for k in range(ORDER + 1)]) for c in codes]
         flat = [sum(p[k] * size**(ORDER - k) for k in range(ORDER + 1)) for p in place]
-        contexts = max(1, min(contexts, TABLE_BYTES // (4 * ORDER * size * len(languages))))
-        uniform = np.full((size, len(languages)), 1 / 256)
-        last = self._coded(np.zeros(1, np.int64), 0, flat, counts, uniform[None])
-        tables, state = [last], np.zeros(size**ORDER, np.int32)
-        known, base = np.zeros(1, np.int64), 0
+        known = [np.zeros(1, np.int64) for _ in languages]
+        tables = [[self._coded(np.zeros(1, np.int64), 0, code, n, np.full((1, size), 1 / 256))]
+                  for code, n in zip(flat, counts)]
+        first = [1 for _ in languages]
+        every, row = np.zeros(1, np.int64), np.zeros((1, len(languages)), np.int32)
+        rows, state, base = [row], np.zeros(size**ORDER, np.int32), 1
         for order in range(1, ORDER + 1):
-            weight: dict[int, int] = {}
-            for code, n in zip(flat, counts):
+            for k, (code, n) in enumerate(zip(flat, counts)):
                 context, at = np.unique(code // size % size**order, return_inverse=True)
-                for c, w in zip(context.tolist(), np.bincount(at, n).tolist()):
-                    weight[c] = weight.get(c, 0) + w
-            kept = np.array(sorted(sorted(weight, key=lambda c: (-weight[c], c))[:contexts]), np.int64)
-            parent = kept % size**(order - 1)
-            at = np.searchsorted(known, parent)
-            ok = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == parent)
-            kept, at = kept[ok], at[ok]
-            last = self._coded(kept, order, flat, counts, last[at])
-            base += len(tables[-1])
-            every = np.arange(size**ORDER) % size**order
-            slot = np.searchsorted(kept, every)
-            hit = (slot < len(kept)) & (kept[np.minimum(slot, max(len(kept) - 1, 0))] == every) if len(kept) else None
-            if hit is not None:
-                state[hit] = base + slot[hit]
-            tables.append(last)
-            known = kept
+                kept = np.sort(context[np.lexsort((context, -np.bincount(at, n)))[:contexts]])
+                parent = kept % size**(order - 1)
+                at = np.minimum(np.searchsorted(known[k], parent), max(len(known[k]) - 1, 0))
+                ok = known[k][at] == parent if len(known[k]) else np.zeros(len(kept), bool)
+                known[k] = kept[ok]
+                tables[k].append(self._coded(kept[ok], order, code, n, tables[k][-1][at[ok]]))
+            shorter, every = every, np.unique(np.concatenate(known))
+            row = row[np.searchsorted(shorter, every % size**(order - 1))]
+            for k, own in enumerate(known):
+                row[np.searchsorted(every, own), k] = first[k] + np.arange(len(own))
+                first[k] += len(own)
+            rows.append(row)
+            state.reshape(-1, size**order)[:, every] = base + np.arange(len(every))
+            base += len(every)
         self.state = state
-        self.table = -np.log2(np.concatenate(tables)).astype(np.float32)
+        self.rows = np.ascontiguousarray(np.concatenate(rows).T)
+        self.tables = [-np.log2(np.concatenate(t)).astype(np.float32).ravel() for t in tables]
 
-    def _coded(self, contexts: np.ndarray, order: int, flat: list[np.ndarray], counts: list[np.ndarray],
+    def _coded(self, contexts: np.ndarray, order: int, code: np.ndarray, n: np.ndarray,
                shorter: np.ndarray) -> np.ndarray:
-        """Probability of each byte in each context and language, given those of the shorter context."""
-        out = shorter.copy()
-        for k, (code, n) in enumerate(zip(flat, counts)):
-            context, symbol = code // self.size % self.size**order, code % self.size
-            at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1) if len(contexts) else context * 0
-            use = contexts[at] == context if len(contexts) else np.zeros(len(code), bool)
-            own = np.bincount(at[use] * self.size + symbol[use], n[use], len(contexts) * self.size)
-            own = own.reshape(len(contexts), self.size)
-            total, kinds = own.sum(1, keepdims=True), (own > 0).sum(1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                coded = np.where(own > 0, own / (total + kinds), kinds / (total + kinds) * shorter[:, :, k])
-            out[:, :, k] = np.where(total > 0, coded, shorter[:, :, k])
-        return out
+        """Probability of each byte in each context, given those of the shorter context."""
+        if not len(contexts):
+            return shorter.copy()
+        context, symbol = code // self.size % self.size**order, code % self.size
+        at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+        use = contexts[at] == context
+        own = np.bincount(at[use] * self.size + symbol[use], n[use], len(contexts) * self.size)
+        own = own.reshape(len(contexts), self.size)
+        total, kinds = own.sum(1, keepdims=True), (own > 0).sum(1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            coded = np.where(own > 0, own / (total + kinds), kinds / (total + kinds) * shorter)
+        return np.where(total > 0, coded, shorter)
 
     def lengths(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""
@@ -144,57 +148,77 @@ class Model:
                     edge = starts + back
                     value[edge[(edge >= a) & (edge < b)] - a] = 0
                 before = before * self.size + value
-            bits = self.table[self.state[before], wide[ORDER:]]
+            state, symbol = self.state[before], wide[ORDER:]
             cuts = np.unique(np.clip(starts, a, b) - a)
             cuts = cuts[cuts < b - a]
             row = np.searchsorted(offsets, cuts + a, "right") - 1
-            out[row] += np.add.reduceat(bits, cuts, axis=0, dtype=np.float64)
+            for k, table in enumerate(self.tables):
+                bits = table[self.rows[k][state] * self.size + symbol]
+                out[row, k] += np.add.reduceat(bits, cuts, dtype=np.float64)
         return out
 
 
-def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model | None:
-    """Learn from the rows with a text and a language; None without any."""
-    common.prepare(labelled.sparkSession)
+def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> list[Broadcast] | None:
+    """Learn from the rows with a text and a language: blocks of languages by name, with their counts. None without any."""
+    spark = labelled.sparkSession
+    common.prepare(spark)
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(
         F.col("lang").isNotNull() & (F.length("text") > 0))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"))
-             .orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"))
+    sizes = {r.lang: r.n for r in sizes.collect()}
     if not sizes:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, FIT_ROWS / n))])
+    often = {k: FIT_ROWS / n for k, n in sizes.items() if n > FIT_ROWS}
+    share = F.lit(1.0)
+    if often:
+        share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in often.items() for x in kv]), F.col("lang")), share)
     draw = (F.xxhash64("text").bitwiseAND(F.lit((1 << 40) - 1))) / F.lit(float(1 << 40))
-    sample = rows.filter(F.col("lang").isin(list(sizes))).filter(draw < share[F.col("lang")]).dropDuplicates()
-    counts = _counts(sample).toArrow()
-    lang = counts.column("lang").to_numpy()
-    languages = sorted(set(lang))
-    if not languages:
-        return None
-    code, n = counts.column("code").to_numpy(), counts.column("n").to_numpy()
-    return Model(languages, [code[lang == k] for k in languages], [n[lang == k] for k in languages])
-
-
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    counts = common.Scratch(spark, "langid").keep(_counts(rows.filter(draw < share).dropDuplicates()), "counts")
+    names, blocks = sorted(sizes), []
+    for i in range(0, len(names), BLOCK):
+        part = counts.filter(F.col("lang").isin(names[i:i + BLOCK])).toArrow()
+        lang = part.column("lang").to_numpy()
+        code, n = part.column("code").to_numpy(), part.column("n").to_numpy()
+        own = sorted(set(lang))
+        if own:
+            blocks.append(spark.sparkContext.broadcast((own, [code[lang == k] for k in own], [n[lang == k] for k in own])))
+    return blocks or None
+
+
+def predict(docs: DataFrame, model: list[Broadcast] | None, id_col: str = "doc_id",
+            text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, bits, n_bytes): score is the language's share of the likelihood."""
-    spark = docs.sparkSession
-    common.prepare(spark)
-    sent = spark.sparkContext.broadcast(model)
+    common.prepare(docs.sparkSession)
+    blocks = model or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        built = None
         for batch in batches:
-            for part in common.slices(batch, "text"):
-                flat, offsets = common.raw(part.column("text"))
-                letters = [t is not None and any(map(str.isalpha, t)) for t in part.column("text").to_pylist()]
-                ok = np.array(letters, bool) & (model is not None)
-                names, score, best = np.full(len(ok), UNKNOWN, object), np.zeros(len(ok)), np.zeros(len(ok))
-                if model is not None:
-                    bits = model.lengths(flat, offsets)
-                    pick, best = bits.argmin(1), bits.min(1)
-                    names[ok] = np.array(model.languages, object)[pick[ok]]
-                    score[ok] = 1 / np.exp2(np.minimum(best[:, None] - bits, 0)).sum(1)[ok]
+            parts = list(common.slices(batch, "text"))
+            raws = [common.raw(part.column("text")) for part in parts]
+            best = [np.full(part.num_rows, np.inf) for part in parts]
+            total = [np.zeros(part.num_rows) for part in parts]
+            names = [np.full(part.num_rows, UNKNOWN, object) for part in parts]
+            for block in blocks:  # one block's tables at a time; the only block's stay for the task
+                if built is None or len(blocks) > 1:
+                    built = None
+                    built = Model(*block.value)
+                for i, (flat, offsets) in enumerate(raws):
+                    bits = built.lengths(flat, offsets)
+                    least = np.minimum(best[i], bits.min(1))
+                    total[i] = total[i] * np.exp2(least - best[i]) + np.exp2(least[:, None] - bits).sum(1)
+                    better = least < best[i]
+                    names[i][better] = np.array(built.languages, object)[bits.argmin(1)[better]]
+                    best[i] = least
+            for i, part in enumerate(parts):
+                ok = np.array([t is not None and any(map(str.isalpha, t)) for t in part.column("text").to_pylist()], bool)
+                ok &= bool(blocks)
+                names[i][~ok] = UNKNOWN
+                score = np.divide(1.0, total[i], out=np.zeros(len(ok)), where=ok)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(names, pa.string()), pa.array(score), pa.array(best),
-                     pa.array(np.diff(offsets))], ["id", "lang_pred", "score", "bits", "n_bytes"])
+                    [part.column("id"), pa.array(names[i], pa.string()), pa.array(score),
+                     pa.array(best[i] if blocks else np.zeros(len(ok))), pa.array(np.diff(raws[i][1]))],
+                    ["id", "lang_pred", "score", "bits", "n_bytes"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()

@@ -67,3 +67,27 @@ def test_held_out_accuracy(spark):
     got = langid.op5_ppm_langid(spark, "/root/testdata/sf0.01").join(docs, "doc_id").filter("held_out").collect()
     assert len(got) > 100
     assert sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got)
+
+
+def test_every_language_is_learned_and_none_changes_another(spark):
+    rows = []
+    for i in range(70):
+        letters = [chr(0x4E00 + 40 * i + k) for k in range(20)]
+        rows += [(j + 10 * i, " ".join("".join(letters[(a * b + j) % 20] for b in range(4)) for a in range(12)), f"l{i:02}")
+                 for j in range(2 if i < 68 else 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.predict(docs, langid.fit(docs)).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang in rows)
+    few = docs.filter("lang in ('l00', 'l69')")
+    alone = {r.doc_id: r.bits for r in langid.predict(few, langid.fit(few)).collect()}
+    assert alone and all(got[i].bits == bits for i, bits in alone.items())
+
+
+def test_contexts_of_a_language_are_its_own():
+    texts = {"aa": "abcabdabeabf " * 3, "bb": "the quick brown fox jumps over the lazy dog " * 50}
+    own = {k: np.unique(langid._codes(np.frombuffer(t.encode(), np.uint8)), return_counts=True) for k, t in texts.items()}
+    flat = np.frombuffer(b"abc abd quick", np.uint8)
+    both = langid.Model(["aa", "bb"], *zip(own["aa"], own["bb"]), 5).lengths(flat, np.array([0, 13]))
+    for k, lang in enumerate(own):
+        alone = langid.Model([lang], [own[lang][0]], [own[lang][1]], 5).lengths(flat, np.array([0, 13]))
+        assert alone[0, 0] == both[0, k]
