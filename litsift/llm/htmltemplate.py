@@ -1,22 +1,27 @@
 """HTML extraction by equivalence classes of template tokens.
 
 The tokens of a page are its elements, told apart by their path from the root with classes,
-and its text blocks, told apart by path and text. Over the pages of a host each token has an
-occurrence vector: its count on every page. A commutative hash of (page, count) stands for
-the vector, so vectors of any number of pages combine before a shuffle and no host's pages
-ever meet in one task.
+and its text blocks, told apart by path and text. Over the distinct contents of a host (the
+texts of a page; copies count once) each token has an occurrence vector: its count on every
+page. A commutative hash of (page, count) stands for the vector, so vectors of any number of
+pages combine before a shuffle and no host's pages ever meet in one task.
 
 Tokens of a host with equal vectors on ``MIN_PAGES`` pages or more form a class. A class is
 valid with an element token; its text tokens below that element are the template's own text.
 Classes nest by their paths. Where the template's elements leave slots, the slots are
 extracted: on a page with an article (or else a main element) the slots in it; elsewhere
 those in the deepest once-a-page element that holds ``REGION_SHARE`` of the host's slot
-text, or of the body without one. Slots in menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments are left out by element, role and class or id words;
-template text is left out outside articles only, so repeated passages of articles stay.
+text, or of the body without one.
+Template text is left out outside articles only, so repeated passages of articles stay.
+
+Slots in menus, headers, footers, sidebars, notices, adverts, forms and reader comments are
+left out by element, role and class or id words.
+
+What the template says about a page reaches it as marks of its own tokens, joined by host and
+token, so no host's template is held in one row.
 
 A null html is an empty page with an empty text. Pages of a null or odd url share the empty
-host. Equal pages count as often as they occur. Unclosed and stray tags are closed and
+host. Unclosed and stray tags are closed and
 ignored as browsers mostly do; a tag cut off by the page's end is dropped. Extra columns are
 ignored.
 """
@@ -26,6 +31,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +45,12 @@ from . import common
 MIN_PAGES = 3
 #: Share of a host's pages that its text region occurs on, and of its slot text that it holds.
 REGION_PAGES, REGION_SHARE = 0.5, 0.7
+#: Ways that a mark of a host is dealt out.
+SALTS = 16
+#: What a token is: an element, a text outside articles, a box of an article, a text in it, a hint.
+ELEMENT, TEXT, BOX, BOXED, HINT = range(5)
+#: Start of the name of a hint that needs evidence.
+WEAK = "#"
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -74,33 +86,59 @@ _ENDS_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"ta
               "th": {"tr", "table"}, "option": {"select"}}
 
 
-def _dropped(name: str, attributes: str) -> tuple[bool, str]:
-    """Whether an element holds no main text, and its name with class and id for paths."""
-    label, words, role = name, set(), ""
+def _read(name: str, attributes: str, inside: bool) -> tuple[bool, tuple[str, ...], str]:
+    """Whether an element never holds main text, its hints that it may not, and its name with class and id for paths."""
+    label, role, hints = name, "", []
+    classes: set[str] = set()
+    ids: set[str] = set()
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         if key.lower() == "role":
             role = value.strip()
-        else:
-            own = _WORD.findall(value)
-            words.update(own)
-            label += "." + "-".join("0" if w.isdigit() else w for w in own)
+            continue
+        (classes if key.lower() == "class" else ids).update(value.split())
+        label += "." + "-".join("0" if w.isdigit() else w for w in _WORD.findall(value))
     if name in DROPPED:
-        return True, label
+        return True, (), label
     if name in _KEPT:
-        return False, label
-    if name == "article":
-        return bool(words & COMMENT_WORDS), label
-    return role in DROPPED_ROLES or bool(words & DROPPED_WORDS), label
+        return False, (), label
+    words = {w for c in classes | ids for w in _WORD.findall(c)}
+    found = words & (COMMENT_WORDS if name == "article" else DROPPED_WORDS)
+    if found:
+        hints.append(f"{name}:{' '.join(sorted(found))}")
+    return name != "article" and role in DROPPED_ROLES, tuple(hints), label
+
+
+class Block(NamedTuple):
+    """A block of text: its path, letters in links, place, hints, and in an article the path and the boxes in it."""
+
+    path: str
+    text: str
+    links: int
+    place: str
+    hints: tuple[str, ...]
+    inner: str
+    boxes: tuple[str, ...]
+
+
+class Open(NamedTuple):
+    name: str
+    path: str
+    dropped: bool
+    hints: tuple[str, ...]
+    inner: str
+    boxes: tuple[str, ...]
 
 
 class Page:
-    """The elements of a page (counts by path) and its blocks: (path, text, link letters, place)."""
+    """The elements of a page, the boxes (elements with a class or id) in its articles, hints and blocks."""
 
     def __init__(self, source: str):
         self.elements: dict[str, int] = {}
-        self.blocks: list[tuple[str, str, int, str]] = []
-        stack: list[tuple[str, str, bool]] = []  # name, path, dropped
+        self.boxes: dict[str, int] = {}
+        self.hints: dict[str, int] = {}
+        self.blocks: list[Block] = []
+        stack: list[Open] = []
         text: list[str] = []
         self._linked = links = 0
         end, size = 0, len(source)
@@ -109,23 +147,23 @@ class Page:
             nonlocal links
             joined = " ".join("".join(text).split())
             if joined:
-                dropped = bool(stack) and stack[-1][2]
-                names = {s[0] for s in stack}
-                place = "" if dropped else "article" if "article" in names else "main" if "main" in names else "body"
-                self.blocks.append((stack[-1][1] if stack else "", joined, min(links, len(joined)), place))
+                at = stack[-1] if stack else Open("", "", False, (), "", ())
+                names = {s.name for s in stack}
+                place = "" if at.dropped else "article" if "article" in names else "main" if "main" in names else "body"
+                self.blocks.append(Block(at.path, joined, min(links, len(joined)), place, at.hints, at.inner, at.boxes))
             text.clear()
             links = 0
 
         def close(depth: int) -> None:
-            if any(s[0] not in INLINE for s in stack[depth:]):
+            if any(s.name not in INLINE for s in stack[depth:]):
                 flush()
             del stack[depth:]
 
         def find(names: set[str], stop: set[str] = frozenset()) -> int:
             for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in names:
+                if stack[depth].name in names:
                     return depth
-                if stack[depth][0] in stop:
+                if stack[depth].name in stop:
                     return -1
             return -1
 
@@ -135,7 +173,7 @@ class Page:
             if match.start() > end:
                 piece = html.unescape(source[end:match.start()])
                 text.append(piece)
-                if any(s[0] == "a" for s in stack):
+                if any(s.name == "a" for s in stack):
                     links += len(piece.strip())
             end = match.end()
             name = match[2]
@@ -161,32 +199,88 @@ class Page:
                 flush()
             if name in VOID:
                 continue
-            dropped, label = _dropped(name, match[3])
-            above = stack[-1] if stack else ("", "", False)
-            path = above[1] if name in INLINE else f"{above[1]}/{label}"
+            above = stack[-1] if stack else Open("", "", False, (), "", ())
+            inside = bool(above.inner) or any(s.name == "main" for s in stack)
+            dropped, hints, label = _read(name, match[3], inside)
+            path, inner, boxes = above.path, above.inner, above.boxes
             if name not in INLINE:
-                self.elements[path] = self.elements.get(path, 0) + 1
+                path = f"{path}/{label}"
+                if inner:
+                    inner = f"{inner}/{label}"
+                    if label != name:
+                        self.boxes[inner] = self.boxes.get(inner, 0) + 1
+                        boxes = (*boxes, inner)
+                else:
+                    self.elements[path] = self.elements.get(path, 0) + 1
+                    inner = "article" if name == "article" else ""
+            for hint in hints:
+                self.hints[hint] = self.hints.get(hint, 0) + 1
             if name in RAW and not match[3].endswith("/"):
                 shut = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(source, end)
                 end = shut.end() if shut else size
             elif not (match[3].endswith("/") and name in RAW):
-                stack.append((name, path, dropped or above[2]))
+                stack.append(Open(name, path, dropped or above.dropped, above.hints + hints, inner, boxes))
         if end < size:
             text.append(html.unescape(source[end:]))
         flush()
 
+    def shown(self, marks: set[int] = frozenset()) -> list[Block]:
+        """The blocks that no hint takes away: weak hints need a mark to hold, others one to fail."""
+        def holds(hint: str) -> bool:
+            return (_token("hint", hint) in marks) == hint.startswith(WEAK)
+
+        return [b for b in self.blocks if b.place and not any(map(holds, b.hints))]
+
     def text(self, region: str | None, template: set[int]) -> str:
-        """The blocks of the main slots."""
-        places = {b[3] for b in self.blocks}
-        if "article" in places:
-            own = [b for b in self.blocks if b[3] == "article"]
-        else:
-            wanted = {"main"} if "main" in places else {"body"}
-            own = [b for b in self.blocks if b[3] in wanted and _token(b[0], b[1]) not in template]
-            if region and "main" not in places:
-                inside = [b for b in own if b[0] == region or b[0].startswith(region + "/")]
-                own = inside or own
-        return "\n".join(b[1] for b in own)
+        """The blocks of the main slots; ``template`` holds the host's marks."""
+        shown = self.shown(template)
+        places = {b.place for b in shown}
+        wanted = "article" if "article" in places else "main" if "main" in places else "body"
+        own = [b for b in shown if b.place == wanted and _key(b) not in template]
+        if wanted == "body":
+            region = region or next((p for p in self.elements if _token("region", p) in template), None)
+            inside = [b for b in own if region and (b.path == region or b.path.startswith(region + "/"))]
+            own = inside or own
+        return "\n".join(b.text for b in own)
+
+    def counts(self) -> dict[tuple[int, str, int], list[int]]:
+        """n and letters by (kind, path, key) of the tokens; letters of a box are its blocks."""
+        out = {(ELEMENT, "", 0): [1, 0]}
+        out |= {(ELEMENT, path, _token("region", path)): [n, 0] for path, n in self.elements.items()}
+        out |= {(BOX, path, 0): [n, 0] for path, n in self.boxes.items()}
+        out |= {(HINT, hint, _token("hint", hint)): [n, 0] for hint, n in self.hints.items()}
+        for b in self.blocks:
+            for box in b.boxes:
+                out[BOX, box, 0][1] += 1
+                if b.place:
+                    out.setdefault((BOXED, box, _key(b)), [0, 0])[0] += 1
+            if not b.place:
+                continue
+            if not b.inner:
+                out.setdefault((TEXT, b.path, _key(b)), [0, 0])[0] += 1
+            if not any(not h.startswith(WEAK) for h in b.hints):
+                path, letters = b.path, len(b.text) - b.links
+                while path:
+                    if path in self.elements:
+                        out[ELEMENT, path, _token("region", path)][1] += letters
+                    path = path.rpartition("/")[0]
+                out[ELEMENT, "", 0][1] += letters
+        return out
+
+    def keys(self) -> set[int]:
+        """The keys whose marks can change this page's text."""
+        shown = self.shown()
+        weak = any(h.startswith(WEAK) for h in self.hints)
+        article = any(b.place == "article" for b in shown) and not weak
+        out = {_token("hint", h) for b in self.blocks if b.place and (b.inner or not article) for h in b.hints}
+        out |= {_key(b) for b in self.blocks if b.place and (b.boxes or not b.inner and not article)}
+        if weak or not any(b.place in ("article", "main") for b in shown):
+            out |= {_token("region", p) for p in self.elements}
+        return out
+
+    def signature(self) -> int:
+        """A hash of the texts shown, the same for copies in other markup."""
+        return xxhash.xxh64_intdigest("\0".join(b.text for b in self.shown())) - (1 << 63)
 
 
 def _token(path: str, text: str) -> int:
@@ -194,72 +288,71 @@ def _token(path: str, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{path}\0{text}") - (1 << 63)
 
 
-def host(url: str | None) -> str:
-    found = _HOST.match(url or "")
-    return found[1].lower() if found else ""
+def _key(block: Block) -> int:
+    return _token(block.inner or block.path, block.text)
 
 
-def _tokens(source: DataFrame) -> DataFrame:
-    """(host, path, token, vector, pages, total, letters): occurrence vectors, combined for each slice.
+_PARSED = pa.schema([
+    ("host", pa.string()), ("digest", pa.string()), ("signature", pa.int64()), ("keys", pa.list_(pa.int64())),
+    ("tokens", pa.list_(pa.struct([("kind", pa.int32()), ("path", pa.string()), ("key", pa.int64()),
+                                   ("n", pa.int64()), ("letters", pa.int64())])))])
 
-    ``token`` is null for an element; ``letters`` counts its slot text that is no link.
-    """
+
+def _parsed(source: DataFrame) -> DataFrame:
+    """(host, digest, signature, keys, tokens) of every page."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "html"):
-                seen: dict[tuple[str, str, int | None], list[int]] = {}
-                for page_id, url, body in zip(*[part.column(c).to_pylist() for c in ("id", "url", "html")]):
-                    page, where = Page(body or ""), host(url)
-                    key = xxhash.xxh64_intdigest(f"{page_id}\0{url}\0{xxhash.xxh64_hexdigest(body or '')}")
-                    counts: dict[tuple[str, int | None], list[int]] = {("", None): [1, 0]}
-                    for path, n in page.elements.items():
-                        counts[path, None] = [n, 0]
-                    for path, text, links, place in page.blocks:
-                        own = counts.setdefault((path, _token(path, text)), [0, 0])
-                        own[0] += 1
-                        if place:
-                            while path:
-                                counts[path, None][1] += len(text) - links
-                                path = path.rpartition("/")[0]
-                            counts["", None][1] += len(text) - links
-                    for (path, token), (n, letters) in counts.items():
-                        row = seen.setdefault((where, path, token), [0, 0, 0, 0])
-                        row[0] ^= xxhash.xxh64_intdigest(n.to_bytes(8, "little"), key)
-                        row[1] += 1
-                        row[2] += n
-                        row[3] += letters
-                keys, values = list(seen), np.array(list(seen.values()), object).reshape(-1, 4)
+                pages = [Page(body or "") for body in part.column("html").to_pylist()]
+                tokens = [[(*k, *v) for k, v in page.counts().items()] for page in pages]
+                flat = list(zip(*[t for own in tokens for t in own]))
+                inner = _PARSED.field("tokens").type.value_type
+                structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, inner)], fields=list(inner))
+                offsets = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-                    pa.array([k[2] for k in keys], pa.int64()),
-                    pa.array(values[:, 0].astype(np.uint64).view(np.int64)),
-                    *[pa.array(values[:, i].astype(np.int64)) for i in (1, 2, 3)],
-                ], ["host", "path", "token", "vector", "pages", "total", "letters"])
+                    part.column("host"), part.column("digest"), pa.array([p.signature() for p in pages], pa.int64()),
+                    pa.array([list(p.keys()) for p in pages], pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(pa.array(offsets), structs, type=_PARSED.field("tokens").type)],
+                    names=_PARSED.names)
+
+    return source.select("host", "digest", "html").mapInArrow(
+        run, "host string, digest string, signature long, keys array<long>, "
+             "tokens array<struct<kind:int,path:string,key:long,n:long,letters:long>>")
 
-    rows = source.mapInArrow(run, "host string, path string, token long, vector long, pages long, total long, "
-                                  "letters long")
-    return rows.groupBy("host", "path", "token").agg(
-        F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("total").alias("total"),
-        F.sum("letters").alias("letters"))
+
+def _tokens(parsed: DataFrame) -> DataFrame:
+    """(host, kind, path, key, vector, pages, total, letters): occurrence vectors over distinct contents."""
+    pages = parsed.groupBy("host", "signature").agg(F.min_by("tokens", "digest").alias("tokens"))
+    return pages.select("host", "signature", F.explode("tokens").alias("t")).groupBy("host", "t.kind", "t.path", "t.key").agg(
+        F.bit_xor(F.xxhash64("signature", "t.n")).alias("vector"), F.count("*").alias("pages"),
+        F.sum("t.n").alias("total"), F.sum("t.letters").alias("letters"))
 
 
 def deduce(tokens: DataFrame) -> DataFrame:
-    """(host, region, template): each host's text region and the tokens of its template text."""
-    often = tokens.filter(F.col("pages") >= MIN_PAGES)
-    elements = often.filter(F.col("token").isNull() & (F.col("path") != ""))
-    kind = ["host", "vector", "pages", "total"]
-    texts = often.filter(F.col("token").isNotNull()).join(
-        elements.select(*kind, F.col("path").alias("above")), kind).filter(
-        (F.col("path") == F.col("above")) | F.col("path").startswith(F.concat("above", F.lit("/"))))
-    template = texts.groupBy("host").agg(F.collect_set("token").alias("template"))
-    whole = tokens.filter(F.col("token").isNull() & (F.col("path") == "")).select(
+    """(host, key): marks of each host's template texts and its text region."""
+    def of(kind: int) -> DataFrame:
+        return tokens.filter((F.col("kind") == kind) & (F.col("pages") >= MIN_PAGES)).drop("kind")
+
+    same = ["host", "vector", "pages", "total"]
+    whole = tokens.filter(f"kind = {ELEMENT} and path = ''").select(
         "host", F.col("pages").alias("all"), F.col("letters").alias("every"))
+    elements = of(ELEMENT).filter("path <> ''")
+    texts = of(TEXT).join(elements.select(*same, F.col("path").alias("above")), same).filter(
+        (F.col("path") == F.col("above")) | F.col("path").startswith(F.concat("above", F.lit("/")))).select("host", "key")
     depth = F.size(F.split("path", "/"))
     region = elements.filter("pages = total").join(whole, "host").filter(
         (F.col("pages") >= REGION_PAGES * F.col("all")) & (F.col("letters") > 0)
         & (F.col("letters") >= REGION_SHARE * F.col("every"))
-    ).groupBy("host").agg(F.max_by("path", F.struct(depth, "letters", "path")).alias("region"))
-    return region.join(template, "host", "full")
+    ).groupBy("host").agg(F.max_by("key", F.struct(depth, "letters", "path")).alias("key"))
+    return texts.union(region).distinct()
+
+
+def _marks(parsed: DataFrame, marks: DataFrame) -> DataFrame:
+    """(host, digest, marks) of the pages that have any; a key is dealt out ``SALTS`` ways, for hosts of many pages."""
+    salted = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keys = parsed.filter(F.size("keys") > 0).dropDuplicates(["host", "digest"]).select(
+        "host", "digest", F.explode("keys").alias("key"), F.pmod(F.hash("digest"), F.lit(SALTS)).alias("salt"))
+    return keys.join(salted, ["host", "key", "salt"]).groupBy("host", "digest").agg(F.collect_set("key").alias("marks"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -269,19 +362,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     scratch = common.Scratch(spark, "template")
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"),
                           F.col(html_col).cast("string").alias("html"))
-    hosts = scratch.keep(deduce(scratch.keep(_tokens(source), "tokens")), "hosts")
-    where = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1))
+    source = source.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1)))
+    source = source.withColumn("digest", F.md5(F.coalesce("html", F.lit(""))))
+    parsed = scratch.keep(_parsed(source), "parsed")
+    found = scratch.keep(deduce(scratch.keep(_tokens(parsed), "tokens")), "marks")
+    marks = scratch.keep(_marks(parsed, found), "pages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "html"):
-                out = [Page(body or "").text(region, set(template or ())) for body, region, template in
-                       zip(*[part.column(c).to_pylist() for c in ("html", "region", "template")])]
+                out = [Page(body or "").text(None, set(own or ())) for body, own in
+                       zip(*[part.column(c).to_pylist() for c in ("html", "marks")])]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("url"), pa.array(out, pa.string())], ["id", "url", "text"])
 
-    joined = source.withColumn("host", where).join(hosts, "host", "left").select(
-        "id", "url", "html", "region", "template")
+    joined = source.join(marks, ["host", "digest"], "left").select("id", "url", "html", "marks")
     kind = source.schema["id"].dataType.simpleString()
     return joined.mapInArrow(run, f"id {kind}, url string, text string").withColumnsRenamed(
         {"id": id_col, "url": url_col})

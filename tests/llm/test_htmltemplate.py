@@ -72,3 +72,15 @@ def test_empty_table_and_given_pages(spark):
                   for b in re.split(r"</?(?:p|h1|br)>", body)]
         want = "\n".join(b for b in blocks if b)
         assert got[r.page_id] == (want, len(want))
+
+
+def test_copies_are_no_evidence(spark):
+    page = "<html><body><div class=top>Site name</div><div id=slug-of-this><p>The only text</p><p>of this page</p></div></body>"
+    printed = "<body><nav>back</nav><div class=print><b>Site name</b></div><p>The only text<p>of this page</body>"
+    rows = [(f"http://copies.example/a?{i}", page) for i in range(5)] + [("http://copies.example/print", printed)]
+    rows += pages("a.example", 6) + [(f"http://a.example/slug?{i}", page) for i in range(4)]
+    got = run(spark, rows)
+    for i in range(6):
+        assert got[i] == "Site name\nThe only text\nof this page"
+    for i in range(12, 16):
+        assert got[i] == "The only text\nof this page"
