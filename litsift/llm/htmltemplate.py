@@ -11,8 +11,9 @@ valid with an element token; its text tokens below that element are the template
 Classes nest by their paths. Where the template's elements leave slots, the slots are
 extracted: on a page with an article (or else a main element) the slots in it; elsewhere
 those in the deepest once-a-page element that holds ``REGION_SHARE`` of the host's slot
-text, or of the body without one.
-Template text is left out outside articles only, so repeated passages of articles stay.
+text, or of the body without one. In an article, paths begin at it, and template text is that
+of boxes: elements with a class or id, on ``REGION_PAGES`` of the host's pages, all of whose
+text is in their class. Repeated passages of articles outside such boxes stay.
 
 Slots in menus, headers, footers, sidebars, notices, adverts, forms and reader comments are
 left out by element, role and class or id words.
@@ -339,12 +340,18 @@ def deduce(tokens: DataFrame) -> DataFrame:
     elements = of(ELEMENT).filter("path <> ''")
     texts = of(TEXT).join(elements.select(*same, F.col("path").alias("above")), same).filter(
         (F.col("path") == F.col("above")) | F.col("path").startswith(F.concat("above", F.lit("/")))).select("host", "key")
+    # boxes of articles: on most pages, and all their text is the template's own
+    boxes = of(BOX).join(whole, "host").filter(F.col("pages") >= REGION_PAGES * F.col("all")).select(
+        *same, "path", F.col("letters").alias("blocks"))
+    boxed = of(BOXED).drop("letters").join(boxes, [*same, "path"])
+    fixed = boxed.groupBy("host", "path").agg(F.sum("total").alias("own"), F.max("blocks").alias("blocks")).filter(
+        "own = blocks").select("host", "path")
     depth = F.size(F.split("path", "/"))
     region = elements.filter("pages = total").join(whole, "host").filter(
         (F.col("pages") >= REGION_PAGES * F.col("all")) & (F.col("letters") > 0)
         & (F.col("letters") >= REGION_SHARE * F.col("every"))
     ).groupBy("host").agg(F.max_by("key", F.struct(depth, "letters", "path")).alias("key"))
-    return texts.union(region).distinct()
+    return texts.union(boxed.join(fixed, ["host", "path"]).select("host", "key")).union(region).distinct()
 
 
 def _marks(parsed: DataFrame, marks: DataFrame) -> DataFrame:

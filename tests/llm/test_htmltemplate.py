@@ -74,6 +74,16 @@ def test_empty_table_and_given_pages(spark):
         assert got[r.page_id] == (want, len(want))
 
 
+def test_template_decides_in_articles(spark):
+    rows = [(f"http://h.example/{i}", f"<article id=slug-{'abcdef'[i]}><h1>T{i}</h1><div class=byline-box>By <div class=who>Site name</div></div>"
+             f"<div class=entry><p>Licence text.</p><p>own {i}</p></div></article>") for i in range(6)]
+    rows += [(f"http://few.example/{i}", h) for i, (_, h) in enumerate(rows[:2])]
+    got = run(spark, rows)
+    for i in range(6):
+        assert got[i] == f"T{i}\nLicence text.\nown {i}"
+    assert got[6] == "T0\nBy\nSite name\nLicence text.\nown 0"
+
+
 def test_copies_are_no_evidence(spark):
     page = "<html><body><div class=top>Site name</div><div id=slug-of-this><p>The only text</p><p>of this page</p></div></body>"
     printed = "<body><nav>back</nav><div class=print><b>Site name</b></div><p>The only text<p>of this page</body>"
