@@ -16,7 +16,9 @@ of boxes: elements with a class or id, on ``REGION_PAGES`` of the host's pages,
 text is in their class. Repeated passages of articles outside such boxes stay.
 
 Slots in menus, headers, footers, sidebars, notices, adverts, forms and reader comments are
-left out by element, role and class or id words.
+left out by element, role and class or id words. Words are hints: on a host of ``MIN_PAGES``
+pages one fails that doesn't recur on as many. In articles and main only whole classes are
+hints, and whole ids that recur; ids of headings, paragraphs and sections never are.
 
 What the template says about a page reaches it as marks of its own tokens, joined by host and
 token, so no host's template is held in one row.
@@ -80,6 +82,8 @@ DROPPED_WORDS = set(
     "copyright form".split())
 COMMENT_WORDS = set("comment comments commentlist disqus reply replies".split())
 _KEPT = set("html body main".split())
+#: Elements whose id is made from a title.
+_OWN_IDS = set("h1 h2 h3 h4 h5 h6 p section".split())
 #: Start tags that end an open paragraph.
 _ENDS_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
               "header hr main menu nav ol p pre section table ul".split())
@@ -88,7 +92,10 @@ _ENDS_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"ta
 
 
 def _read(name: str, attributes: str, inside: bool) -> tuple[bool, tuple[str, ...], str]:
-    """Whether an element never holds main text, its hints that it may not, and its name with class and id for paths."""
+    """Whether an element never holds main text, its hints that it may not, and its name with class and id for paths.
+
+    In an article or main, only whole classes are hints; a whole id is a weak one.
+    """
     label, role, hints = name, "", []
     classes: set[str] = set()
     ids: set[str] = set()
@@ -103,8 +110,15 @@ def _read(name: str, attributes: str, inside: bool) -> tuple[bool, tuple[str, ..
         return True, (), label
     if name in _KEPT:
         return False, (), label
-    words = {w for c in classes | ids for w in _WORD.findall(c)}
-    found = words & (COMMENT_WORDS if name == "article" else DROPPED_WORDS)
+    if name == "article":
+        found = {w for c in classes for w in _WORD.findall(c)[:1]} & COMMENT_WORDS
+    else:
+        if name in _OWN_IDS:
+            ids = set()
+        found = classes & DROPPED_WORDS if inside else {w for c in classes | ids for w in _WORD.findall(c)} & DROPPED_WORDS
+        weak = ids & DROPPED_WORDS if inside else set()
+        if weak and not found:
+            hints.append(f"{WEAK}{name}:{' '.join(sorted(weak))}")
     if found:
         hints.append(f"{name}:{' '.join(sorted(found))}")
     return name != "article" and role in DROPPED_ROLES, tuple(hints), label
@@ -330,7 +344,7 @@ def _tokens(parsed: DataFrame) -> DataFrame:
 
 
 def deduce(tokens: DataFrame) -> DataFrame:
-    """(host, key): marks of each host's template texts and its text region."""
+    """(host, key): marks of each host's template texts, its text region, hints that fail and weak ones that hold."""
     def of(kind: int) -> DataFrame:
         return tokens.filter((F.col("kind") == kind) & (F.col("pages") >= MIN_PAGES)).drop("kind")
 
@@ -351,7 +365,11 @@ def deduce(tokens: DataFrame) -> DataFrame:
         (F.col("pages") >= REGION_PAGES * F.col("all")) & (F.col("letters") > 0)
         & (F.col("letters") >= REGION_SHARE * F.col("every"))
     ).groupBy("host").agg(F.max_by("key", F.struct(depth, "letters", "path")).alias("key"))
-    return texts.union(boxed.join(fixed, ["host", "path"]).select("host", "key")).union(region).distinct()
+    weak = F.col("path").startswith(WEAK)
+    often = F.col("pages") >= MIN_PAGES
+    hints = tokens.filter(f"kind = {HINT}").join(whole, "host").filter(
+        (weak & often) | (~weak & ~often & (F.col("all") >= MIN_PAGES))).select("host", "key")
+    return texts.union(boxed.join(fixed, ["host", "path"]).select("host", "key")).union(region).union(hints).distinct()
 
 
 def _marks(parsed: DataFrame, marks: DataFrame) -> DataFrame:

@@ -94,3 +94,14 @@ def test_copies_are_no_evidence(spark):
         assert got[i] == "Site name\nThe only text\nof this page"
     for i in range(12, 16):
         assert got[i] == "The only text\nof this page"
+
+
+def test_words_of_ids_and_classes_drop_nothing_without_evidence(spark):
+    kept = ("<section id=related-work>a</section><section id=header-files>b</section><h2 id=social-policy>c</h2><p id=notice-of-appeal>d</p>"
+            "<div class=share-price>e</div><div id=reply>f</div>")
+    assert text(f"<article>{kept}</article>") == text(f"<main>{kept}</main>") == "a\nb\nc\nd\ne\nf"
+    assert text("<body><h2 id=social-policy>c</h2><div class=share>s</div><p>d") == "c\nd"
+    rows = [(f"http://h.example/{i}", f"<article><p>own {i}</p><div class=related>More {i}</div><div id=comments>c{i}</div>"
+             f"{'<div class=notice>Text of the notice</div>' if i == 2 else ''}</article>") for i in range(5)]
+    got = run(spark, rows)
+    assert got == {i: f"own {i}" + ("\nText of the notice" if i == 2 else "") for i in range(5)}
