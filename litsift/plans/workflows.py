@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -167,7 +168,7 @@ def q_two_stage(spark, sf):
 
 def learning_curve(train: DataFrame, start: int = 50, step: int = 10, stop: int | None = None,
                    model: str = "logit", v: int = 5, seed: int = 42, repeats: int = 1) -> DataFrame:
-    """CV score by training-set size, averaged over seeded repeats.
+    """CV score and wall seconds of a run by training-set size, averaged over seeded repeats.
 
     Sizes run from ``start`` by ``step`` to ``stop`` (the smaller class's size without one),
     which is always the last. Each class is cut to its first rows in id order, train part of
@@ -179,14 +180,17 @@ def learning_curve(train: DataFrame, start: int = 50, step: int = 10, stop: int
     for size in sorted({*range(start, stop, step), stop}):
         sub = sampling.prefix_split(train, "class", "pmid", size=size).where("split = 'train'") \
             .drop("split")
-        found = []
+        found, seconds = [], 0.0
         for k in range(repeats):
+            began = time.perf_counter()
             _, metrics = cv.cross_validate(sub, [model], v=v, seed=seed + k)
             m = evaluate.metric_summary(metrics).where("metric = 'roc_auc'").first()
+            seconds += time.perf_counter() - began
             if m is not None and m["mean"] is not None:
                 found.append(float(m["mean"]))
-        rows.append((int(sub.count()), len(found), sum(found) / len(found) if found else None))
-    return train.sparkSession.createDataFrame(rows, "n_docs long, n_runs int, mean_auc double")
+        rows.append((int(sub.count()), len(found), sum(found) / len(found) if found else None,
+                     seconds / repeats if repeats else None))
+    return train.sparkSession.createDataFrame(rows, "n_docs long, n_runs int, mean_auc double, seconds double")
 
 
 def runtime_trend(log: DataFrame) -> DataFrame:
