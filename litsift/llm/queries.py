@@ -11,6 +11,7 @@ from .decontam import op3_fm_decontam
 from .fingerprints import op1_scaled_sketch
 from .htmltemplate import op2_template_text
 from .langid import op5_ppm_langid
+from .merkle import op11_merkle_manifest
 from .quality import op7_weak_quality
 from .secretscan import op6_entropy_secrets
 from .setsketch import op10_setsketch
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_doubling": op8_doubling,
     "op9_warc": op9_warc,
     "op10_setsketch": op10_setsketch,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -93,4 +95,49 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, low.component_id,
                d.doc_id = low.component_id AS kept
         FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN low ON d.doc_id = low.doc_id""",
+    "op11_merkle_manifest": r"""
+        WITH RECURSIVE d AS (SELECT *, CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS g FROM documents),
+        f AS (SELECT d.*, n.k, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                     || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+                     coalesce(strlen((n_chars::HUGEINT + k)::VARCHAR) || ':' || (n_chars::HUGEINT + k), '-')
+                     || coalesce(strlen(text) || ':' || text, '-') AS b FROM d CROSS JOIN (VALUES (0), (1)) n(k)),
+        crc AS (SELECT DISTINCT doc_id, xor(4294967295::UBIGINT, list_reduce(list_concat([4294967295::UBIGINT],
+                    list_transform(range(1, strlen(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::UBIGINT)),
+                    lambda c, x: list_reduce([xor(c, x), 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT,
+                        0::UBIGINT, 0::UBIGINT], lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y >> 1, 3988292384::UBIGINT) ELSE y >> 1 END)))
+                    % 7 = 0 AS tampered FROM d WHERE doc_id IS NOT NULL),
+        l AS (SELECT x.doc_id, x.g, sha256(x.a || x.b) AS leaf, sha256(y.a || y.b) AS more,
+                     row_number() OVER (PARTITION BY x.g ORDER BY x.doc_id NULLS FIRST, sha256(x.a || x.b)) - 1 AS i
+              FROM (SELECT * FROM f WHERE k = 0) x JOIN (SELECT * FROM f WHERE k = 1) y
+                ON x.doc_id IS NOT DISTINCT FROM y.doc_id AND x.a = y.a AND x.text IS NOT DISTINCT FROM y.text
+               AND x.n_chars IS NOT DISTINCT FROM y.n_chars),
+        trees AS (SELECT g, 0 AS k, list(leaf ORDER BY i) AS nodes FROM l GROUP BY g
+                  UNION ALL
+                  SELECT g, k + 1, list_transform(range(0, (len(nodes) + 1) // 2),
+                                                  lambda j: sha256(nodes[2 * j + 1] || coalesce(nodes[2 * j + 2], '')))
+                  FROM trees WHERE len(nodes) > 1),
+        sub AS (SELECT g, k AS height, nodes[1] AS subroot, row_number() OVER (ORDER BY g) - 1 AS i
+                FROM trees WHERE len(nodes) = 1),
+        top AS (SELECT 0 AS k, list(subroot ORDER BY i) AS nodes FROM sub HAVING count(*) > 0
+                UNION ALL
+                SELECT k + 1, list_transform(range(0, (len(nodes) + 1) // 2),
+                                             lambda j: sha256(nodes[2 * j + 1] || coalesce(nodes[2 * j + 2], '')))
+                FROM top WHERE len(nodes) > 1),
+        proof AS (SELECT l.g, l.i, t.k, (l.i >> t.k) % 2 = 1 AS lefts, t.nodes[xor(l.i >> t.k, 1) + 1] AS other
+                  FROM l JOIN trees t ON l.g = t.g AND len(t.nodes) > 1
+                  UNION ALL
+                  SELECT l.g, l.i, s.height + t.k, (s.i >> t.k) % 2 = 1, t.nodes[xor(s.i >> t.k, 1) + 1]
+                  FROM l JOIN sub s ON l.g = s.g JOIN top t ON len(t.nodes) > 1),
+        fold AS (SELECT l.g, l.i, 0 AS k, CASE WHEN coalesce(c.tampered, false) THEN more ELSE leaf END AS node
+                 FROM l LEFT JOIN crc c ON l.doc_id = c.doc_id
+                 UNION ALL
+                 SELECT f.g, f.i, f.k + 1, sha256(CASE WHEN p.lefts THEN coalesce(p.other, '') || f.node
+                                                       ELSE f.node || coalesce(p.other, '') END)
+                 FROM fold f JOIN proof p ON f.g = p.g AND f.i = p.i AND f.k = p.k),
+        ends AS (SELECT g, i, arg_max(node, k) AS folded_root FROM fold GROUP BY g, i),
+        said AS (SELECT g, i, sha256(string_agg(coalesce(other, ''), '' ORDER BY k)) AS proof_sha256 FROM proof GROUP BY g, i)
+        SELECT l.doc_id, l.leaf, s.subroot, t.nodes[1] AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256,
+               e.folded_root, e.folded_root = t.nodes[1] AS verified
+        FROM l JOIN sub s ON l.g = s.g JOIN top t ON len(t.nodes) = 1 JOIN ends e ON e.g = l.g AND e.i = l.i
+        LEFT JOIN said p ON p.g = l.g AND p.i = l.i""",
 }
