@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op4_bpe
 from .decontam import op3_fm_decontam
 from .fingerprints import op1_scaled_sketch
+from .hardneg import op13_onebit_negatives
 from .htmltemplate import op2_template_text
 from .langid import op5_ppm_langid
 from .merkle import op11_merkle_manifest
@@ -16,6 +17,7 @@ from .quality import op7_weak_quality
 from .secretscan import op6_entropy_secrets
 from .setsketch import op10_setsketch
 from .substring import op8_doubling
+from .urlfilter import op12_markov_urls
 from .warc import op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_setsketch": op10_setsketch,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_markov_urls": op12_markov_urls,
+    "op13_onebit_negatives": op13_onebit_negatives,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -140,4 +144,90 @@ ORACLES: dict[str, str] = {
                e.folded_root, e.folded_root = t.nodes[1] AS verified
         FROM l JOIN sub s ON l.g = s.g JOIN top t ON len(t.nodes) = 1 JOIN ends e ON e.g = l.g AND e.i = l.i
         LEFT JOIN said p ON p.g = l.g AND p.i = l.i""",
+    "op12_markov_urls": r"""
+        WITH cut AS (SELECT *, CASE WHEN strpos(text, '://') > 0 THEN substr(text, strpos(text, '://') + 3) ELSE '' END AS rest
+                     FROM (SELECT page_id, coalesce(url, '') AS text FROM pages)),
+        named AS (SELECT page_id, text, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                  'abcdefghijklmnopqrstuvwxyz') AS host,
+                         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+        ruled AS (SELECT *, CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/')
+                                 THEN 'www.example.com/en/'
+                                 WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+                                 WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+                                 WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+                                 WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM named),
+        urls AS MATERIALIZED (SELECT DISTINCT text, rule IN ('com/', 'www.example.com/en/') AS accepted,
+                                     substr(md5(text), 1, 1) IN ('0', '1', '2', '3') AS held FROM ruled),
+        each AS MATERIALIZED (SELECT text, accepted, held, substr(repeat(chr(2), 4) || text || chr(3), i, 5) AS gram
+                              FROM (SELECT *, unnest(generate_series(1, length(text) + 1)) AS i FROM urls)),
+        counts AS MATERIALIZED (SELECT gram, count(*) FILTER (accepted AND NOT held) AS a,
+                                       count(*) FILTER (NOT accepted AND NOT held) AS r FROM each GROUP BY gram),
+        t4 AS MATERIALIZED (SELECT gram AS key, sum(a) AS a, sum(r) AS r FROM counts GROUP BY 1),
+        t3 AS MATERIALIZED (SELECT substr(key, 2) AS key, sum(a) AS a, sum(r) AS r FROM t4 GROUP BY 1),
+        t2 AS MATERIALIZED (SELECT substr(key, 2) AS key, sum(a) AS a, sum(r) AS r FROM t3 GROUP BY 1),
+        t1 AS MATERIALIZED (SELECT substr(key, 2) AS key, sum(a) AS a, sum(r) AS r FROM t2 GROUP BY 1),
+        t0 AS MATERIALIZED (SELECT substr(key, 2) AS key, sum(a) AS a, sum(r) AS r FROM t1 GROUP BY 1),
+        p0 AS MATERIALIZED (
+            SELECT t.key, CASE WHEN c.a > 0 THEN (t.a + c.ka * q.pa) / (c.a + c.ka) ELSE q.pa END AS pa,
+                   CASE WHEN c.r > 0 THEN (t.r + c.kr * q.pr) / (c.r + c.kr) ELSE q.pr END AS pr
+            FROM t0 t JOIN (SELECT substr(key, 1, 0) AS context, sum(a) AS a, sum(r) AS r, count(*) FILTER (a > 0) AS ka,
+                                     count(*) FILTER (r > 0) AS kr FROM t0 GROUP BY 1) c ON c.context = substr(t.key, 1, 0)
+            CROSS JOIN (SELECT 1.0::DOUBLE / 1114112 AS pa, 1.0::DOUBLE / 1114112 AS pr) q),
+        p1 AS MATERIALIZED (
+            SELECT t.key, CASE WHEN c.a > 0 THEN (t.a + c.ka * q.pa) / (c.a + c.ka) ELSE q.pa END AS pa,
+                   CASE WHEN c.r > 0 THEN (t.r + c.kr * q.pr) / (c.r + c.kr) ELSE q.pr END AS pr
+            FROM t1 t JOIN (SELECT substr(key, 1, 1) AS context, sum(a) AS a, sum(r) AS r, count(*) FILTER (a > 0) AS ka,
+                                     count(*) FILTER (r > 0) AS kr FROM t1 GROUP BY 1) c ON c.context = substr(t.key, 1, 1)
+            JOIN p0 q ON q.key = substr(t.key, 2)),
+        p2 AS MATERIALIZED (
+            SELECT t.key, CASE WHEN c.a > 0 THEN (t.a + c.ka * q.pa) / (c.a + c.ka) ELSE q.pa END AS pa,
+                   CASE WHEN c.r > 0 THEN (t.r + c.kr * q.pr) / (c.r + c.kr) ELSE q.pr END AS pr
+            FROM t2 t JOIN (SELECT substr(key, 1, 2) AS context, sum(a) AS a, sum(r) AS r, count(*) FILTER (a > 0) AS ka,
+                                     count(*) FILTER (r > 0) AS kr FROM t2 GROUP BY 1) c ON c.context = substr(t.key, 1, 2)
+            JOIN p1 q ON q.key = substr(t.key, 2)),
+        p3 AS MATERIALIZED (
+            SELECT t.key, CASE WHEN c.a > 0 THEN (t.a + c.ka * q.pa) / (c.a + c.ka) ELSE q.pa END AS pa,
+                   CASE WHEN c.r > 0 THEN (t.r + c.kr * q.pr) / (c.r + c.kr) ELSE q.pr END AS pr
+            FROM t3 t JOIN (SELECT substr(key, 1, 3) AS context, sum(a) AS a, sum(r) AS r, count(*) FILTER (a > 0) AS ka,
+                                     count(*) FILTER (r > 0) AS kr FROM t3 GROUP BY 1) c ON c.context = substr(t.key, 1, 3)
+            JOIN p2 q ON q.key = substr(t.key, 2)),
+        p4 AS MATERIALIZED (
+            SELECT t.key, CASE WHEN c.a > 0 THEN (t.a + c.ka * q.pa) / (c.a + c.ka) ELSE q.pa END AS pa,
+                   CASE WHEN c.r > 0 THEN (t.r + c.kr * q.pr) / (c.r + c.kr) ELSE q.pr END AS pr
+            FROM t4 t JOIN (SELECT substr(key, 1, 4) AS context, sum(a) AS a, sum(r) AS r, count(*) FILTER (a > 0) AS ka,
+                                     count(*) FILTER (r > 0) AS kr FROM t4 GROUP BY 1) c ON c.context = substr(t.key, 1, 4)
+            JOIN p3 q ON q.key = substr(t.key, 2)),
+        sums AS (SELECT text, accepted, held, sum(round((ln(pa) - ln(pr)) / 1e-9)::BIGINT)::BIGINT AS ratio, count(*) AS n
+                 FROM each JOIN p4 ON p4.key = each.gram GROUP BY ALL),
+        scored AS MATERIALIZED (SELECT *, floor(ratio / (n * (1e-3::DOUBLE / 1e-9::DOUBLE)))::BIGINT AS cell FROM sums),
+        known AS (SELECT cell, count(*) FILTER (accepted) AS good, count(*) FILTER (NOT accepted) AS bad
+                  FROM scored WHERE held AND accepted IS NOT NULL GROUP BY cell),
+        cells AS (SELECT * FROM known UNION ALL SELECT greatest(max(cell), -1) + 1, 0, 0 FROM known HAVING count(*) > 0),
+        losses AS (SELECT coalesce(greatest(least(cell, 0), lag(cell) OVER w + 1), least(cell, 0)) AS bound,
+                          coalesce((sum(good) OVER w - good)::DOUBLE / nullif(sum(good) OVER (), 0), 0.0)
+                          + coalesce((sum(bad) OVER () - sum(bad) OVER w + bad)::DOUBLE / nullif(sum(bad) OVER (), 0), 0.0) AS loss
+                   FROM cells WINDOW w AS (ORDER BY cell)),
+        chosen AS (SELECT coalesce((SELECT bound FROM losses ORDER BY loss, abs(bound), bound LIMIT 1), 0) AS bound)
+        SELECT page_id, host, path, rule,
+               CASE WHEN coalesce(s.accepted, s.cell >= chosen.bound) THEN 'allow' ELSE 'block' END AS verdict,
+               round(ratio / n * 1e-9, 6) AS score
+        FROM ruled JOIN scored s ON s.text = ruled.text CROSS JOIN chosen""",
+    "op13_onebit_negatives": """
+        WITH v AS (SELECT row_number() OVER () AS r, vec_id AS id,
+                          CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS parts
+                   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+                    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        pairs AS (SELECT a.r AS anchor, a.id AS anchor_id, b.id, a.label = b.label AS same,
+                         list_inner_product(a.parts, b.parts)::BIGINT AS score
+                  FROM v a JOIN v b ON a.id % 100 = 0 AND len(a.parts) = len(b.parts) AND (a.label <> b.label OR a.id <> b.id)),
+        p AS (SELECT anchor, anchor_id, id AS positive_id, score AS positive_score,
+                     row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS positive_rank
+              FROM pairs WHERE same QUALIFY positive_rank <= 5)
+        SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id,
+               p.positive_score, n.score AS negative_score, CAST(positive_rank AS INTEGER) AS positive_rank
+        FROM p JOIN pairs n ON n.anchor = p.anchor AND NOT n.same
+         AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+        WINDOW w AS (PARTITION BY p.anchor, p.positive_rank ORDER BY n.score DESC, n.id)
+        QUALIFY row_number() OVER w <= 10""",
 }
