@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -78,3 +80,67 @@ def test_allowed_fragments_excuse_themselves_only(spark):
     for i, text in enumerate(secret):
         assert got[i] == [("entropy", 0, len(text))], text
     assert not any(got[i] for i in range(len(secret), len(secret + fine)))
+
+
+def plain_spans(text):
+    """All spans of a text by plain loops: base ones, then runs of each class that are secrets."""
+    kept = [(m.start(), k, m.end()) for k, (_, pattern, ok) in enumerate(PATTERNS) for m in pattern.finditer(text) if ok(m)]
+    base_spans, found = list(kept), {}
+    for name, (pattern, limit) in secretscan.CLASSES.items():
+        found[name] = []
+        for m in re.finditer(pattern, text):
+            pieces, end = [], 0
+            for f in re.finditer(secretscan.FRAGMENTS, m[0]):
+                pieces.append(m[0][end:f.start()])
+                end = f.end()
+            pieces.append(m[0][end:])
+            if any(re.search(a, "".join(pieces)) for a in secretscan.ALLOWED):
+                continue
+            if any(highest(p) >= limit - 1e-9 for p in pieces if len(p) >= secretscan.WINDOW) and not any(
+                    a < m.end() and m.start() < b for a, _, b in base_spans):
+                found[name].append((m.start(), len(PATTERNS), m.end()))
+    first, second = found.values()
+    first = [x for x in first if not any(a < x[2] and x[0] < b for a, _, b in second)]
+    return sorted(base_spans + first + second)
+
+
+def plain_redacted(text, spans):
+    out, at = [], 0
+    for start, _, stop in spans:
+        if start >= at:
+            out += [text[at:start], "[SECRET]"]
+        at = max(at, stop)
+    return "".join(out) + text[at:]
+
+
+def test_all_spans_and_redaction_against_plain_loops(spark):
+    draw = random.Random(4)
+    parts = ["password=", "secret: ", "token='", "AKIA", "ABCDEFGHIJKLMNOP", "é ", "\n", "example", "AAAAAAAAA", " ",
+             "123e4567-e89b-12d3-a456-426614174000", "-", "/"]
+    texts = list(TEXTS)
+    for _ in range(300):
+        own = []
+        for _ in range(draw.randrange(1, 9)):
+            own.append(draw.choice(parts) if draw.random() < 0.6 else "".join(
+                draw.choice(draw.choice(["0123456789abcdef", secretscan._ALPHABET, "ab"])) for _ in range(draw.randrange(1, 70))))
+        texts.append("".join(own))
+    texts.append(" ".join("0123456789abcdef0123456%x" % (i % 16) + "token=abcdef" * (i % 3) for i in range(1500)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = secretscan.scan(df).withColumn("clean", secretscan.redact(F.col("text"), F.col("found"))).collect()
+    for r in got:
+        want = plain_spans(texts[r.doc_id])
+        assert [(x.start, x.kind, x.stop) for x in r.found] == want, texts[r.doc_id]
+        assert r.clean == plain_redacted(texts[r.doc_id], want)
+    assert sum(any(x.kind == 3 for x in r.found) for r in got) > 50
+
+
+def test_long_runs_and_many_matches_take_linear_time(spark):
+    draw = random.Random(5)
+    run = "".join(draw.choice(secretscan._ALPHABET[:64]) for _ in range(1 << 20))
+    many = "token=abcdef " * 100_000
+    df = spark.createDataFrame([(0, run), (1, many)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secretscan.scan(df).select("doc_id", F.size("found").alias("n"), F.length(
+        secretscan.redact(F.col("text"), F.col("found"))).alias("left")).collect()}
+    assert (got[0].n, got[0].left) == (1, 8) and (got[1].n, got[1].left) == (100_000, 900_000)
+    assert time.perf_counter() - began < 90
