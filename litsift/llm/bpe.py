@@ -291,7 +291,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return source.mapInArrow(common.task(run), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -315,7 +315,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
     source = tokens.select(F.col(first).alias("id"), F.col(ids_col).alias("ids"))
     kind = source.schema["id"].dataType.simpleString()
-    out = source.mapInArrow(run, f"id {kind}, ids array<int>, decoded binary")
+    out = source.mapInArrow(common.task(run), f"id {kind}, ids array<int>, decoded binary")
     return out.withColumnRenamed("id", first)
 
 

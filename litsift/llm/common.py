@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +104,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)  # odd, so it has an inverse modulo 2^64
+#: Powers kept between calls, and the bytes of words hashed at once; longer rows of powers are made anew.
+_KEPT = 1 << 16
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -109,14 +113,16 @@ def powers(n: int, base: np.uint64 = _BASE) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i below n."""
     have = _powers.get(int(base))
     if have is None or len(have[0]) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
+        size = min(1 << max(12, int(n - 1).bit_length()), max(n, _KEPT + 1))
         inverse = pow(int(base), -1, 1 << 64)
         out = []
         for b in (int(base), inverse):
             step = np.full(size, b, np.uint64)
             step[0] = 1
             out.append(np.multiply.accumulate(step))
-        have = _powers[int(base)] = (out[0], out[1])
+        have = out[0], out[1]
+        if size <= _KEPT + 1:
+            _powers[int(base)] = have
     return have[0][:n], have[1][:n]
 
 
@@ -156,6 +162,39 @@ def find_words(flat: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACES)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    return range_hash(flat.astype(np.uint64) + np.uint64(1), starts, ends)
+def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; words are in order and taken a stretch of bytes at a time."""
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + _KEPT, "right")))
+        first = starts[a]
+        part = flat[first:ends[b - 1]].astype(np.uint64) + np.uint64(1)
+        out[a:b] = range_hash(part, starts[a:b] - first, ends[a:b] - first, base)
+        a = b
+    return out
+
+
+# ------------------------------------------------------------------ memory of Python workers
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system: a worker that goes on keeps its heap otherwise."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function for ``mapInArrow`` whose worker holds nothing of it afterwards."""
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return held

@@ -8,9 +8,10 @@ transform in a wavelet matrix with popcount ranks, and sampled suffix positions.
 phrases are searched backward together; the occurrences' places come from walks to the next
 sample, and each document's hits are merged into removal spans.
 
-The test phrases are a stated query set. They are read on the driver in blocks of at most
-``BLOCK_BYTES`` of text, one pass over the documents for each block, and the spans of
-all blocks are merged.
+The test phrases are a stated query set. They are read on the driver in blocks of about
+``BLOCK_BYTES`` of text (a longer item is a block of its own), one pass over the documents for
+each. A pass adds its spans to those of the pass before, whose result it reads from a written
+table, so one block is broadcast at a time.
 
 Null or empty documents have no words and no hits; null or empty items have no phrases. An
 item without an id marks words but is never listed. Repeated items or rows count as they
@@ -33,7 +34,7 @@ PHRASE_WORDS = 10
 #: Bytes of benchmark text sent to the executors at once.
 BLOCK_BYTES = 16 << 20
 #: Bytes of documents in one shard; one longer document is a shard of its own.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 2 << 20
 #: Every so many positions of a shard's symbols have their suffix's place kept.
 SAMPLE = 8
 
@@ -42,6 +43,8 @@ _CLEAN = bytearray(common.LOWER.tobytes())
 for _b in [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]:
     _CLEAN[_b] = 0x20
 _CLEAN = bytes(_CLEAN)
+_CLEANED = np.frombuffer(_CLEAN, np.uint8)
+_GAPS = np.arange(256) == 0x20
 
 
 def words(text: bytes) -> list[bytes]:
@@ -71,6 +74,39 @@ class Phrases:
         self.owner_cuts = np.cumsum([0, *map(len, found.values())])
         self.owners = np.array([number[x] for owners in found.values() for x in sorted(owners)], np.int64)
         self.shortest = int(self.lengths.min()) if len(found) else 0
+        vocabulary = list(self.symbol)
+        self.flat = np.frombuffer(b"".join(vocabulary), np.uint8)
+        self.ends = np.cumsum(np.fromiter(map(len, vocabulary), np.int64, len(vocabulary)))
+        self.starts = self.ends - np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
+        for odd in range(1, 1000, 2):  # a base under which no two of the words have the same hash
+            self.base = np.uint64(0x9E3779B97F4A7C55 + 2 * odd)
+            hashes = common.word_hashes(self.flat, self.starts, self.ends, self.base)
+            self.order = np.argsort(hashes)
+            self.hashes = hashes[self.order]
+            if (self.hashes[1:] != self.hashes[:-1]).all():
+                break
+
+    def symbols(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The symbol of each word of a cleaned text, 1 for those of no phrase.
+
+        A word is looked up by its hash, and its bytes are compared with those of the word found.
+        """
+        out = np.ones(len(starts), np.int64)
+        if not len(self.hashes) or not len(starts):
+            return out
+        hashes = common.word_hashes(flat, starts, ends, self.base)
+        slot = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        found = self.order[slot]
+        same = np.flatnonzero((self.hashes[slot] == hashes) & (self.ends[found] - self.starts[found] == ends - starts))
+        for a in range(0, len(same), 1 << 15):
+            part = same[a:a + (1 << 15)]
+            size = ends[part] - starts[part]
+            first = np.cumsum(size) - size
+            step = np.arange(int(size.sum())) - np.repeat(first, size)
+            equal = flat[np.repeat(starts[part], size) + step] == self.flat[np.repeat(self.starts[found[part]], size) + step]
+            part = part[np.logical_and.reduceat(equal, first)]
+            out[part] = found[part] + 2
+        return out
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -224,12 +260,11 @@ def find(symbols: np.ndarray, cuts: np.ndarray, phrases: Phrases) -> tuple[np.nd
 def _shard(part: pa.RecordBatch, phrases: Phrases) -> tuple[list[int], list[list[int]], list[list[str]]]:
     """For each document of a shard: words, merged spans (flat starts and ends), items."""
     flat, offsets = common.raw(part.column("text"))
-    data = flat.tobytes()
-    split = [words(data[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
-    counts = np.fromiter(map(len, split), np.int64, len(split))
-    cuts = np.concatenate([[0], np.cumsum(counts)])
-    symbol = phrases.symbol.get
-    symbols = np.fromiter((symbol(w, 1) for own in split for w in own), np.int64, cuts[-1])
+    flat = _CLEANED[flat]
+    first, last, cuts = common.find_words(flat, offsets, _GAPS)
+    counts = np.diff(cuts)
+    symbols = phrases.symbols(flat, first, last)
+    del flat, first, last
     start, end, number = find(symbols, cuts[:-1], phrases)
     change = np.zeros(len(symbols) + 2, np.int64)
     np.add.at(change, start, 1)
@@ -243,10 +278,10 @@ def _shard(part: pa.RecordBatch, phrases: Phrases) -> tuple[list[int], list[list
     row = np.searchsorted(cuts, opens, "right") - 1
     closed = np.append(np.flatnonzero(turn), len(symbols))
     shut = np.minimum(closed[np.searchsorted(closed, opens, "right")], cuts[row + 1])
-    spans: list[list[int]] = [[] for _ in split]
+    spans: list[list[int]] = [[] for _ in counts]
     for r, a, b in zip(row.tolist(), (opens - cuts[row]).tolist(), (shut - cuts[row]).tolist()):
         spans[r] += (a, b)
-    items: list[set[str]] = [set() for _ in split]
+    items: list[set[str]] = [set() for _ in counts]
     pairs = np.unique(np.stack([np.searchsorted(cuts, start, "right") - 1, number]), axis=1)
     for r, p in pairs.T.tolist():
         items[r].update(phrases.names[phrases.owners[phrases.owner_cuts[p]:phrases.owner_cuts[p + 1]]])
@@ -264,14 +299,17 @@ def _merged(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The items, in blocks of at most BLOCK_BYTES of text on average."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[bool, list[tuple[str | None, str | None]]]]:
+    """The items in blocks of about BLOCK_BYTES of text, dealt by row, and whether more follow."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
+    if blocks > 1:
+        items = common.Scratch(items.sparkSession, "items").keep(
+            items.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))), "items")
     for k in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        yield [(r.item, r.text) for r in own.collect()]
+        own = items if blocks == 1 else items.filter(F.col("block") == k)
+        yield k + 1 < blocks, [(r.item, r.text) for r in own.collect()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -288,7 +326,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     schema = f"id {kind}, text string, n_words long, spans array<long>, items array<string>"
     out = out.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"),
                      F.array().cast("array<string>").alias("items"))
-    for block in _blocks(benchmark, item_col, item_text):
+    scratch, turn = common.Scratch(spark, "decontam"), 0
+    for more, block in _blocks(benchmark, item_col, item_text):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -304,7 +343,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())),
                     ], ["id", "text", "n_words", "spans", "items"])
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(common.task(run), schema)
+        if more:
+            out = scratch.keep(out, str(turn))
+            sent.unpersist()
+            if turn:
+                scratch.drop(str(turn - 1))
+            turn += 1
     return out.withColumnsRenamed({"id": id_col, "text": text_col})
 
 

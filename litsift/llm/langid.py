@@ -54,7 +54,7 @@ def _counts(texts: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n)], ["lang", "code", "n"])
 
-    return texts.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(common.task(run), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def _codes(data: np.ndarray) -> np.ndarray:
@@ -222,7 +222,7 @@ def predict(docs: DataFrame, model: list[Broadcast] | None, id_col: str = "doc_i
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, lang_pred string, score double, bits double, n_bytes long"
+    return source.mapInArrow(common.task(run), f"id {kind}, lang_pred string, score double, bits double, n_bytes long"
                              ).withColumnRenamed("id", id_col)
 
 

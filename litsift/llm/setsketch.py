@@ -148,7 +148,7 @@ def _sketches(source: DataFrame, width: int) -> DataFrame:
                 ], ["id", "n", "d1", "d2", "regs", "keys"])
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, n long, d1 long, d2 long, regs binary, keys array<long>")
+    return source.mapInArrow(common.task(run), f"id {kind}, n long, d1 long, d2 long, regs binary, keys array<long>")
 
 
 def _full_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -163,7 +163,7 @@ def _full_sets(texts: DataFrame, width: int) -> DataFrame:
                     pa.array([s.tobytes() for s in sets], pa.binary()),
                 ], ["node", "n", "regs", "members"]).filter(pa.array(right))
 
-    return texts.mapInArrow(run, "node long, n long, regs binary, members binary")
+    return texts.mapInArrow(common.task(run), "node long, n long, regs binary, members binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -190,7 +190,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                            F.col("regs").alias(f"regs_{name}"), F.col("members").alias(f"set_{name}"))
 
     return pairs.join(side("b"), "b").join(side("a"), "a").select(
-        "a", "b", "n_a", "n_b", "regs_a", "regs_b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+        "a", "b", "n_a", "n_b", "regs_a", "regs_b", "set_a", "set_b").mapInArrow(common.task(run), "a long, b long")
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -282,7 +282,7 @@ def _linkable(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
                     [pa.array(node), pa.array(flat.copy().view(np.int64))], ["node", "shingle"])
 
     own = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", "n", "members")
-    shingles = own.select("node", "members").mapInArrow(run, "node long, shingle long")
+    shingles = own.select("node", "members").mapInArrow(common.task(run), "node long, shingle long")
     alone = shingles.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).filter(
         "node = other").groupBy("node").agg(F.count("*").alias("alone"))
     most = own.select("node", "n").distinct().join(alone, "node", "left").select(
