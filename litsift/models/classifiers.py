@@ -4,8 +4,7 @@ appends ``p_positive`` (P(class = Positive)) and ``pred_class``.
 Training frames carry ``features`` (sparse TF-IDF vector over <= 500 terms) and
 ``label`` (1.0 = Positive).  Built-in ``pyspark.ml`` estimators are used where Spark
 has the model; the rest are expressed as distributed aggregates plus a small solve
-on the driver over 500 x 500 statistics, or (k-NN) as a broadcast of bounded
-training blocks scored with numpy inside Arrow batches.
+on the driver over 500 x 500 statistics, or (k-NN) as a search over blocks of labelled rows.
 """
 
 from __future__ import annotations
@@ -13,7 +12,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, MultilayerPerceptronClassifier,
                                        NaiveBayes, RandomForestClassifier)
@@ -23,6 +21,8 @@ from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litsift.models.neighbours import KnnModel, KnnSpec, load_parts, save_parts
+
 POS, NEG = "Positive", "Negative"
 
 
@@ -134,6 +134,9 @@ class _NullModel:
     def __init__(self, prior: float):
         self.prior = prior
 
+    def arrays(self) -> tuple:
+        return "prior", float(self.prior)
+
     def transform(self, df: DataFrame) -> DataFrame:
         p = F.lit(float(self.prior))
         pred = F.lit(POS if self.prior >= 0.5 else NEG)
@@ -255,11 +258,51 @@ class _LinearScoreModel:
     def __init__(self, w: np.ndarray, b: float):
         self.w, self.b = [float(v) for v in w], float(b)
 
+    def arrays(self) -> tuple:
+        return "linear", np.array(self.w), self.b
+
     def transform(self, df: DataFrame) -> DataFrame:
         s = dot_expr("features", self.w) + F.lit(self.b)
         return with_class(df.withColumn("p_positive", F.lit(1.0) / (F.lit(1.0) + F.exp(-s))))
 
 
+class _QuadraticScoreModel:
+    """p_positive = sigmoid(x . w + x^2 . q + b)."""
+
+    def __init__(self, w: np.ndarray, q: np.ndarray, b: float):
+        self.w, self.q, self.b = [float(v) for v in w], [float(v) for v in q], float(b)
+
+    def arrays(self) -> tuple:
+        return "quadratic", np.array(self.w), self.b, np.array(self.q)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        x = vector_to_array(F.col("features"))
+        w = F.array(*[F.struct(F.lit(a).alias("w"), F.lit(b).alias("q")) for a, b in zip(self.w, self.q)])
+        terms = F.zip_with(x, w, lambda v, c: v * (c["w"] + v * c["q"]))
+        s = F.aggregate(terms, F.lit(0.0), lambda acc, v: acc + v) + F.lit(self.b)
+        # beyond 700 the exponential leaves a double
+        s = F.greatest(F.least(s, F.lit(700.0)), F.lit(-700.0))
+        return with_class(df.withColumn("p_positive", F.lit(1.0) / (F.lit(1.0) + F.exp(-s))))
+
+
+def nb_model(neg, pos) -> _QuadraticScoreModel:
+    """Gaussian naive Bayes from both classes' moments.
+
+    Variances are those of the whole class, each raised by 1e-9 of the largest feature variance of
+    all rows, so a feature without variance in a class has a density.
+    """
+    n = neg.n + pos.n
+    mean, square = (neg.n * neg.mean + pos.n * pos.mean) / n, (neg.n * neg.square + pos.n * pos.square) / n
+    floor = 1e-9 * float((square - mean * mean).max(initial=0.0)) or 1e-300
+    w, q, b = np.zeros_like(mean), np.zeros_like(mean), 0.0
+    for sign, c in ((-1.0, neg), (1.0, pos)):
+        var = np.maximum(c.square - c.mean * c.mean, 0.0) + floor
+        w = w + sign * c.mean / var
+        q = q - sign / (2 * var)
+        b += sign * (math.log(c.n / n) - 0.5 * float((np.log(var) + c.mean * c.mean / var).sum()))
+    return _QuadraticScoreModel(w, q, b)
+
+
 class LdaSpec:
     """Linear discriminant analysis: class means, pooled covariance, class priors.
 
@@ -272,22 +315,30 @@ class LdaSpec:
     def fit(self, df: DataFrame) -> _LinearScoreModel:
         dim = df.select(F.size(vector_to_array("features")).alias("d")).first()["d"]
         mom = class_moments(df, dim)
-        (n0, m0, c0), (n1, m1, c1) = mom[0.0], mom[1.0]
-        n = n0 + n1
-        if n0 == 0 or n1 == 0:
-            return _LinearScoreModel(np.zeros(dim), 30.0 if n1 else -30.0)
-        pooled = ((n0 - 1) * c0 + (n1 - 1) * c1) / max(n - 2, 1)
-        # scale to unit within-class variance, drop directions with variance < tol^2
-        sd = np.sqrt(np.maximum(np.diag(pooled), 0.0))
-        keep = sd > 1e-12
-        inv_sd = np.where(keep, 1.0 / np.where(keep, sd, 1.0), 0.0)
-        scaled = pooled * np.outer(inv_sd, inv_sd)
-        evals, evecs = np.linalg.eigh(scaled)
-        good = evals > 1e-8
-        inv = (evecs[:, good] / evals[good]) @ evecs[:, good].T
-        w = inv_sd * (inv @ (inv_sd * (m1 - m0)))
-        b = -0.5 * float((m1 + m0) @ w) + math.log(n1 / n0)
-        return _LinearScoreModel(w, b)
+        return _lda(*mom[0.0], *mom[1.0])
+
+
+def lda_model(neg, pos) -> _LinearScoreModel:
+    """Linear discriminant from both classes' moments."""
+    return _lda(neg.n, neg.mean, neg.cov, pos.n, pos.mean, pos.cov)
+
+
+def _lda(n0, m0, c0, n1, m1, c1) -> _LinearScoreModel:
+    n = n0 + n1
+    if n0 == 0 or n1 == 0:
+        return _LinearScoreModel(np.zeros(len(m0)), 30.0 if n1 else -30.0)
+    pooled = ((n0 - 1) * c0 + (n1 - 1) * c1) / max(n - 2, 1)
+    # scale to unit within-class variance, drop directions with variance < tol^2
+    sd = np.sqrt(np.maximum(np.diag(pooled), 0.0))
+    keep = sd > 1e-12
+    inv_sd = np.where(keep, 1.0 / np.where(keep, sd, 1.0), 0.0)
+    scaled = pooled * np.outer(inv_sd, inv_sd)
+    evals, evecs = np.linalg.eigh(scaled)
+    good = evals > 1e-8
+    inv = (evecs[:, good] / evals[good]) @ evecs[:, good].T
+    w = inv_sd * (inv @ (inv_sd * (m1 - m0)))
+    b = -0.5 * float((m1 + m0) @ w) + math.log(n1 / n0)
+    return _LinearScoreModel(w, b)
 
 
 # ---------------------------------------------------------------- PLS-DA
@@ -296,6 +347,9 @@ class _PlsModel:
     def __init__(self, coef: np.ndarray, intercept: float):
         self.coef, self.intercept = [float(v) for v in coef], float(intercept)
 
+    def arrays(self) -> tuple:
+        return "linear", 2.0 * np.array(self.coef), 2.0 * self.intercept - 1.0
+
     def transform(self, df: DataFrame) -> DataFrame:
         yhat = dot_expr("features", self.coef) + F.lit(self.intercept)
         # two dummy responses (y, 1 - y): softmax of the pair = sigmoid(2y - 1)
@@ -328,98 +382,49 @@ class PlsSpec:
         cov = corr * np.outer(sd, sd)
         np.fill_diagonal(cov, var)
         d = len(mean) - 1
-        sxx, sxy = cov[:d, :d].copy(), cov[:d, d].copy()
-        keep = max(1, int(math.floor(self.predictor_prop * d)))
-        W, P, Q = [], [], []
-        for _ in range(min(self.num_comp, d)):
-            w = sxy.copy()
-            if not np.any(np.abs(w) > 0):
-                break
-            if keep < d:
-                cut = np.argsort(-np.abs(w), kind="stable")[keep:]
-                w[cut] = 0.0
-            w /= np.linalg.norm(w)
-            c = float(w @ sxx @ w)
-            if c <= 1e-15:
-                break
-            p = sxx @ w / c
-            q = float(w @ sxy) / c
-            W.append(w), P.append(p), Q.append(q)
-            sxx = sxx - np.outer(p, p) * c
-            sxy = sxy - p * (q * c)
-        if not W:
-            return _PlsModel(np.zeros(d), float(mean[d]))
-        Wm, Pm, Qv = np.array(W).T, np.array(P).T, np.array(Q)
-        coef = Wm @ np.linalg.pinv(Pm.T @ Wm) @ Qv
-        intercept = float(mean[d] - mean[:d] @ coef)
-        return _PlsModel(coef, intercept)
-
-
-# ---------------------------------------------------------------- k nearest neighbours
-
-class _KnnModel:
-    """Training rows (sorted by label, features divided by ``sd``), sent once; scoring is narrow."""
-
-    def __init__(self, x: np.ndarray, label: np.ndarray, sd: np.ndarray, k: int, spark, n_seen: int):
-        self.x, self.label, self.sd, self.k = x, label, sd, k
-        self.n_seen, self.sampled = n_seen, n_seen > len(label)
-        self.sent = spark.sparkContext.broadcast((x, label, sd))
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        sent, k = self.sent, self.k
-
-        @F.pandas_udf("double")
-        def vote(features: pd.Series) -> pd.Series:
-            x, label, sd = sent.value
-            square = (x ** 2).sum(axis=1)
-            out = np.empty(len(features))
-            for a in range(0, len(features), 256):
-                q = np.stack(features.iloc[a:a + 256].to_numpy()) / sd
-                d = np.sqrt(np.maximum((q ** 2).sum(axis=1)[:, None] + square - 2.0 * q @ x.T, 0.0))
-                far = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-                for i in range(len(q)):
-                    # equal distances go to the lower label: rows are in that order
-                    near = np.flatnonzero(d[i] <= far[i])
-                    near = near[np.argsort(d[i][near], kind="stable")][:k]
-                    weight = 1.0 / (d[i][near] + 1e-9)
-                    out[a + i] = (weight * label[near]).sum() / weight.sum()
-            return pd.Series(out)
-
-        return with_class(df.withColumn("p_positive", vote(vector_to_array("features"))))
-
-
-class KnnSpec:
-    """k nearest neighbours (k = 5, Euclidean, inverse-distance vote).
-
-    Exact over the rows it is fitted on, at most ``max_fit_rows`` labelled rows and
-    ``max_fit_bytes`` of features. Of more rows a seeded hash of the id chooses; the model
-    then says so (``sampled``, ``n_seen``). They are sent to the executors once, and each
-    batch of rows is scored against them where it is: no shuffle and no join.
-    ``scale=True`` divides each feature by its standard deviation first.
-    """
-    name = "knn"
-
-    def __init__(self, k: int = 5, max_fit_rows: int = 20_000, max_fit_bytes: int = 128 << 20,
-                 scale: bool = False, seed: int = 7):
-        self.k, self.max_fit_rows, self.max_fit_bytes = k, max_fit_rows, max_fit_bytes
-        self.scale, self.seed = scale, seed
-
-    def fit(self, df: DataFrame) -> _KnnModel:
-        keep = df.select(vector_to_array("features").alias("x"), "label",
-                         *(["pmid"] if "pmid" in df.columns else []))
-        n, width = keep.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
-        if not n:
-            raise ValueError("no rows to fit on")
-        most = max(1, min(self.max_fit_rows, self.max_fit_bytes // (8 * max(width, 1))))
-        if n > most:
-            draw = F.xxhash64(*keep.columns, F.lit(self.seed)).bitwiseAND(F.lit((1 << 40) - 1))
-            # a little under the bound, as the number drawn varies; the rest is cut
-            keep = keep.where(draw < F.lit(int((1 << 40) * 0.95 * most / n)))
-        pdf = keep.select("x", "label").limit(most).toPandas().sort_values("label", kind="stable")
-        x = np.stack(pdf["x"].to_numpy()).astype("float64")
-        sd = x.std(axis=0, ddof=1) if self.scale and len(x) > 1 else np.ones(x.shape[1])
-        sd = np.where(sd > 0, sd, 1.0)
-        return _KnnModel(x / sd, pdf["label"].to_numpy(dtype="float64"), sd, self.k, df.sparkSession, n)
+        return _pls(mean[:d], mean[d], cov[:d, :d], cov[:d, d], self.num_comp, self.predictor_prop)
+
+
+def pls_model(neg, pos, num_comp: int = 10, predictor_prop: float = 1 / 3) -> _PlsModel:
+    """Sparse partial least squares from both classes' moments."""
+    n = neg.n + pos.n
+    mean, share = (neg.n * neg.mean + pos.n * pos.mean) / n, pos.n / n
+    gap = pos.mean - neg.mean
+    between = neg.n * pos.n / n
+    cov = ((neg.n - 1) * neg.cov + (pos.n - 1) * pos.cov + between * np.outer(gap, gap)) / max(n - 1, 1)
+    return _pls(mean, share, cov, between * gap / max(n - 1, 1), num_comp, predictor_prop)
+
+
+def _pls(mean, share, sxx, sxy, num_comp: int, predictor_prop: float) -> _PlsModel:
+    """Components from centred statistics of predictors scaled to unit variance."""
+    d = len(mean)
+    sd = np.sqrt(np.maximum(np.diag(sxx), 0.0))
+    scale = np.where(sd > 1e-12, 1.0 / np.where(sd > 1e-12, sd, 1.0), 0.0)
+    sxx, sxy = sxx * np.outer(scale, scale), sxy * scale
+    keep = max(1, int(math.floor(predictor_prop * d)))
+    W, P, Q = [], [], []
+    for _ in range(min(num_comp, d)):
+        w = sxy.copy()
+        if not np.any(np.abs(w) > 1e-12):
+            break
+        if keep < d:
+            # equal weights go by column; digits beyond the tenth don't decide
+            cut = np.argsort(-np.round(np.abs(w), 10), kind="stable")[keep:]
+            w[cut] = 0.0
+        w /= np.linalg.norm(w)
+        c = float(w @ sxx @ w)
+        if c <= 1e-15:
+            break
+        p = sxx @ w / c
+        q = float(w @ sxy) / c
+        W.append(w), P.append(p), Q.append(q)
+        sxx = sxx - np.outer(p, p) * c
+        sxy = sxy - p * (q * c)
+    if not W:
+        return _PlsModel(np.zeros(d), float(share))
+    Wm, Pm, Qv = np.array(W).T, np.array(P).T, np.array(Q)
+    coef = scale * (Wm @ np.linalg.pinv(Pm.T @ Wm) @ Qv)
+    return _PlsModel(coef, float(share - mean @ coef))
 
 
 # ---------------------------------------------------------------- registry
@@ -502,18 +507,18 @@ def save_model(spark, fitted, path: str) -> None:
     elif isinstance(fitted, _LinearScoreModel):
         _write_vector(spark, base + "/w", fitted.w)
         _write_meta(spark, base, {"kind": "linear", "b": fitted.b})
+    elif isinstance(fitted, _QuadraticScoreModel):
+        _write_vector(spark, base + "/w", fitted.w)
+        _write_vector(spark, base + "/q", fitted.q)
+        _write_meta(spark, base, {"kind": "quadratic", "b": fitted.b})
     elif isinstance(fitted, _PlsModel):
         _write_vector(spark, base + "/w", fitted.coef)
         _write_meta(spark, base, {"kind": "pls", "b": fitted.intercept})
     elif isinstance(fitted, _SvmModel):
         fitted.svc.write().overwrite().save(base + "/model")
         _write_meta(spark, base, {"kind": "svm", "platt": list(fitted.platt)})
-    elif isinstance(fitted, _KnnModel):
-        spark.createDataFrame(pd.DataFrame({"x": list(fitted.x), "label": fitted.label}),
-                              "x array<double>, label double").write \
-            .mode("overwrite").parquet(base + "/train")
-        _write_vector(spark, base + "/w", fitted.sd)
-        _write_meta(spark, base, {"kind": "knn", "k": fitted.k, "n_seen": int(fitted.n_seen)})
+    elif isinstance(fitted, KnnModel):
+        _write_meta(spark, base, {"kind": "knn", **save_parts(fitted, spark, base)})
     else:
         raise TypeError(f"cannot save {type(fitted).__name__}")
 
@@ -529,13 +534,14 @@ def load_model(spark, path: str):
         return _NullModel(meta["prior"])
     if kind == "linear":
         return _LinearScoreModel(np.array(_read_vector(spark, base + "/w")), meta["b"])
+    if kind == "quadratic":
+        return _QuadraticScoreModel(np.array(_read_vector(spark, base + "/w")),
+                                    np.array(_read_vector(spark, base + "/q")), meta["b"])
     if kind == "pls":
         return _PlsModel(np.array(_read_vector(spark, base + "/w")), meta["b"])
     if kind == "svm":
         return _SvmModel(_load_spark_model("LinearSVCModel", base + "/model"),
                          tuple(meta["platt"]))
     if kind == "knn":
-        pdf = spark.read.parquet(base + "/train").toPandas().sort_values("label", kind="stable")
-        return _KnnModel(np.stack(pdf["x"].to_numpy()), pdf["label"].to_numpy(dtype="float64"),
-                         np.array(_read_vector(spark, base + "/w")), meta["k"], spark, meta["n_seen"])
+        return load_parts(spark, base, meta)
     raise ValueError(f"unknown model kind {kind}")

@@ -1,11 +1,10 @@
 """v-fold cross-validation, model selection, refit and prediction.
 
-The feature recipe is refitted per fold on the analysis rows only and shared by
-every model of that fold (v + 1 recipe fits instead of one per model and fold).
-Folds are featurised concurrently and every (fold, model) fit runs from a driver
-thread pool; each fit is itself a set of distributed Spark jobs.  Fold predictions
-are checkpointed into the session's checkpoint folder so the per-fold feature frames
-can be released.
+The recipes of all folds come from one aggregate (:mod:`litsift.models.crossfit`). Models that
+follow from sums over the rows are fitted for all folds together, a few passes in all. The
+others (trees, nearest neighbours, or models given by the caller) are fitted fold by fold from a
+driver thread pool; each of these fits is itself a set of distributed Spark jobs. Fold
+predictions are checkpointed into the session's checkpoint folder so the rows can be released.
 """
 
 from __future__ import annotations
@@ -16,11 +15,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litsift.models.classifiers import DEFAULT_MODELS, registry
+from litsift.models import crossfit
+from litsift.models.classifiers import DEFAULT_MODELS, registry, with_class
 from litsift.models.features import TfidfFeaturizer, add_tokens
 from litsift.operators.evaluate import fold_metrics, metric_summary, model_select
-from litsift.operators.sampling import assign_folds
-from litsift.session import ensure_checkpoint_dir
 
 PRED_COLS = ["pmid", "class", "label", "p_positive", "pred_class"]
 
@@ -38,17 +36,19 @@ def _fit_partitions(df: DataFrame) -> int:
     return max(1, df.sparkSession.sparkContext.defaultParallelism)
 
 
-def _fold_frames(folds: DataFrame, k: int):
-    ana = folds.where(F.col("fold") != k)
-    ass = folds.where(F.col("fold") == k)
-    fz = TfidfFeaturizer().fit(ana)
-    # row count and number of classes of the analysis rows in one small aggregate
-    st = ana.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("k")).first()
+def _fold_frames(design: crossfit.Design, k: int):
+    """Features of the rows that train fold ``k``'s models and of the fold's own rows."""
+    fz = design.recipes[k].featurizer()
+    ana, ass = design.tokens.where(F.col("fold") != k), design.tokens.where(F.col("fold") == k)
+    n_classes = ana.agg(F.countDistinct("label")).first()[0]
     fa = (fz.transform(ana).select("pmid", "class", "label", "features")
           .repartition(_fit_partitions(ana)).persist(StorageLevel.MEMORY_AND_DISK))
-    fs = (fz.transform(ass).select("pmid", "class", "label", "features")
-          .persist(StorageLevel.MEMORY_AND_DISK))
-    return fa, fs, st["k"]
+    return fa, fz.transform(ass).select("pmid", "class", "label", "features"), n_classes
+
+
+def _together(names: list[str], specs: dict | None) -> list[str]:
+    """The models that are fitted for all folds at once; a caller's own specs are fitted one by one."""
+    return [m for m in names if m in crossfit.TOGETHER and specs is None]
 
 
 def cross_validate(train: DataFrame, models: list[str] | None = None, v: int = 5,
@@ -58,40 +58,47 @@ def cross_validate(train: DataFrame, models: list[str] | None = None, v: int = 5
 
     ``train``: (pmid, abstract, class, label).  Returns ``(predictions, metrics)``:
     predictions (model_name, fold, pmid, class, label, p_positive, pred_class) and
-    metrics (model_name, fold, metric, estimate).  Folds are featurised concurrently,
-    then every (fold, model) fit runs from a driver thread pool (concurrent Spark jobs).
+    metrics (model_name, fold, metric, estimate).
     """
     models = models or DEFAULT_MODELS
     chosen = _specs(models, specs)
-    spark = train.sparkSession
-    ensure_checkpoint_dir(spark)
-    tok = add_tokens(train.select("pmid", "abstract", "class", "label"), stem=stem)
-    folds = assign_folds(tok, v=v, seed=seed, tie=["class"]) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    with ThreadPoolExecutor(max_workers=max(1, min(parallel, v))) as pool:
-        frames = dict(zip(range(1, v + 1),
-                          pool.map(lambda k: _fold_frames(folds, k), range(1, v + 1))))
+    design = crossfit.Design(train, v=v, seed=seed, stem=stem)
+    try:
+        together = _together(models, specs)
+        outs = []
+        if together:
+            fitted = crossfit.fit(design, together, design.folds)
+            outs.append(with_class(crossfit.predictions(design, fitted))
+                        .select("model_name", "fold", *PRED_COLS).checkpoint(eager=True))
+        outs += _each_fold(design, [m for m in models if m not in together], chosen, parallel)
+    finally:
+        design.release()
+    preds = outs[0]
+    for p in outs[1:]:
+        preds = preds.unionByName(p)
+    return preds, fold_metrics(preds)
+
+
+def _each_fold(design: crossfit.Design, models: list[str], chosen: dict, parallel: int) -> list[DataFrame]:
+    """Fold predictions of models that are fitted fold by fold, several fits at a time."""
+    if not models:
+        return []
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(design.folds)))) as pool:
+        frames = dict(zip(design.folds, pool.map(lambda k: _fold_frames(design, k), design.folds)))
 
     def run(job):
         k, name = job
         fa, fs, n_classes = frames[k]
         spec = chosen[name] if n_classes > 1 else registry()["null"]
-        fitted = spec.fit(fa)
-        out = (fitted.transform(fs)
+        out = (spec.fit(fa).transform(fs)
                .select(F.lit(name).alias("model_name"), F.lit(k).alias("fold"), *PRED_COLS))
         return out.checkpoint(eager=True)
 
-    jobs = [(k, m) for k in range(1, v + 1) for m in models]
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        outs = list(pool.map(run, jobs))
-    for fa, fs, _ in frames.values():
+        outs = list(pool.map(run, [(k, m) for m in models for k in design.folds]))
+    for fa, _, _ in frames.values():
         fa.unpersist()
-        fs.unpersist()
-    folds.unpersist()
-    preds = outs[0]
-    for p in outs[1:]:
-        preds = preds.unionByName(p)
-    return preds, fold_metrics(preds)
+    return outs
 
 
 class Classification:
@@ -122,6 +129,27 @@ def fit_models(train_tok: DataFrame, names: list[str], specs: dict | None = None
     return fz, fitted
 
 
+def fit_all_rows(train: DataFrame, names: list[str], stem: bool = True, specs: dict | None = None,
+                 parallel: int = 8):
+    """The recipe of all training rows and the named models on it."""
+    chosen = _specs(names, specs)
+    design = crossfit.Design(train, v=0, stem=stem)
+    try:
+        fz = design.recipes[crossfit.WHOLE].featurizer()
+        together = _together(names, specs)
+        fitted = {name: model for (_, name), model in crossfit.fit(design, together, [crossfit.WHOLE]).items()} if together else {}
+        rest = [m for m in names if m not in together]
+        if rest:
+            feats = (fz.transform(design.tokens).select("pmid", "class", "label", "features")
+                     .repartition(_fit_partitions(design.tokens)).persist(StorageLevel.MEMORY_AND_DISK))
+            with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+                fitted.update(zip(rest, pool.map(lambda m: chosen[m].fit(feats), rest)))
+            feats.unpersist()
+    finally:
+        design.release()
+    return fz, fitted
+
+
 def predict(featurizer, fitted, test: DataFrame, stem: bool = True) -> DataFrame:
     """Score rows to classify: one narrow transform (tokens -> features -> p_positive)."""
     tok = add_tokens(test, stem=stem)
@@ -140,8 +168,6 @@ def classify(train: DataFrame, test: DataFrame, metric: str = "roc_auc", v: int
     summary = metric_summary(metrics)
     best_row = model_select(summary, metric).first()
     best = best_row["model_name"] if best_row else models[0]
-    tok = add_tokens(train.select("pmid", "abstract", "class", "label"), stem=stem)
-    names = models if fit_all else [best]
-    fz, fitted = fit_models(tok, names, specs, parallel)
+    fz, fitted = fit_all_rows(train, models if fit_all else [best], stem, specs, parallel)
     test_pred = predict(fz, fitted[best], test, stem=stem)
     return Classification(preds, metrics, summary, best, fz, fitted, test_pred)

@@ -25,20 +25,23 @@ MAX_GROUPS = 256
 
 
 def with_group_values(df: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach a small per-group table (one row per class, model, fold) to every row.
+    """Attach a per-group table (one row per class, model, fold) to every row, null groups included.
 
-    Its values enter the plan as constants, so the rows of ``df`` are not shuffled on a
-    key of a few values. Only a table of more than ``MAX_GROUPS`` groups, whose keys
-    spread the rows, is joined. Every group of ``df`` must be in ``per_group``.
+    The values of up to ``MAX_GROUPS`` groups enter the plan as constants, so the rows of ``df`` are
+    not shuffled on a key of a few values. A table of more groups is joined, null keys meeting
+    null keys. Either way every row stays, and one without its group gets nulls.
     """
     rows = per_group.limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        return df.join(per_group, keys)
     kinds = {f.name: f.dataType for f in per_group.schema.fields}
+    values = [c for c in per_group.columns if c not in keys]
+    if len(rows) > MAX_GROUPS:
+        other = per_group.select(*[F.col(k).alias(f"_group_{i}") for i, k in enumerate(keys)], *values)
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & df[k].eqNullSafe(other[f"_group_{i}"])
+        return df.join(other, same, "left").drop(*[f"_group_{i}" for i in range(len(keys))])
     out = []
-    for name in per_group.columns:
-        if name in keys:
-            continue
+    for name in values:
         value = F.lit(None).cast(kinds[name])
         for row in rows:
             same = F.lit(True)

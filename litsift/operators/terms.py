@@ -1,13 +1,15 @@
 """Term features and term statistics in long form ``(pmid, term, ...)``.
 
 The document-term matrix is never densified or pivoted: zeros are handled in closed
-form (a zero block is one tie group of known size).  Work is keyed by pmid for the
-document steps and by term for the statistics; every aggregate is map-side combined.
+form (a zero block is one tie group of known size).  A document's counts over the vocabulary
+are made in its own row, with its label and length, so no step shuffles on the document
+and a repeated id stays two documents.  Statistics are keyed by term; every aggregate is map-side
+combined.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from litsift.functions.numeric import Z_CRIT_05, signif, two_sided_p, student_t_
 from litsift.functions.text import analyze
 from litsift.operators.prefix import grouped_cumsum
 from litsift.operators.scalars import with_scalars
+from litsift.session import ensure_checkpoint_dir
 
 # Fixed value: vocabulary size of the reference's token filter.
 MAX_TOKENS = 500
@@ -45,69 +48,75 @@ def top_tokens(counts: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     return top.withColumn("term_rank", F.row_number().over(w))
 
 
-def vocabulary_counts(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Counts restricted to the vocabulary (the vocabulary is <= 500 rows: broadcast)."""
-    return counts.join(F.broadcast(vocab.select("term")), "term")
+def doc_freq(long: DataFrame) -> DataFrame:
+    """(term, df): documents containing each vocabulary term; ``long`` has one row per document and term."""
+    return long.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def doc_freq(vcounts: DataFrame, key: str = "pmid") -> DataFrame:
-    """(term, df): documents containing each vocabulary term."""
-    return vcounts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row per (doc, term)
-
-
-def tfidf(vcounts: DataFrame, n_docs: DataFrame, key: str = "pmid") -> DataFrame:
-    """(pmid, term, n, tf, idf, tfidf) with tf = n / kept tokens of the doc, idf = ln(1 + N/df).
-
-    ``n_docs`` is a one-row frame ``(n_docs)`` counting every training document,
-    including documents left with no vocabulary token.
-    """
-    w_doc = Window.partitionBy(key)
-    df_t = doc_freq(vcounts, key)
-    with_len = vcounts.withColumn("doc_len", F.sum("n").over(w_doc))
-    # df_t has one row per vocabulary term (<= 500): broadcast, so a hot term never
-    # concentrates the document side in one task
-    out = (with_scalars(with_len.join(F.broadcast(df_t), "term"), n_docs)
-           .withColumn("tf", F.col("n") / F.col("doc_len"))
-           .withColumn("idf", F.log(F.lit(1.0) + F.col("n_docs") / F.col("df")))
-           .withColumn("tfidf", F.col("tf") * F.col("idf")))
-    return out.select(key, "term", "n", "tf", "idf", "tfidf")
+def count_vectors(tokens: DataFrame, vocab: list[str], col: str = "tokens") -> DataFrame:
+    """``tokens`` with ``term_at`` and ``term_n``, each row's counts over a vocabulary, and their sum ``doc_len``."""
+    if not vocab:
+        return tokens.select("*", F.array().cast("array<int>").alias("term_at"), F.array().cast("array<double>")
+                             .alias("term_n"), F.lit(0.0).alias("doc_len")).drop(col)
+    counted = CountVectorizerModel.from_vocabulary(vocab, inputCol=col, outputCol="_counts").transform(tokens)
+    counted = counted.withColumn("_counts", F.unwrap_udt("_counts"))
+    return counted.select(*[c for c in tokens.columns if c != col], F.col("_counts.indices").alias("term_at"),
+                          F.col("_counts.values").alias("term_n"),
+                          F.aggregate("_counts.values", F.lit(0.0), lambda a, x: a + x).alias("doc_len"))
 
 
 class TermTable:
     """Long-form term matrix of a labelled training set, built once and shared.
 
-    ``train`` needs (pmid, abstract, label) with label 1.0 = Positive.
+    ``train`` needs (pmid, abstract, label) with label 1.0 = Positive.  Tokens are written once to the
+    session's checkpoint folder: the vocabulary and the counts read them there.
     """
 
     def __init__(self, train: DataFrame, stem: bool = True, max_tokens: int = MAX_TOKENS,
                  alpha_only: bool = True):
-        # Tokenising is the expensive pass: tokens (with the label) are cached once and
-        # every count, statistic and document total reads them.
-        toks = train.select("pmid", "label", analyze(F.col("abstract"), stem=stem)
-                            .alias("tokens")).persist(StorageLevel.MEMORY_AND_DISK)
-        self._toks = toks
+        ensure_checkpoint_dir(train.sparkSession)
+        toks = train.select("pmid", "label", analyze(F.col("abstract"), stem=stem).alias("tokens")).checkpoint()
+        self.alpha_only = alpha_only
         self.docs = toks.select("pmid", "label")
         self.counts = term_counts(toks.select("pmid", "tokens"))
-        self.vocab = top_tokens(self.counts, max_tokens)
-        self.vcounts = vocabulary_counts(self.counts, self.vocab)
+        totals = toks.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        self.vocab = top_tokens(totals, max_tokens)
+        words = [r["term"] for r in self.vocab.orderBy("term_rank").collect()]  # at most max_tokens
+        names = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+        self.vcounts = count_vectors(toks, words).select("pmid", "label", "doc_len", F.inline(F.arrays_zip(
+            "term_at", "term_n"))).select("pmid", "label", "doc_len", F.get(names, "term_at").alias("term"),
+                                          F.col("term_n").cast("long").alias("n"))
         self.n_docs = self.docs.agg(F.count(F.lit(1)).alias("n_docs"))
-        self.tfidf = tfidf(self.vcounts, self.n_docs)
         terms = self.vocab.select("term")
-        if alpha_only:
-            terms = alpha_terms(terms)
-        self.terms = terms
+        self.terms = alpha_terms(terms) if alpha_only else terms
         self.class_sizes = self.docs.agg(
             F.sum(F.when(F.col("label") == 1.0, 1).otherwise(0)).alias("n1"),
             F.sum(F.when(F.col("label") == 1.0, 0).otherwise(1)).alias("n0"))
 
-    def unpersist(self) -> None:
-        self._toks.unpersist()
+    @property
+    def labelled(self) -> DataFrame:
+        """(pmid, label, term, n, tf, idf, tfidf): tf = n / kept tokens of the document, idf = ln(1 + N/df).
+
+        N counts every training document, also those left with no vocabulary token. The
+        document frequencies are one row a term (<= 500) and are broadcast.
+        """
+        out = with_scalars(self.vcounts.join(F.broadcast(doc_freq(self.vcounts)), "term"), self.n_docs)
+        out = out.withColumn("tf", F.col("n") / F.col("doc_len")).withColumn(
+            "idf", F.log(F.lit(1.0) + F.col("n_docs") / F.col("df")))
+        return out.select("pmid", "label", "term", "n", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tfidf"))
+
+    @property
+    def tfidf(self) -> DataFrame:
+        return self.labelled.drop("label")
+
+    def _own_terms(self, df: DataFrame) -> DataFrame:
+        return alpha_terms(df) if self.alpha_only else df
 
     def labelled_tfidf(self) -> DataFrame:
-        return self.tfidf.join(F.broadcast(self.terms), "term").join(self.docs, "pmid")
+        return self._own_terms(self.labelled)
 
     def labelled_counts(self) -> DataFrame:
-        return self.vcounts.join(F.broadcast(self.terms), "term").join(self.docs, "pmid")
+        return self._own_terms(self.vcounts.select("pmid", "label", "term", "n"))
 
 
 def alpha_terms(terms: DataFrame, col: str = "term") -> DataFrame:

@@ -18,6 +18,25 @@ _MODELS = " UNION ALL ".join(f"SELECT '{m}' AS model_name, {w} AS w, {n} AS step
 #: The terms that SEARCH_QUERY and QUERY_CATEGORY_TERMS stand for.
 SEARCH_TERMS, CATEGORY_TERMS = ["the", "ing"], ["with", "from"]
 
+#: Intervals of Simpson's rule over a density, for p-values without a distribution function.
+_PARTS = 2000
+
+
+def _simpson(density: str, upper: str) -> str:
+    """Integral from 0 to ``upper`` of ``density``, an expression of ``x``."""
+    at = f"({upper} * k / {_PARTS}.0)"
+    weight = f"CASE WHEN k = 0 OR k = {_PARTS} THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END"
+    return (f"list_sum(list_transform(range(0, {_PARTS + 1}), lambda k: {weight} * ({density.replace('$x', at)})))"
+            f" * {upper} / {3 * _PARTS}.0")
+
+
+#: Two-sided p of a standard normal z (0 beyond the integration's reach) and of Student's t.
+_P_NORMAL = ("CASE WHEN z IS NOT NULL THEN greatest(1 - 2 * " + _simpson("exp(-$x * $x / 2) / sqrt(2 * pi())", "least(abs(z), 12.0)")
+             + ", 0.0) END")
+_P_STUDENT = ("CASE WHEN t IS NOT NULL AND dfw > 0 THEN greatest(1 - 2 * exp(lgamma((dfw + 1) / 2) - lgamma(dfw / 2)) / sqrt(dfw * pi()) * "
+              + _simpson("power(1 + $x * $x / dfw, -(dfw + 1) / 2)", "abs(t)") + ", 0.0) END")
+
+
 # name -> (dependencies, body)
 _CTES: dict[str, tuple[list[str], str]] = {
     "articles": ([], """
@@ -71,25 +90,25 @@ _CTES: dict[str, tuple[list[str], str]] = {
     "test": (["labelled"], """
         SELECT * FROM labelled WHERE class = 2 AND pmid IS NOT NULL AND abstract IS NOT NULL"""),
     "tok": (["train"], f"""
-        SELECT pmid, label,
+        SELECT row_number() OVER () AS r, pmid, label,
                list_filter(regexp_extract_all(lower(abstract), '{_PAT}'),
                            lambda t: NOT list_contains({_STOP}, t)) AS tokens
         FROM train"""),
     "counts": (["tok"], """
-        SELECT pmid, term, count(*) AS n
-        FROM (SELECT pmid, unnest(tokens) AS term FROM tok) GROUP BY pmid, term"""),
+        SELECT r, pmid, label, term, count(*) AS n
+        FROM (SELECT r, pmid, label, unnest(tokens) AS term FROM tok) GROUP BY r, pmid, label, term"""),
     "vocab": (["counts"], """
         SELECT term, CAST(sum(n) AS BIGINT) AS n FROM counts GROUP BY term
         ORDER BY n DESC, term LIMIT 500"""),
     "vcounts": (["counts", "vocab"], """
-        SELECT c.pmid, c.term, c.n FROM counts c JOIN vocab v ON c.term = v.term"""),
+        SELECT c.r, c.pmid, c.label, c.term, c.n FROM counts c JOIN vocab v ON c.term = v.term"""),
     "ndocs": (["train"], "SELECT count(*) AS n_docs FROM train"),
     "dfreq": (["vcounts"], "SELECT term, count(*) AS df FROM vcounts GROUP BY term"),
     "tfidf": (["vcounts", "dfreq", "ndocs"], """
-        SELECT v.pmid, v.term, v.n,
-               CAST(v.n AS DOUBLE) / sum(v.n) OVER (PARTITION BY v.pmid) AS tf,
+        SELECT v.pmid, v.label, v.term, v.n,
+               CAST(v.n AS DOUBLE) / sum(v.n) OVER (PARTITION BY v.r) AS tf,
                ln(1 + CAST(nd.n_docs AS DOUBLE) / f.df) AS idf,
-               CAST(v.n AS DOUBLE) / sum(v.n) OVER (PARTITION BY v.pmid)
+               CAST(v.n AS DOUBLE) / sum(v.n) OVER (PARTITION BY v.r)
                  * ln(1 + CAST(nd.n_docs AS DOUBLE) / f.df) AS tfidf
         FROM vcounts v JOIN dfreq f ON v.term = f.term CROSS JOIN ndocs nd"""),
     "terms": (["vocab"], """
@@ -97,10 +116,10 @@ _CTES: dict[str, tuple[list[str], str]] = {
     "csizes": (["train"], """
         SELECT CAST(sum(CASE WHEN label = 1.0 THEN 1 ELSE 0 END) AS BIGINT) AS n1,
                CAST(sum(CASE WHEN label = 1.0 THEN 0 ELSE 1 END) AS BIGINT) AS n0 FROM train"""),
-    "ltfidf": (["tfidf", "terms", "train"], """
-        SELECT x.*, t.label FROM tfidf x JOIN terms USING (term) JOIN train t USING (pmid)"""),
-    "lcounts": (["vcounts", "terms", "train"], """
-        SELECT x.*, t.label FROM vcounts x JOIN terms USING (term) JOIN train t USING (pmid)"""),
+    "ltfidf": (["tfidf", "terms"], """
+        SELECT x.* FROM tfidf x JOIN terms USING (term)"""),
+    "lcounts": (["vcounts", "terms"], """
+        SELECT x.* FROM vcounts x JOIN terms USING (term)"""),
     "means": (["lcounts", "terms", "csizes"], """
         SELECT t.term,
                CAST(coalesce(s.s1, 0) AS DOUBLE) / c.n1 AS mean_pos,
@@ -430,7 +449,7 @@ def oracle_sql() -> dict[str, str]:
     q["remove_stopwords"] = with_ctes(["tok"], """
         SELECT pmid, CAST(len(tokens) AS INTEGER) AS n_tokens,
                array_to_string(tokens, ' ') AS tokens FROM tok""")
-    q["term_counts"] = with_ctes(["counts"], "SELECT pmid, term, n FROM counts")
+    q["term_counts"] = with_ctes(["counts"], "SELECT pmid, term, CAST(sum(n) AS BIGINT) AS n FROM counts GROUP BY pmid, term")
     q["top_tokens"] = with_ctes(["vocab"], """
         SELECT term, n, CAST(row_number() OVER (ORDER BY n DESC, term) AS INTEGER) AS term_rank
         FROM vocab""")
@@ -444,7 +463,7 @@ def oracle_sql() -> dict[str, str]:
         SELECT term, {_r('mean_pos')}, {_r('mean_neg')}, {_r('fold_change')}
         FROM ({_counts_fold_change()})""")
     q["term_rank_sum"] = with_ctes(["ranksum"], f"""
-        SELECT term, n_nonzero, {_r('w_stat')}, {_r('z')}, p_rank FROM ranksum""")
+        SELECT term, n_nonzero, {_r('w_stat')}, {_r('z')}, p_rank, round({_P_NORMAL}, 6) AS p_value FROM ranksum""")
     q["term_dictionary"] = with_ctes(["ranksum"], """
         SELECT term FROM ranksum
         WHERE p_rank <= (SELECT CASE WHEN n_sig > 100 THEN n_sig ELSE 100 END FROM
@@ -475,9 +494,9 @@ def oracle_sql() -> dict[str, str]:
                 UNION ALL SELECT term, 'negative', neg_weight FROM weights)
           WHERE weight >= 0.05)
         WHERE display_rank <= 45""")
-    q["welch_terms"] = with_ctes(["ltfidf", "terms", "csizes"], """
+    q["welch_terms"] = with_ctes(["ltfidf", "terms", "csizes"], f"""
         SELECT term, round(m1, 6) AS mean_pos, round(m0, 6) AS mean_neg, round(t, 6) AS t,
-               round(dfw, 6) AS df, t_rank FROM (
+               round(dfw, 6) AS df, t_rank, round({_P_STUDENT}, 6) AS p_value FROM (
           SELECT term, m1, m0, t, dfw,
                  CAST(row_number() OVER (ORDER BY abs(t) DESC NULLS LAST, term) AS INTEGER) AS t_rank
           FROM (SELECT term, m1, m0,

@@ -265,7 +265,7 @@ def _means(tt):
     return terms.class_term_means(tt.labelled_counts(), tt.terms, tt.class_sizes)
 
 
-def _ranked(tt, with_p=False):
+def _ranked(tt, with_p=True):
     return terms.term_rank_sum(tt.labelled_tfidf(), tt.terms, tt.class_sizes, with_p=with_p)
 
 
@@ -308,7 +308,7 @@ def q_cloud_terms(spark, sf):
 
 def q_welch_terms(spark, sf):
     tt = Ctx(spark, sf).term_table()
-    return r6(terms.welch_terms(tt.labelled_tfidf(), tt.terms, tt.class_sizes, with_p=False))
+    return r6(terms.welch_terms(tt.labelled_tfidf(), tt.terms, tt.class_sizes))
 
 
 def q_normalize_terms(spark, sf):

@@ -32,8 +32,7 @@ def flagship(spark: SparkSession, sf_dir: str, model: str = "logit") -> DataFram
     """Minimum slice: corpus -> recipe -> one model fitted on all training rows ->
     scored test rows -> ranked reading list."""
     _, train, test = _split(spark, sf_dir)
-    tok = add_tokens(train.select("pmid", "abstract", "class", "label"))
-    fz, fitted = cv.fit_models(tok, [model])
+    fz, fitted = cv.fit_all_rows(train, [model])
     pred = cv.predict(fz, fitted[model], test)
     return ranked_from_predictions(pred)
 
@@ -57,8 +56,7 @@ def q_features(spark, sf):
 def _model_query(name: str):
     def q(spark, sf):
         _, train, test = _split(spark, sf)
-        tok = add_tokens(train.select("pmid", "abstract", "class", "label"))
-        fz, fitted = cv.fit_models(tok, [name])
+        fz, fitted = cv.fit_all_rows(train, [name])
         pred = cv.predict(fz, fitted[name], test)
         return r6(pred.select(F.lit(name).alias("model_name"), "pmid", "p_positive",
                               "pred_class"))
@@ -81,8 +79,7 @@ def q_classify(spark, sf):
 def q_all_predictions(spark, sf):
     """Fit every model on all training rows; union their test predictions by model."""
     c, train, test = _split(spark, sf)
-    tok = add_tokens(train.select("pmid", "abstract", "class", "label"))
-    fz, fitted = cv.fit_models(tok, DEFAULT_MODELS)
+    fz, fitted = cv.fit_all_rows(train, DEFAULT_MODELS)
     out = None
     for name in DEFAULT_MODELS:
         p = cv.predict(fz, fitted[name], test).select(
@@ -153,16 +150,14 @@ def q_two_stage(spark, sf):
     (``labels.toxic``) and ranks the stage-1 positives.
     """
     c, train, test = _split(spark, sf)
-    tok = add_tokens(train.select("pmid", "abstract", "class", "label"))
-    fz, fitted = cv.fit_models(tok, ["logit"])
+    fz, fitted = cv.fit_all_rows(train, ["logit"])
     stage1 = cv.predict(fz, fitted["logit"], test)
     positives = stage1.where(F.col("pred_class") == "Positive").drop("p_positive", "pred_class")
     sub = (train.where(F.col("label") == 1.0).drop("label", "class")
            .join(c.labels.select(F.col("doc_id").cast("string").alias("pmid"), "toxic"), "pmid")
            .withColumn("label", F.col("toxic").cast("double"))
            .withColumn("class", F.when(F.col("toxic") == 1, "Positive").otherwise("Negative")))
-    tok2 = add_tokens(sub.select("pmid", "abstract", "class", "label"))
-    fz2, fitted2 = cv.fit_models(tok2, ["logit"])
+    fz2, fitted2 = cv.fit_all_rows(sub, ["logit"])
     return ranked_from_predictions(cv.predict(fz2, fitted2["logit"], positives))
 
 
@@ -221,8 +216,7 @@ def q_model_save_load(spark, sf):
     """The null model fitted, saved, loaded and applied."""
     from litsift.models.classifiers import load_model, save_model
     _, train, test = _split(spark, sf)
-    tok = add_tokens(train.select("pmid", "abstract", "class", "label"))
-    fz, fitted = cv.fit_models(tok, ["null"])
+    fz, fitted = cv.fit_all_rows(train, ["null"])
     path = files.scratch_path(spark, "model")
     save_model(spark, fitted["null"], path)
     pred = cv.predict(fz, load_model(spark, path), test)

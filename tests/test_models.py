@@ -57,7 +57,10 @@ def test_save_load_round_trip(spark, fitted_all, tmp_path):
     fz.save(spark, str(tmp_path / "fz"))
     fz2 = FittedFeaturizer.load(spark, str(tmp_path / "fz"))
     assert fz2.vocab == fz.vocab
-    for name in ["logit", "ldm", "null", "svm_linear", "knn"]:
+    _, together = cv.fit_all_rows(corpus(spark, 40, 11), ["nb", "svm_linear"])
+    own = dict(fitted, quadratic=together["nb"], sigmoid=together["svm_linear"])
+    for name in ["logit", "ldm", "null", "svm_linear", "knn", "nb", "pls", "mr", "quadratic", "sigmoid"]:
+        fitted = own
         save_model(spark, fitted[name], str(tmp_path / name))
         m2 = load_model(spark, str(tmp_path / name))
         a = {r["pmid"]: r["p_positive"] for r in cv.predict(fz, fitted[name], test).collect()}
@@ -77,27 +80,49 @@ def test_fold_vocabulary_never_sees_assessment_rows(spark):
     assert set(fz.vocab) <= ana_terms
 
 
-def test_knn_is_exact_narrow_and_bounded(spark):
-    import numpy as np
+def _knn_frame(spark, x, label):
     from pyspark.ml.functions import array_to_vector
-    from litsift.models.classifiers import KnnSpec
+    rows = [(str(i), [float(v) for v in x[i]], float(label[i])) for i in range(len(x))]
+    return spark.createDataFrame(rows, "pmid string, x array<double>, label double").select(
+        "pmid", array_to_vector("x").alias("features"), "label")
+
+
+@pytest.mark.parametrize("scale, block", [(False, 2048), (True, 2048), (False, 17)])
+def test_knn_is_exact(spark, monkeypatch, scale, block):
+    import numpy as np
+    from litsift.models import neighbours
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", block)
     draw = np.random.default_rng(5)
     x = draw.integers(0, 3, (300, 4)).astype(float)  # many ties and equal rows
-    rows = [(str(i), [float(v) for v in x[i]], float(i % 2)) for i in range(300)]
-    df = spark.createDataFrame(rows, "pmid string, x array<double>, label double").select(
-        "pmid", array_to_vector("x").alias("features"), "label")
-    for scale in (False, True):
-        model = KnnSpec(scale=scale).fit(df)
-        out = model.transform(df)
-        plan = out._jdf.queryExecution().executedPlan().toString()
-        assert "Join" not in plan and "Exchange" not in plan and not model.sampled
-        sd = x.std(axis=0, ddof=1) if scale else 1.0
-        for r in out.collect():
-            d = np.sqrt((((x - x[int(r.pmid)]) / sd) ** 2).sum(axis=1))
-            near = sorted((round(d[i], 9), i % 2) for i in range(300))[:5]
-            weight = [1 / (a + 1e-9) for a, _ in near]
-            want = sum(w * b for w, (_, b) in zip(weight, near)) / sum(weight)
-            assert r.p_positive == pytest.approx(want, abs=1e-4)
-    few = KnnSpec(max_fit_rows=100).fit(df)
-    assert few.sampled and few.n_seen == 300 and 60 <= len(few.label) <= 100
-    assert few.transform(df).count() == 300
+    df = _knn_frame(spark, x, np.arange(300) % 2)
+    out = neighbours.KnnSpec(scale=scale).fit(df).transform(df).collect()
+    assert len(out) == 300
+    sd = x.std(axis=0, ddof=1) if scale else 1.0
+    for r in out:
+        d = np.sqrt((((x - x[int(r.pmid)]) / sd) ** 2).sum(axis=1))
+        near = sorted((round(d[i], 9), i % 2) for i in range(300))[:5]
+        weight = [1 / (a + 1e-9) for a, _ in near]
+        want = sum(w * b for w, (_, b) in zip(weight, near)) / sum(weight)
+        assert r.p_positive == pytest.approx(want, abs=1e-6)
+
+
+def test_knn_leaves_far_blocks_out_and_takes_few_rows(spark):
+    import numpy as np
+    from litsift.models import neighbours
+    draw = np.random.default_rng(6)
+    centres = draw.standard_normal((8, 5)) * 100
+    x = centres[np.arange(1200) % 8] + draw.standard_normal((1200, 5))
+    model = neighbours.KnnSpec().fit(_knn_frame(spark, x, np.arange(1200) % 2))
+    assert len(model.pivots) > 1
+    one = _knn_frame(spark, x[:40], np.zeros(40))
+    got = {int(r.pmid): r.p_positive for r in model.transform(one).collect()}
+    for i in range(40):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        near = np.argsort(d, kind="stable")[:5]
+        w = 1 / (np.round(d[near], 9) + 1e-9)
+        assert got[i] == pytest.approx((w * (near % 2)).sum() / w.sum(), abs=1e-6)
+    few = neighbours.KnnSpec().fit(_knn_frame(spark, x[:3], [1, 1, 0]))
+    assert few.transform(one).count() == 40  # fewer labelled rows than neighbours
+    assert few.transform(one.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        neighbours.KnnSpec().fit(_knn_frame(spark, x[:3], [1, 1, 0]).limit(0))

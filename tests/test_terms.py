@@ -75,3 +75,37 @@ def test_tfidf_formula(spark):
     assert rows[("1", "cell")]["idf"] == pytest.approx(math.log(1 + 3 / 1))
     assert rows[("2", "gene")]["tf"] == pytest.approx(1.0)
     assert "the" in STOP_WORDS and ("3", "the") not in rows
+
+
+def test_repeated_ids_are_documents_of_their_own(spark):
+    train = spark.createDataFrame([("1", "cell cell gene", 1.0), ("1", "cell", 0.0), ("2", "gene gene gene", 0.0)],
+                                  "pmid string, abstract string, label double")
+    tt = terms.TermTable(train, stem=False)
+    counts = {(r["term"], r["label"]): r["n"] for r in tt.labelled_counts().groupBy("term", "label").agg(
+        F.sum("n").alias("n")).collect()}
+    assert counts == {("cell", 1.0): 2, ("cell", 0.0): 1, ("gene", 1.0): 1, ("gene", 0.0): 3}
+    tf = sorted((r["pmid"], r["term"], round(r["tf"], 9)) for r in tt.tfidf.collect())
+    assert tf == [("1", "cell", 0.666666667), ("1", "cell", 1.0), ("1", "gene", 0.333333333), ("2", "gene", 1.0)]
+
+
+def test_terms_do_not_shuffle_on_documents(spark):
+    train = spark.createDataFrame([("1", "cell cell gene", 1.0)], "pmid string, abstract string, label double")
+    plan = terms.TermTable(train, stem=False).labelled_tfidf()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(pmid" not in plan
+
+
+def test_p_values(spark):
+    from litsift.functions.numeric import student_t_two_sided_p, two_sided_p
+
+    def integral(f, a, b, n=20000):
+        h = (b - a) / n
+        return h / 3 * sum((1 if i in (0, n) else 4 if i % 2 else 2) * f(a + i * h) for i in range(n + 1))
+
+    cases = [(t, v) for t in (0.0, 0.3, -1.7, 4.2, 9.0) for v in (1.0, 2.5, 17.3, 400.0)]
+    df = spark.createDataFrame(cases, "t double, v double")
+    for r in df.select("t", "v", student_t_two_sided_p("t", "v").alias("p"), two_sided_p("t").alias("z")).collect():
+        c = math.exp(math.lgamma((r.v + 1) / 2) - math.lgamma(r.v / 2)) / math.sqrt(r.v * math.pi)
+        body = integral(lambda x: c * (1 + x * x / r.v) ** (-(r.v + 1) / 2), 0, abs(r.t))
+        assert r.p == pytest.approx(1 - 2 * body, abs=1e-9)
+        body = integral(lambda x: math.exp(-x * x / 2) / math.sqrt(2 * math.pi), 0, abs(r.t))
+        assert r.z == pytest.approx(1 - 2 * body, abs=1e-9)
