@@ -370,6 +370,16 @@ def oracle_sql() -> dict[str, str]:
     q["term_search"] = with_ctes(["articles"], _search(SEARCH_TERMS))
     q["term_search_retmax"] = with_ctes(["articles"], f"""
         SELECT pmid FROM ({_search(SEARCH_TERMS)}) ORDER BY CAST(pmid AS BIGINT), pmid LIMIT {SEARCH_RETMAX}""")
+    has = "contains(w, ' {0} ')".format  # words of a title and an abstract between blanks, a bar between both
+    records = f"""
+        SELECT pmid, ' ' || array_to_string(regexp_extract_all(lower(coalesce(title, '')), '{_PAT}'), ' ') || ' | '
+               || array_to_string(regexp_extract_all(lower(coalesce(abstract, '')), '{_PAT}'), ' ') || ' ' AS w FROM articles"""
+    q["term_search_boolean"] = with_ctes(["articles"], f"""
+        SELECT DISTINCT pmid FROM ({records})
+        WHERE (({has('threea')} OR ({has('of the')} AND {has('with')})) AND NOT ({has('from')} OR {has('to the')}))
+           OR NOT {has('the')}""")
+    q["term_search_phrase"] = with_ctes(["articles"], f"""
+        SELECT DISTINCT pmid FROM ({records}) WHERE {has('of the')} AND {has('that')}""")
     q["category_union"] = with_ctes(["articles", "article_index"], f"""
         SELECT pmid FROM article_index WHERE class = 1
         UNION ALL SELECT pmid FROM ({_search(CATEGORY_TERMS)})""")

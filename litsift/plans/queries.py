@@ -15,12 +15,15 @@ from litsift.functions.text import analyze, remove_stopwords, tokenize
 from litsift.operators import corpus, evaluate, rank, sampling, terms
 from litsift.plans import fixtures as fx
 from litsift.session import ensure_checkpoint_dir, ship_package
+from litsift.sources import boolean, files
 from litsift.sources.search import term_search
 
 # Fixed values used by the registered queries.
 SEARCH_QUERY = "the [AND] ing"
 QUERY_CATEGORY_TERMS = "with AND from"
 SEARCH_RETMAX = 100
+BOOLEAN_QUERY = '(threea OR "of the" with) [AND] NOT (from OR "to the") OR NOT the'
+PHRASE_QUERY = '"of the" and that'
 
 
 def r6(df: DataFrame) -> DataFrame:
@@ -105,6 +108,21 @@ def q_term_search_retmax(spark, sf):
     return term_search(Ctx(spark, sf).articles, SEARCH_QUERY, max_hits=SEARCH_RETMAX)
 
 
+def _searched(spark, sf, query):
+    """Articles indexed, then searched through the index."""
+    path = files.scratch_path(spark, "index")
+    boolean.build_index(Ctx(spark, sf).articles, path)
+    return boolean.search_index(spark, path, query)
+
+
+def q_term_search_boolean(spark, sf):
+    return _searched(spark, sf, BOOLEAN_QUERY)
+
+
+def q_term_search_phrase(spark, sf):
+    return _searched(spark, sf, PHRASE_QUERY)
+
+
 def q_category_union(spark, sf):
     c = Ctx(spark, sf)
     ids = c.index.where(F.col("class") == 1).select("pmid")
@@ -413,6 +431,8 @@ SQL_QUERIES = {
     "id_list_parse": q_id_list_parse,
     "term_search": q_term_search,
     "term_search_retmax": q_term_search_retmax,
+    "term_search_boolean": q_term_search_boolean,
+    "term_search_phrase": q_term_search_phrase,
     "category_union": q_category_union,
     "build_index": q_build_index,
     "retrieve_by_id": q_retrieve_by_id,
