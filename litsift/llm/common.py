@@ -18,6 +18,9 @@ from litsift.session import ship_package
 #: Bytes of text that a task works on at once; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 
+#: Files of a scratch table whose size is known: so many at least, and one for so many rows.
+LEAST_FILES, FILE_ROWS = 8, 50_000
+
 # ------------------------------------------------------------------ scratch tables
 
 
@@ -48,7 +51,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write a table and read it back. Of one with about so many rows, few files are made."""
+        if rows is not None:
+            df = df.coalesce(max(LEAST_FILES, rows // FILE_ROWS))
         df.write.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

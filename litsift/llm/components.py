@@ -17,9 +17,10 @@ def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     shuffle, and the labels joined to the links have one row a node. No links give no rows.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = scratch.keep(both.filter("a <> b").distinct(), f"{tag}-ends")
+    both = scratch.keep(both.filter("a <> b").distinct(), f"{tag}-ends", 2 * links.count())
+    rows = both.count()
     labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
-                          .select("node", F.least("node", "low").alias("comp")), f"{tag}-0")
+                          .select("node", F.least("node", "low").alias("comp")), f"{tag}-0", rows)
     turn = 0
     while True:
         turn += 1
@@ -28,7 +29,7 @@ def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
         own = labels.join(near, "node").select("node", F.least("comp", "low").alias("comp"), F.col("comp").alias("was"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
         new = scratch.keep(own.join(jump, "comp").select("node", F.least("comp", "next").alias("comp"), "was"),
-                           f"{tag}-{turn}")
+                           f"{tag}-{turn}", rows)
         moved = new.filter("comp < was").limit(1).count()
         scratch.drop(f"{tag}-{turn - 1}")
         labels = new.select("node", "comp")

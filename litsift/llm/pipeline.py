@@ -25,7 +25,7 @@ def _with_text(docs: DataFrame, text: Column) -> DataFrame:
 def _without(spark: SparkSession, docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` without the rows of the ids in ``found``, which are written first so that their size is known."""
     ids = found.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(Scratch(spark, "rejected").keep(ids, "ids"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(Scratch(spark, "rejected").keep(ids, "ids", docs.count()), "doc_id", "left_anti").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -303,14 +303,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     scratch = common.Scratch(spark, "setsketch")
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = scratch.keep(_sketches(source, width), "rows")
+    n_rows = rows.count()
     classes = scratch.keep(
         rows.filter("n > 0").groupBy(F.col("d1").alias("node"), "d2")
         .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"),
-             F.first("keys").alias("keys")).drop("d2"), "classes")
+             F.first("keys").alias("keys")).drop("d2"), "classes", n_rows)
 
     banded = classes.select("node", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    members = scratch.keep(banded.join(shared, "key").select("key", "node", "low"), "members")
+    members = scratch.keep(banded.join(shared, "key").select("key", "node", "low"), "members", n_rows)
     wanted = members.select("node").distinct().join(classes.select("node", "id", "n", "regs"), "node")
     sets = scratch.keep(_full_sets(source.join(wanted, "id").select("node", "n", "regs", "text"), width), "sets")
 
@@ -321,7 +322,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     known = near.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     several = known.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most")
     still = _linkable(known.join(several, "key").select("key", "node"), sets, num, den)
-    still = scratch.keep(_open(still, labels), "open")
+    still = scratch.keep(_open(still, labels), "open", n_rows)
     more = scratch.keep(_joined(still, sets, num, den), "links-1")
     if more.limit(1).count():
         labels = components(links.union(more), scratch, "labels-1")
