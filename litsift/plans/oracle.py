@@ -39,6 +39,37 @@ _P_STUDENT = ("CASE WHEN t IS NOT NULL AND dfw > 0 THEN greatest(1 - 2 * exp(lga
 
 # name -> (dependencies, body)
 _CTES: dict[str, tuple[list[str], str]] = {
+    # documents to be classified, on the training rows' recipe: a value for each term of the vocabulary
+    "tdense": (["test", "vocab", "dfreq", "ndocs"], f"""
+        SELECT r, pmid, list(x ORDER BY term) AS x, sum(x) AS total, sum(x * x) AS square, count(*) FILTER (x <> 0) AS n_terms
+        FROM (SELECT d.r, d.pmid, v.term,
+                     CASE WHEN c.n IS NULL THEN 0.0 ELSE CAST(c.n AS DOUBLE) / l.n * ln(1 + CAST(nd.n_docs AS DOUBLE) / f.df) END AS x
+              FROM (SELECT row_number() OVER () AS r, pmid, abstract FROM test) d CROSS JOIN vocab v CROSS JOIN ndocs nd
+              JOIN dfreq f ON f.term = v.term
+              LEFT JOIN (SELECT r, term, count(*) AS n FROM (SELECT r, unnest(list_filter(regexp_extract_all(lower(abstract), '{_PAT}'), lambda t: NOT list_contains({_STOP}, t))) AS term
+                                FROM (SELECT row_number() OVER () AS r, abstract FROM test)) GROUP BY r, term) c ON c.r = d.r AND c.term = v.term
+              LEFT JOIN (SELECT r, count(*) AS n FROM (SELECT r, unnest(list_filter(regexp_extract_all(lower(abstract), '{_PAT}'), lambda t: NOT list_contains({_STOP}, t))) AS term
+                                FROM (SELECT row_number() OVER () AS r, abstract FROM test)) WHERE term IN (SELECT term FROM vocab) GROUP BY r) l ON l.r = d.r)
+        GROUP BY r, pmid"""),
+    "fold5": (["train"], """
+        SELECT class, CAST(ntile(5) OVER (ORDER BY md5(concat(pmid, ':', '42')), class) AS INTEGER) AS fold FROM train"""),
+    "fold_null": (["fold5"], """
+        SELECT fold, CAST(count(*) FILTER (hit AND class = 'Positive') AS DOUBLE) AS tp,
+               CAST(count(*) FILTER (hit AND class <> 'Positive') AS DOUBLE) AS fp,
+               CAST(count(*) FILTER (NOT hit AND class <> 'Positive') AS DOUBLE) AS tn,
+               CAST(count(*) FILTER (NOT hit AND class = 'Positive') AS DOUBLE) AS fn
+        FROM (SELECT a.fold, a.class, o.p >= 0.5 AS hit FROM fold5 a JOIN (
+                SELECT x.fold, avg(CASE WHEN b.class = 'Positive' THEN 1.0 ELSE 0.0 END) AS p
+                FROM (SELECT DISTINCT fold FROM fold5) x JOIN fold5 b ON b.fold <> x.fold GROUP BY x.fold) o ON o.fold = a.fold)
+        GROUP BY fold"""),
+    # training documents likewise
+    "dense": (["tok", "vocab", "vcounts", "dfreq", "ndocs"], """
+        SELECT d.r, d.pmid, d.label, list(CASE WHEN c.n IS NULL THEN 0.0 ELSE CAST(c.n AS DOUBLE) / l.n
+                                            * ln(1 + CAST(nd.n_docs AS DOUBLE) / f.df) END ORDER BY v.term) AS x
+        FROM tok d CROSS JOIN vocab v CROSS JOIN ndocs nd JOIN dfreq f ON f.term = v.term
+        LEFT JOIN vcounts c ON c.r = d.r AND c.term = v.term
+        LEFT JOIN (SELECT r, sum(n) AS n FROM vcounts GROUP BY r) l ON l.r = d.r
+        GROUP BY d.r, d.pmid, d.label"""),
     "articles": ([], """
         SELECT CAST(doc_id AS VARCHAR) AS pmid, CAST(2000 + doc_id % 25 AS VARCHAR) AS year,
                split_part(text, chr(10), 1) AS title,
@@ -538,6 +569,54 @@ def oracle_sql() -> dict[str, str]:
             FROM terms t LEFT JOIN (SELECT term, sum(tfidf) AS s, sum(tfidf * tfidf) AS q
                                     FROM ltfidf GROUP BY term) s ON t.term = s.term
             CROSS JOIN ndocs nd))""")
+    q["features_plain"] = with_ctes(["tdense"], f"""
+        SELECT pmid, CAST(n_terms AS INTEGER) AS n_terms, {_r('total', 'tfidf_sum')},
+               round(square, 6) AS tfidf_square FROM tdense""")
+    q["model_nb_plain"] = with_ctes(["tdense", "dense"], """
+        SELECT 'nb' AS model_name, pmid, round(p, 6) AS p_positive,
+               CASE WHEN p >= 0.5 THEN 'Positive' ELSE 'Negative' END AS pred_class
+        FROM (SELECT r, pmid, 1 / (1 + exp(-greatest(least(max(base) + sum(odds), 700.0), -700.0))) AS p
+              FROM (SELECT t.r, t.pmid, s.base,
+                           -ln(v1) / 2 - power(t.v - m1, 2) / (2 * v1) + ln(v0) / 2 + power(t.v - m0, 2) / (2 * v0) AS odds
+                    FROM (SELECT r, pmid, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS i FROM tdense) t
+                    JOIN (SELECT i, base, m1, m0, greatest(q1 - m1 * m1, 0) + eps AS v1, greatest(q0 - m0 * m0, 0) + eps AS v0
+                          FROM (SELECT *, 1e-9 * max(q - m * m) OVER () AS eps,
+                                       ln(n1 / n) - ln(n0 / n) AS base
+                                FROM (SELECT i, avg(v) AS m, avg(v * v) AS q, CAST(count(*) AS DOUBLE) AS n,
+                                             avg(v) FILTER (label = 1) AS m1, avg(v * v) FILTER (label = 1) AS q1,
+                                             avg(v) FILTER (label = 0) AS m0, avg(v * v) FILTER (label = 0) AS q0,
+                                             CAST(count(*) FILTER (label = 1) AS DOUBLE) AS n1,
+                                             CAST(count(*) FILTER (label = 0) AS DOUBLE) AS n0
+                                      FROM (SELECT label, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS i FROM dense)
+                                      GROUP BY i))) s ON s.i = t.i)
+              GROUP BY r, pmid)""")
+    q["model_knn_plain"] = with_ctes(["tdense", "dense"], """
+        SELECT 'knn' AS model_name, pmid, round(p, 6) AS p_positive,
+               CASE WHEN p >= 0.5 THEN 'Positive' ELSE 'Negative' END AS pred_class
+        FROM (SELECT r, pmid, sum(label / (d + 1e-9)) / sum(1 / (d + 1e-9)) AS p
+              FROM (SELECT t.r, t.pmid, s.label, round(list_distance(t.x, s.x), 9) AS d,
+                           row_number() OVER (PARTITION BY t.r ORDER BY round(list_distance(t.x, s.x), 9), s.label) AS k
+                    FROM tdense t CROSS JOIN dense s)
+              WHERE k <= 5 GROUP BY r, pmid)""")
+    q["cross_validate_null"] = with_ctes(["fold_null"], """
+        SELECT 'null' AS model_name, fold, metric, round(estimate, 6) AS estimate FROM (
+          SELECT fold, 'roc_auc' AS metric, CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN 0.5::DOUBLE END AS estimate FROM fold_null
+          UNION ALL SELECT fold, 'sens', tp / nullif(tp + fn, 0) FROM fold_null
+          UNION ALL SELECT fold, 'spec', tn / nullif(tn + fp, 0) FROM fold_null
+          UNION ALL SELECT fold, 'accuracy', (tp + tn) / (tp + tn + fp + fn) FROM fold_null
+          UNION ALL SELECT fold, 'precision', tp / nullif(tp + fp, 0) FROM fold_null)
+        WHERE estimate IS NOT NULL""")
+    q["study_draws"] = with_ctes(["train"], """
+        SELECT CAST(draw AS INTEGER) AS draw, class,
+               row_number() OVER (PARTITION BY draw, class ORDER BY md5(concat(pmid, ':', draw))) AS rank,
+               count(*) OVER (PARTITION BY draw, class) AS n, pmid
+        FROM train CROSS JOIN (SELECT unnest(range(42, 52)) AS draw)""")
+    q["learning_curve_null"] = with_ctes(["train"], """
+        SELECT CAST(size AS INTEGER) AS size, CAST(10 AS BIGINT) AS n_draws, CASE WHEN t1 > 0 AND t0 > 0 THEN 0.5::DOUBLE END AS mean_auc,
+               CASE WHEN t1 > 0 AND t0 > 0 THEN 0.0::DOUBLE END AS sd_auc, round(t1 / (t1 + t0), 6) AS mean_accuracy, 0.0::DOUBLE AS sd_accuracy
+        FROM (SELECT t1, t0, unnest(range(10, least(n1 - n1 // 5, n0 - n0 // 5) // 10 * 10 + 1, 10)) AS size
+              FROM (SELECT n1, n0, CAST(n1 // 5 AS DOUBLE) AS t1, CAST(n0 // 5 AS DOUBLE) AS t0
+                    FROM (SELECT count(*) FILTER (class = 'Positive') AS n1, count(*) FILTER (class <> 'Positive') AS n0 FROM train)))""")
     conf_f = _CONF.format(g="model_name, fold", src="scored")
     q["confusion_metrics"] = with_ctes(["scored"], f"""
         SELECT model_name, fold, tp, fp, tn, fn, {_r('sens')}, {_r('spec')}, {_r('accuracy')},

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import time
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from litsift.models import cv
+from litsift.models import cv, study
 from litsift.models.classifiers import DEFAULT_MODELS, OPTIONAL_MODELS
 from litsift.models.features import TfidfFeaturizer, add_tokens
 from litsift.operators import corpus, evaluate, project, rank, sampling
@@ -64,6 +63,35 @@ def _model_query(name: str):
     return q
 
 
+def _plain_model_query(name: str):
+    """A model on the recipe without stemming, which the SQL can build as well."""
+    def q(spark, sf):
+        _, train, test = _split(spark, sf)
+        fz, fitted = cv.fit_all_rows(train, [name], stem=False)
+        pred = cv.predict(fz, fitted[name], test, stem=False)
+        return r6(pred.select(F.lit(name).alias("model_name"), "pmid", "p_positive", "pred_class"))
+    q.__name__ = f"q_model_{name}_plain"
+    return q
+
+
+def q_features_plain(spark, sf):
+    """Feature rows of the articles to be classified, on the recipe without stemming."""
+    _, train, test = _split(spark, sf)
+    fz = TfidfFeaturizer().fit(add_tokens(train.select("pmid", "abstract"), stem=False).select("pmid", "tokens"))
+    a = vector_to_array("features")
+    out = fz.transform(add_tokens(test.select("pmid", "abstract"), stem=False))
+    return r6(out.select("pmid", F.size(F.filter(a, lambda x: x != 0)).alias("n_terms"),
+                         F.aggregate(a, F.lit(0.0), lambda s, x: s + x).alias("tfidf_sum"),
+                         F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x).alias("tfidf_square")))
+
+
+def q_cross_validate_null(spark, sf):
+    """Out-of-fold metrics of the null model through the cross-validation of all folds together."""
+    _, train, _ = _split(spark, sf)
+    _, metrics = cv.cross_validate(train, ["null"])
+    return r6(metrics.filter("estimate is not null"))
+
+
 def q_cross_validate(spark, sf):
     _, train, _ = _split(spark, sf)
     _, metrics = cv.cross_validate(train, DEFAULT_MODELS)
@@ -101,8 +129,7 @@ def _pca(spark, sf):
     _, train, _ = _split(spark, sf)
     tok = add_tokens(train.select("pmid", "abstract", "class", "label"))
     fz = TfidfFeaturizer().fit(tok)
-    feats = fz.transform(tok).select("pmid", "class", "features") \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    feats = fz.transform(tok).select("pmid", "class", "features").checkpoint()
     return project.pca(feats, fz.vocab)
 
 
@@ -196,8 +223,22 @@ def runtime_trend(log: DataFrame) -> DataFrame:
 
 
 def q_learning_curve(spark, sf):
+    """Naive Bayes by training-set size: mean and spread over ten draws of other rows."""
+    _, train, _ = _split(spark, sf)
+    return r6(study.learning_curve(train, start=10, step=10))
+
+
+def q_learning_curve_null(spark, sf):
+    _, train, _ = _split(spark, sf)
+    return r6(study.learning_curve(train, start=10, step=10, model="null", stem=False))
+
+
+def q_study_draws(spark, sf):
+    """The order of each class in ten draws, which every sample of the studies is a prefix of."""
     _, train, _ = _split(spark, sf)
-    return learning_curve(train, start=10, step=10)
+    rows = train.select("pmid", "class").withColumn("row", F.monotonically_increasing_id()).checkpoint()
+    return study.ordered_draws(rows, 10, 42).join(rows.select("row", "pmid"), "row").select(
+        "draw", "class", "rank", "n", "pmid")
 
 
 def q_runtime_trend(spark, sf):
@@ -242,14 +283,21 @@ def balance_sweep(train: DataFrame, shares, model: str = "logit", seed: int = 42
 
 
 def q_balance_sweep(spark, sf):
+    """F1 of both classes by class mix at one total, mean and spread over ten draws."""
     _, train, _ = _split(spark, sf)
-    return balance_sweep(train, (0.2, 0.5, 0.8))
+    return r6(study.class_mix(train))
 
 
 WORKFLOW_QUERIES = {
     "flagship": q_flagship,
     "features": q_features,
     **{f"model_{m}": _model_query(m) for m in DEFAULT_MODELS + OPTIONAL_MODELS},
+    "features_plain": q_features_plain,
+    "model_nb_plain": _plain_model_query("nb"),
+    "model_knn_plain": _plain_model_query("knn"),
+    "cross_validate_null": q_cross_validate_null,
+    "study_draws": q_study_draws,
+    "learning_curve_null": q_learning_curve_null,
     "cross_validate": q_cross_validate,
     "classify": q_classify,
     "all_predictions": q_all_predictions,
