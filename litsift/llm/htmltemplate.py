@@ -9,16 +9,24 @@ pages combine before a shuffle and no host's pages ever meet in one task.
 Tokens of a host with equal vectors on ``MIN_PAGES`` pages or more form a class. A class is
 valid with an element token; its text tokens below that element are the template's own text.
 Classes nest by their paths. Where the template's elements leave slots, the slots are
-extracted: on a page with an article (or else a main element) the slots in it; elsewhere
+extracted: on a page with an article or a main element the slots in it; elsewhere
 those in the deepest once-a-page element that holds ``REGION_SHARE`` of the host's slot
 text, or of the body without one. In an article, paths begin at it, and template text is that
 of boxes: elements with a class or id, on ``REGION_PAGES`` of the host's pages, all of whose
 text is in their class. Repeated passages of articles outside such boxes stay.
 
 Slots in menus, headers, footers, sidebars, notices, adverts, forms and reader comments are
-left out by element, role and class or id words. Words are hints: on a host of ``MIN_PAGES``
-pages one fails that doesn't recur on as many. In articles and main only whole classes are
-hints, and whole ids that recur; ids of headings, paragraphs and sections never are.
+left out by element, role and class or id words. Words are hints, on a host of any size. The template
+may clear one whose elements are on ``REGION_PAGES`` of the host's pages and hold ``REGION_SHARE`` of
+all its text, as the frame of the main slots does. In articles and main a class is a hint if
+all its words are such words or words for parts of a page (``comment-list``, ``ad-banner``, but not
+``share-price``). So are ids for reader comments; other ids only as a whole, if they recur, and not those of
+headings, paragraphs and sections, which are made from titles.
+
+An article stands for its page unless the main element around or beside it holds more text.
+
+Elements nested more than ``DEPTH`` deep count as parts of the one at that depth when tokens are
+told apart; their text stays.
 
 What the template says about a page reaches it as marks of its own tokens, joined by host and
 token, so no host's template is held in one row.
@@ -48,6 +56,8 @@ from . import common
 MIN_PAGES = 3
 #: Share of a host's pages that its text region occurs on, and of its slot text that it holds.
 REGION_PAGES, REGION_SHARE = 0.5, 0.7
+#: Levels of a path.
+DEPTH = 64
 #: Ways that a mark of a host is dealt out.
 SALTS = 16
 #: What a token is: an element, a text outside articles, a box of an article, a text in it, a hint.
@@ -81,6 +91,10 @@ DROPPED_WORDS = set(
     "sharing social related recommended newsletter subscribe subscription signup login pagination pager toolbar "
     "copyright form".split())
 COMMENT_WORDS = set("comment comments commentlist disqus reply replies".split())
+#: Words for the parts of a page, which make a class or id no name of its own.
+PART_WORDS = set("area bar block bottom box button buttons container content footer group header holder inner item items "
+                 "left line link links list outer panel post reader readers right row section site slot thread top unit "
+                 "user users wrap wrapper zone".split())
 _KEPT = set("html body main".split())
 #: Elements whose id is made from a title.
 _OWN_IDS = set("h1 h2 h3 h4 h5 h6 p section".split())
@@ -91,10 +105,16 @@ _ENDS_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"ta
               "th": {"tr", "table"}, "option": {"select"}}
 
 
+def _furniture(value: str, names: set[str]) -> set[str]:
+    """The words of a class or id that are ``names``, if all others are words for parts of a page or numbers."""
+    own = _WORD.findall(value)
+    return set(own) & names if all(w in names or w in PART_WORDS or w.isdigit() for w in own) else set()
+
+
 def _read(name: str, attributes: str, inside: bool) -> tuple[bool, tuple[str, ...], str]:
     """Whether an element never holds main text, its hints that it may not, and its name with class and id for paths.
 
-    In an article or main, only whole classes are hints; a whole id is a weak one.
+    In an article or main, a whole id is a weak hint only.
     """
     label, role, hints = name, "", []
     classes: set[str] = set()
@@ -112,20 +132,23 @@ def _read(name: str, attributes: str, inside: bool) -> tuple[bool, tuple[str, ..
         return False, (), label
     if name == "article":
         found = {w for c in classes for w in _WORD.findall(c)[:1]} & COMMENT_WORDS
-    else:
-        if name in _OWN_IDS:
-            ids = set()
-        found = classes & DROPPED_WORDS if inside else {w for c in classes | ids for w in _WORD.findall(c)} & DROPPED_WORDS
-        weak = ids & DROPPED_WORDS if inside else set()
-        if weak and not found:
+    elif inside:
+        found = {w for c in classes for w in _furniture(c, DROPPED_WORDS)} | {w for c in ids for w in _furniture(c, COMMENT_WORDS)
+                                                                             if w in ("comments", "commentlist", "disqus")}
+        weak = set() if found or name in _OWN_IDS else ids & DROPPED_WORDS
+        if weak:
             hints.append(f"{WEAK}{name}:{' '.join(sorted(weak))}")
+    else:
+        named = classes if name in _OWN_IDS else classes | ids
+        found = {w for c in named for w in _WORD.findall(c)} & DROPPED_WORDS
     if found:
         hints.append(f"{name}:{' '.join(sorted(found))}")
     return name != "article" and role in DROPPED_ROLES, tuple(hints), label
 
 
 class Block(NamedTuple):
-    """A block of text: its path, letters in links, place, hints, and in an article the path and the boxes in it."""
+    """A block of text: its path, letters in links, place, hints, in an article the path and the boxes in it, and
+    whether main holds it."""
 
     path: str
     text: str
@@ -134,6 +157,7 @@ class Block(NamedTuple):
     hints: tuple[str, ...]
     inner: str
     boxes: tuple[str, ...]
+    main: bool = False
 
 
 class Open(NamedTuple):
@@ -154,6 +178,7 @@ class Page:
         self.hints: dict[str, int] = {}
         self.blocks: list[Block] = []
         stack: list[Open] = []
+        places: dict[str, list[int]] = {}  # where in the stack each name is open
         text: list[str] = []
         self._linked = links = 0
         end, size = 0, len(source)
@@ -163,24 +188,23 @@ class Page:
             joined = " ".join("".join(text).split())
             if joined:
                 at = stack[-1] if stack else Open("", "", False, (), "", ())
-                names = {s.name for s in stack}
-                place = "" if at.dropped else "article" if "article" in names else "main" if "main" in names else "body"
-                self.blocks.append(Block(at.path, joined, min(links, len(joined)), place, at.hints, at.inner, at.boxes))
+                place = "" if at.dropped else "article" if places.get("article") else "main" if places.get("main") else "body"
+                self.blocks.append(Block(at.path, joined, min(links, len(joined)), place, at.hints, at.inner, at.boxes,
+                                         bool(places.get("main"))))
             text.clear()
             links = 0
 
         def close(depth: int) -> None:
             if any(s.name not in INLINE for s in stack[depth:]):
                 flush()
+            for s in stack[depth:]:
+                places[s.name].pop()
             del stack[depth:]
 
         def find(names: set[str], stop: set[str] = frozenset()) -> int:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth].name in names:
-                    return depth
-                if stack[depth].name in stop:
-                    return -1
-            return -1
+            """Where the innermost of some elements is open, if none of the others is open within it."""
+            depth = max((places[n][-1] for n in names if places.get(n)), default=-1)
+            return -1 if any(places.get(n) and places[n][-1] > depth for n in stop) else depth
 
         for match in _TOKEN.finditer(source):
             if match.start() < end:
@@ -188,7 +212,7 @@ class Page:
             if match.start() > end:
                 piece = html.unescape(source[end:match.start()])
                 text.append(piece)
-                if any(s.name == "a" for s in stack):
+                if places.get("a"):
                     links += len(piece.strip())
             end = match.end()
             name = match[2]
@@ -215,10 +239,10 @@ class Page:
             if name in VOID:
                 continue
             above = stack[-1] if stack else Open("", "", False, (), "", ())
-            inside = bool(above.inner) or any(s.name == "main" for s in stack)
+            inside = bool(above.inner) or bool(places.get("main"))
             dropped, hints, label = _read(name, match[3], inside)
             path, inner, boxes = above.path, above.inner, above.boxes
-            if name not in INLINE:
+            if name not in INLINE and path.count("/") < DEPTH:
                 path = f"{path}/{label}"
                 if inner:
                     inner = f"{inner}/{label}"
@@ -234,7 +258,9 @@ class Page:
                 shut = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(source, end)
                 end = shut.end() if shut else size
             elif not (match[3].endswith("/") and name in RAW):
-                stack.append(Open(name, path, dropped or above.dropped, above.hints + hints, inner, boxes))
+                places.setdefault(name, []).append(len(stack))
+                more = tuple(h for h in hints if h not in above.hints)
+                stack.append(Open(name, path, dropped or above.dropped, above.hints + more, inner, boxes))
         if end < size:
             text.append(html.unescape(source[end:]))
         flush()
@@ -249,9 +275,8 @@ class Page:
     def text(self, region: str | None, template: set[int]) -> str:
         """The blocks of the main slots; ``template`` holds the host's marks."""
         shown = self.shown(template)
-        places = {b.place for b in shown}
-        wanted = "article" if "article" in places else "main" if "main" in places else "body"
-        own = [b for b in shown if b.place == wanted and _key(b) not in template]
+        wanted = _place(shown)
+        own = [b for b in shown if (b.main if wanted == "main" else b.place == wanted) and _key(b) not in template]
         if wanted == "body":
             region = region or next((p for p in self.elements if _token("region", p) in template), None)
             inside = [b for b in own if region and (b.path == region or b.path.startswith(region + "/"))]
@@ -264,7 +289,10 @@ class Page:
         out |= {(ELEMENT, path, _token("region", path)): [n, 0] for path, n in self.elements.items()}
         out |= {(BOX, path, 0): [n, 0] for path, n in self.boxes.items()}
         out |= {(HINT, hint, _token("hint", hint)): [n, 0] for hint, n in self.hints.items()}
+        out[HINT, "", 0] = [1, 0]
         for b in self.blocks:
+            for hint in ("", *b.hints) if b.place else ():
+                out[HINT, hint, _token("hint", hint) if hint else 0][1] += len(b.text) - b.links
             for box in b.boxes:
                 out[BOX, box, 0][1] += 1
                 if b.place:
@@ -286,7 +314,7 @@ class Page:
         """The keys whose marks can change this page's text."""
         shown = self.shown()
         weak = any(h.startswith(WEAK) for h in self.hints)
-        article = any(b.place == "article" for b in shown) and not weak
+        article = any(b.place == "article" for b in shown) and not weak and not any(b.place == "main" for b in self.blocks)
         out = {_token("hint", h) for b in self.blocks if b.place and (b.inner or not article) for h in b.hints}
         out |= {_key(b) for b in self.blocks if b.place and (b.boxes or not b.inner and not article)}
         if weak or not any(b.place in ("article", "main") for b in shown):
@@ -294,8 +322,16 @@ class Page:
         return out
 
     def signature(self) -> int:
-        """A hash of the texts shown, the same for copies in other markup."""
-        return xxhash.xxh64_intdigest("\0".join(b.text for b in self.shown())) - (1 << 63)
+        """A hash of the texts shown (of all, if hints take all away), the same for copies in other markup."""
+        texts = self.shown() or [b for b in self.blocks if b.place]
+        return xxhash.xxh64_intdigest("\0".join(b.text for b in texts)) - (1 << 63)
+
+
+def _place(shown: list[Block]) -> str:
+    """Where a page's main text stands: in its articles, in main if that holds more beside them, else in the body."""
+    articles = sum(len(b.text) for b in shown if b.place == "article")
+    beside = sum(len(b.text) - b.links for b in shown if b.place == "main")
+    return "main" if beside > articles else "article" if articles else "body"
 
 
 def _token(path: str, text: str) -> int:
@@ -344,7 +380,7 @@ def _tokens(parsed: DataFrame) -> DataFrame:
 
 
 def deduce(tokens: DataFrame) -> DataFrame:
-    """(host, key): marks of each host's template texts, its text region, hints that fail and weak ones that hold."""
+    """(host, key): marks of each host's template texts, its text region, hints that are cleared and weak ones that hold."""
     def of(kind: int) -> DataFrame:
         return tokens.filter((F.col("kind") == kind) & (F.col("pages") >= MIN_PAGES)).drop("kind")
 
@@ -366,9 +402,10 @@ def deduce(tokens: DataFrame) -> DataFrame:
         & (F.col("letters") >= REGION_SHARE * F.col("every"))
     ).groupBy("host").agg(F.max_by("key", F.struct(depth, "letters", "path")).alias("key"))
     weak = F.col("path").startswith(WEAK)
-    often = F.col("pages") >= MIN_PAGES
-    hints = tokens.filter(f"kind = {HINT}").join(whole, "host").filter(
-        (weak & often) | (~weak & ~often & (F.col("all") >= MIN_PAGES))).select("host", "key")
+    everything = tokens.filter(f"kind = {HINT} and path = ''").select(
+        "host", F.col("pages").alias("all"), F.col("letters").alias("every"))
+    frame = (F.col("pages") >= REGION_PAGES * F.col("all")) & (F.col("letters") >= REGION_SHARE * F.col("every"))
+    hints = of(HINT).filter("path <> ''").join(everything, "host").filter(weak | frame).select("host", "key")
     return texts.union(boxed.join(fixed, ["host", "path"]).select("host", "key")).union(region).union(hints).distinct()
 
 

@@ -1,5 +1,7 @@
 import html as entities
+import random
 import re
+import time
 
 import pytest
 
@@ -104,4 +106,89 @@ def test_words_of_ids_and_classes_drop_nothing_without_evidence(spark):
     rows = [(f"http://h.example/{i}", f"<article><p>own {i}</p><div class=related>More {i}</div><div id=comments>c{i}</div>"
              f"{'<div class=notice>Text of the notice</div>' if i == 2 else ''}</article>") for i in range(5)]
     got = run(spark, rows)
-    assert got == {i: f"own {i}" + ("\nText of the notice" if i == 2 else "") for i in range(5)}
+    assert got == {i: f"own {i}" for i in range(5)}  # a hint on one page of five holds
+
+
+def test_rare_furniture_goes_at_any_size_of_host(spark):
+    for n in (1, 2, 4, 9):
+        rows = [(f"http://h.example/{i}", f"<article><p>own {i}</p>" + ("<div class=advert>Buy cheap shoes now</div>"
+                 "<div class=comments>Great post, bob</div>" if i == 0 else "") + "</article>") for i in range(n)]
+        assert run(spark, rows) == {i: f"own {i}" for i in range(n)}
+
+
+@pytest.mark.parametrize("name", ["comment-list", "user-comments", "ad-banner", "advert-box", "social-share", "comments_area"])
+def test_compound_classes_of_furniture_go(name):
+    assert text(f"<article><p>own</p><div class={name}>x</div></article>") == "own"
+
+
+def test_comment_sections_go():
+    for source in ("<section id=comments>x</section>", "<div id=comments><p>x</div>", "<div id=disqus_thread>x</div>",
+                   "<section id='comments-section'><h2>Comments</h2>x</section>"):
+        assert text(f"<article><p>own</p>{source}</article>") == text(f"<main><p>own</p>{source}</main>") == "own"
+
+
+def test_a_teaser_does_not_stand_for_a_long_main():
+    long = "The long text of the page goes on and on. " * 5
+    assert text(f"<article><p>Teaser</article><main><p>{long}</main>") == long.strip()
+    assert text(f"<main><p>{long}<article><p>Teaser</article><p>end</main>") == f"{long.strip()}\nTeaser\nend"
+    assert text(f"<main><p>short</p><article><p>{long}</article></main>") == long.strip()
+
+
+def test_the_template_clears_a_hint_that_frames_the_main_text(spark):
+    rows = [(f"http://h.example/{i}", f"<body><div class='page widget'><p>{'own words of page ' * 9}{i}</p></div>"
+             f"<div class=widget>little</div></body>") for i in range(5)]
+    got = run(spark, rows)
+    assert all(got[i].startswith("own words of page") for i in range(5))
+
+
+@pytest.mark.parametrize("tag", ["<div>", "<p>", "<b>", "<div class=ad>", "<article>", "<li>", "<ul><li>", "<table><tr><td>"])
+def test_deep_pages_take_linear_time(tag):
+    began = time.perf_counter()
+    page = Page("<body>start" + tag * 100_000 + "<p>deep</p>" + "x<br>y" * 10)
+    page.text(None, set())
+    page.counts()
+    page.keys()
+    assert time.perf_counter() - began < 20
+    assert any(b.text.startswith("deep") or "deep" in b.text for b in page.blocks)
+
+
+def plain_classes(hosts):
+    """Template texts of a host by occurrence vectors written out: {host: {(path, text)}}."""
+    out = {}
+    for host, sources in hosts.items():
+        pages, seen = [], set()
+        for source in sources:
+            page = Page(source)
+            if page.signature() not in seen:
+                seen.add(page.signature())
+                pages.append(page)
+        vectors = {}
+        for i, page in enumerate(pages):
+            for path, n in page.elements.items():
+                vectors.setdefault(("element", path, ""), {})[i] = n
+            for b in page.blocks:
+                if b.place and not b.inner:
+                    own = vectors.setdefault(("text", b.path, b.text), {})
+                    own[i] = own.get(i, 0) + 1
+        elements = [(path, v) for (kind, path, _), v in vectors.items() if kind == "element" and len(v) >= htmltemplate.MIN_PAGES]
+        out[host] = {(path, t) for (kind, path, t), v in vectors.items() if kind == "text" and any(
+            v == w and (path == above or path.startswith(above + "/")) for above, w in elements)}
+    return out
+
+
+def test_classes_against_vectors_written_out(spark):
+    draw = random.Random(2)
+    hosts = {}
+    for h in range(4):
+        parts = [f"<div class=c{k}><p>fixed {k}</p></div>" for k in range(4)]
+        hosts[f"h{h}.example"] = ["<body>" + "".join(p for p in parts if draw.random() < 0.8) + "".join(
+            f"<div class=slot><p>{draw.choice('abcdef')}{draw.randrange(40)}</p></div>" for _ in range(3)) + "</body>" for _ in range(12)]
+    want = plain_classes(hosts)
+    rows = [(f"http://{h}/{i}", source) for h, sources in hosts.items() for i, source in enumerate(sources)]
+    df = spark.createDataFrame([(u.split("/")[2], u, s) for u, s in rows], "host string, digest string, html string")
+    marks = {(r.host, r.key) for r in htmltemplate.deduce(htmltemplate._tokens(htmltemplate._parsed(df))).collect()}
+    for host, sources in hosts.items():
+        for source in sources:
+            for b in Page(source).blocks:
+                assert ((host, htmltemplate._key(b)) in marks) == ((b.path, b.text) in want[host])
+    assert any(want.values())
