@@ -8,7 +8,8 @@ Reading sorts the selected index rows by file and offset, cuts the files into wi
 
 Of records with equal payloads of at least ``REVISIT_BYTES`` bytes, that with the least
 page_id is a response and the others revisit it. Rows that tie on the least page_id are all
-responses. A null page_id revisits a page that has one; without one all are responses. A
+responses. A null page_id revisits a page that has one; without one all are responses. Ids are of
+any type that has an order; archives hold them as text. A
 null html is an empty payload. A null url is left out. Extra columns are ignored.
 """
 
@@ -33,6 +34,8 @@ REVISIT_BYTES = 100
 READ_BYTES = 8 << 20
 #: Unselected bytes between two records that are read along rather than skipped.
 GAP_BYTES = 64 << 10
+#: Digests of at least one in so many rows are broadcast; there can't be more of them than that.
+HOT = 4096
 DATE = "2000-01-01T00:00:00Z"
 _PRINTABLE = "".join(map(chr, range(0x21, 0x7F)))
 
@@ -77,8 +80,13 @@ def assign(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
                        F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     own = own.withColumn("digest", F.sha2("html", 256))
     long_ = F.octet_length("html") >= REVISIT_BYTES
-    again = own.filter(long_).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    both = own.join(again.filter("n > 1").drop("n"), "digest", "left")
+    again = own.filter(long_).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again = common.Scratch(pages.sparkSession, "digests").keep(again, "again")
+    # pages of a payload that very many have meet it where they are; of the others none has many
+    often = F.col("n") * HOT >= (again.agg(F.sum("n")).first()[0] or 0)
+    met = own.join(F.broadcast(again.filter(often)), "digest", "left")
+    rest = met.filter("n is null").drop("first", "n").join(again.filter(~often), "digest", "left")
+    both = met.filter("n is not null").unionByName(rest)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return both.select("page_id", "url", "html", "digest", revisit.alias("revisit"),
                        F.when(revisit, F.col("first")).alias("refers_to"))
@@ -129,13 +137,14 @@ def read(index: DataFrame, folder: str) -> DataFrame:
     """
     common.prepare(index.sparkSession)
     kind = index.schema["page_id"].dataType.simpleString()
-    at = F.struct("offset", "length", "page_id", "url", "digest")
+    at = F.struct("offset", "length", "page_id", "url", "digest", "refers_to")
     windows = index.groupBy("file", (F.col("offset") / READ_BYTES).cast("long").alias("window")).agg(
         F.sort_array(F.collect_list(at)).alias("records")).select("file", "records")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
+            whole = batch.schema.field("records").type.value_type.field("page_id").type
             for row in batch.to_pylist():
                 runs: list[list[dict]] = []
                 for r in row["records"]:
@@ -146,9 +155,9 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                     for own in runs:
                         start = own[0]["offset"]
                         data = source.read_at(own[-1]["offset"] + own[-1]["length"] - start, start)
-                        yield from _rows(own, data, start)
+                        yield from _rows(own, data, start, whole)
 
-    def _rows(own: list[dict], data: bytes, start: int) -> Iterator[pa.RecordBatch]:
+    def _rows(own: list[dict], data: bytes, start: int, whole: pa.DataType) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(own), 256):
             out: dict[str, list] = {c: [] for c in ("page_id", "url", "record_type", "refers_to", "payload_digest",
                                                     "payload")}
@@ -158,13 +167,13 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                 revisit = fields["WARC-Type"] == "revisit"
                 if digest != r["digest"] or not revisit and hashlib.sha256(payload).hexdigest() != digest:
                     raise ValueError(f"{r['url']}: the record at {r['offset']} isn't the one in the index")
-                refers_to = fields.get("X-Refers-To-Page")
-                for c, v in zip(out, (r["page_id"], r["url"], fields["WARC-Type"],
-                                      None if refers_to is None else int(refers_to), digest,
+                named = None if r["refers_to"] is None else str(r["refers_to"])
+                if fields.get("X-Refers-To-Page") != named:
+                    raise ValueError(f"{r['url']}: the record at {r['offset']} refers to another page than the index says")
+                for c, v in zip(out, (r["page_id"], r["url"], fields["WARC-Type"], r["refers_to"], digest,
                                       None if revisit else payload)):
                     out[c].append(v)
             types = [None, pa.string(), pa.string(), None, pa.string(), pa.binary()]
-            whole = pa.int64() if kind == "bigint" else pa.int32()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, t or whole) for v, t in zip(out.values(), types)], list(out))
 

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from litsift.llm import warc
@@ -61,3 +62,25 @@ def test_query_and_empty_table(spark):
     scratch = Scratch(spark, "none")
     index = scratch.keep(warc.write(warc.assign(pages.limit(0)), scratch.path("a")), "i")
     assert warc.read(index, scratch.path("a")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "date"])
+def test_ids_of_any_type(spark, kind):
+    pages = spark.createDataFrame([(1, "u1", BIG), (2, "u2", BIG), (3, "u3", "x"), (None, None, BIG)], "page_id int, url string, html string")
+    ids = {"string": F.concat(F.lit("page "), F.col("page_id")), "int": F.col("page_id"),
+           "date": F.date_add(F.lit("2020-01-01").cast("date"), F.col("page_id"))}[kind]
+    scratch = Scratch(spark, "ids")
+    index = scratch.keep(warc.write(warc.assign(pages.withColumn("page_id", ids)), scratch.path("a")), "i")
+    got = {r.url: r for r in warc.read(index, scratch.path("a")).collect()}
+    assert got["u2"].refers_to == got["u1"].page_id == got[None].refers_to and got["u1"].refers_to is None
+    assert dict(warc.read(index, scratch.path("a")).dtypes)["refers_to"] == kind
+
+
+@pytest.mark.parametrize("hot", [1, 1 << 40])
+def test_one_payload_on_most_pages(spark, monkeypatch, hot):
+    monkeypatch.setattr(warc, "HOT", hot)
+    rows = [(i, f"u{i}", BIG if i % 3 else BIG + str(i % 6)) for i in range(60)]
+    assigned = warc.assign(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    least = {h: min(i for i, _, x in rows if x == h) for _, _, h in rows}
+    assert len(assigned) == 60
+    assert all(r.refers_to == (None if r.page_id == least[r.html] else least[r.html]) for r in assigned)
