@@ -44,6 +44,19 @@ def articles(docs: DataFrame) -> DataFrame:
     return base.unionByName(extra)
 
 
+def wide_articles(docs: DataFrame) -> DataFrame:
+    """Every document as a record of all fields; every 13th has no doi, every 17th no abstract."""
+    n = F.col("doc_id")
+    return docs.select(
+        n.cast("string").alias("pmid"), F.when(n % 13 != 0, F.concat(F.lit("10.1000/<"), n.cast("string"), F.lit(">"))).alias("doi"),
+        F.concat(F.lit("On "), F.coalesce("lang", F.lit("-")), F.lit(" & "), n.cast("string")).alias("title"),
+        F.when(n % 17 != 0, F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x20-\\x7E]", " ")).alias("abstract"),
+        (F.lit(2000) + n % 25).cast("string").alias("year"), (F.lit(1) + n % 12).cast("string").alias("month"),
+        (F.lit(1) + n % 28).cast("string").alias("day"), F.col("source").alias("journal"),
+        F.concat(F.substring("source", 1, 3), F.lit(".")).alias("jabbrv"),
+        F.array("lang", F.concat(F.lit("n<"), n.cast("string"))).alias("keywords"))
+
+
 def article_index(docs: DataFrame, labels: DataFrame) -> DataFrame:
     d = docs.select("doc_id")
     joined = d.join(labels.select("doc_id", "quality"), "doc_id", "left")

@@ -682,6 +682,13 @@ def oracle_sql() -> dict[str, str]:
                                            ORDER BY auc DESC, Model LIMIT 3)
                         UNION SELECT Model FROM (SELECT Model FROM ({_auc_by_model()})
                                                  ORDER BY auc ASC, Model LIMIT 3))""")
+    q["xml_articles_wide"] = """
+        SELECT CAST(doc_id AS VARCHAR) AS pmid, CASE WHEN doc_id % 13 <> 0 THEN '10.1000/<' || doc_id || '>' END AS doi,
+               'On ' || coalesce(lang, '-') || ' & ' || doc_id AS title,
+               CASE WHEN doc_id % 17 <> 0 THEN regexp_replace(coalesce(text, ''), '[^\\x20-\\x7E]', ' ', 'g') END AS abstract,
+               CAST(2000 + doc_id % 25 AS VARCHAR) AS year, CAST(1 + doc_id % 12 AS VARCHAR) AS month,
+               CAST(1 + doc_id % 28 AS VARCHAR) AS day, source AS journal, substr(source, 1, 3) || '.' AS jabbrv,
+               concat_ws(';', lang, 'n<' || doc_id) AS keywords, false AS malformed FROM documents"""
     q["xml_articles"] = with_ctes(["articles"], "SELECT pmid, year, title, abstract FROM articles")
     q["csv_articles"] = _with_curated("SELECT pmid, year, title, abstract, class FROM curated")
     q["id_file_scan"] = with_ctes(["article_index"],

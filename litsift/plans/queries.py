@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from litsift.functions.text import analyze, remove_stopwords, tokenize
-from litsift.operators import corpus, evaluate, rank, sampling, terms
+from litsift.operators import corpus, evaluate, heavy, rank, sampling, terms
 from litsift.plans import fixtures as fx
 from litsift.session import ensure_checkpoint_dir, ship_package
 from litsift.sources import boolean, files
@@ -262,7 +262,9 @@ def q_term_counts(spark, sf):
 
 
 def q_top_tokens(spark, sf):
-    return Ctx(spark, sf).term_table().vocab
+    """The vocabulary through bounded summaries and an exact recount."""
+    train = Ctx(spark, sf).train.select(analyze(F.col("abstract"), stem=False).alias("tokens")).checkpoint()
+    return heavy.heavy_terms(train, terms.MAX_TOKENS)[0]
 
 
 def q_doc_freq(spark, sf):

@@ -156,6 +156,14 @@ def q_xml_articles(spark, sf):
     return xml.read_xml_articles(spark, path)
 
 
+def q_xml_articles_wide(spark, sf):
+    """All documents as records of every field, written as files, read back in one parse a record."""
+    path = files.scratch_path(spark, "xml")
+    xml.to_xml_records(fx.wide_articles(fx.load(spark, sf, "documents"))).write.mode("overwrite").text(path, lineSep="\n")
+    wide = xml.read_xml_articles(spark, path, wide=True)
+    return wide.withColumn("keywords", F.array_join("keywords", ";"))
+
+
 def q_csv_articles(spark, sf):
     c = Ctx(spark, sf)
     path = files.scratch_path(spark, "csv")
@@ -306,6 +314,7 @@ WORKFLOW_QUERIES = {
     "pca_top_terms": q_pca_top_terms,
     "pca_scores": q_pca_scores,
     "xml_articles": q_xml_articles,
+    "xml_articles_wide": q_xml_articles_wide,
     "csv_articles": q_csv_articles,
     "id_file_scan": q_id_file_scan,
     "table_sink": q_table_sink,
