@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from litsift.session import ship_package
 
@@ -65,6 +66,21 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lookup(left: DataFrame, table: DataFrame, key: str | list[str], weight: str, hot: int) -> DataFrame:
+    """The rows of ``left`` whose key is in a table, with the table's other columns.
+
+    ``weight`` is how often the key occurs in ``left``. Heavy keys, those with at least one in ``hot`` of
+    all, are at most ``hot`` and are broadcast; the others are shuffled, and none has many rows.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) * hot >= total
+    values = [c for c in table.columns if c != weight]
+    first = table.filter(heavy).select(*values, F.lit(True).alias("is_hot"))
+    met = left.join(F.broadcast(first), key, "left")
+    rest = met.filter(F.col("is_hot").isNull()).select(left.columns).join(table.filter(~heavy).select(values), key)
+    return met.filter("is_hot").drop("is_hot").unionByName(rest)
+
+
 def prepare(spark: SparkSession) -> None:
     """Make the package importable in Python workers."""
     ship_package(spark)

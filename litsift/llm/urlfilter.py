@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lookup
 
 #: Characters of the longest context.
 ORDER = 4
@@ -112,22 +112,7 @@ def gram_scores(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return counts.select("gram", "uses").join(chances.select(F.col("shorter").alias("gram"), ratio.alias("ratio")), "gram")
 
 
-# ------------------------------------------------------------------ joins and the threshold
-
-
-def lookup(left: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
-    """``left`` with the columns of the table's row of the same key, which every key has.
-
-    ``weight`` is how often the key occurs in ``left``. Heavy keys are at most ``HOT`` and are broadcast;
-    of the others each has less than one in ``HOT`` of the rows.
-    """
-    total = table.agg(F.sum(weight)).first()[0] or 0
-    heavy = F.col(weight) * HOT >= total
-    values = [c for c in table.columns if c != weight]
-    hot = table.filter(heavy).select(*values, F.lit(True).alias("is_hot"))
-    met = left.join(F.broadcast(hot), key, "left")
-    rest = met.filter(F.col("is_hot").isNull()).select(left.columns).join(table.filter(~heavy).select(values), key)
-    return met.filter("is_hot").drop("is_hot").unionByName(rest)
+# ------------------------------------------------------------------ the threshold and verdicts
 
 
 def threshold(scored: DataFrame) -> int:
@@ -172,7 +157,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     urls = scratch.keep(urls, "urls")
     counts = scratch.keep(count_grams(urls), "counts")
     scores = scratch.keep(gram_scores(counts), "scores")
-    used = lookup(urls.select("number", F.explode(grams(F.col("text"))).alias("gram")), scores, "gram", "uses")
+    used = lookup(urls.select("number", F.explode(grams(F.col("text"))).alias("gram")), scores, "gram", "uses", HOT)
     sums = used.groupBy("number").agg(F.sum("ratio").alias("ratio"), F.count(F.lit(1)).alias("symbols"))
     cell = F.floor(F.col("ratio") / (F.col("symbols") * F.lit(CELL / UNIT)))
     score = F.round(F.col("ratio") / F.col("symbols") * F.lit(UNIT), 6)
@@ -183,7 +168,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     rows = rows.select("id", *[c.alias(n) for n, c in zip(("host", "path"), parts(F.col("text")))],
                        F.sha2("text", 256).alias("key"))
-    rows = lookup(rows, scored.select("key", "copies", "score", (F.col("cell") >= limit).alias("by_model")), "key", "copies")
+    rows = lookup(rows, scored.select("key", "copies", "score", (F.col("cell") >= limit).alias("by_model")), "key", "copies", HOT)
     name, allow = rule_of(F.col("host"), F.col("path"), rules)
     return rows.select(F.col("id").alias(id_col), "host", "path", name.alias("rule"),
                        F.coalesce(allow, "by_model").alias("allow"), "score", "by_model")

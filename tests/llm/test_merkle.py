@@ -68,7 +68,7 @@ def query(spark, tmp_path, table, extra=""):
     return sorted(map(tuple, got.collect()), key=repr)
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 255, 256, 257, 1000])
+@pytest.mark.parametrize("n", [1, 3, 256, 257])
 def test_sizes_around_the_stored_blocks(spark, tmp_path, n):
     table = [(i, "s", "en" if i % 9 else "de", i, f"text {i}") for i in range(n)] + [(n, None, None, None, None)]
     assert query(spark, tmp_path, table) == sorted(expected(table), key=repr)

@@ -32,7 +32,7 @@ def result(df):
     return sorted((str(r.doc_id), r.n_words, sum(r.spans[1::2]) - sum(r.spans[::2]), r.kept_sha256) for r in df.collect())
 
 
-@pytest.mark.parametrize("window", [50, 7, 4])
+@pytest.mark.parametrize("window", [50, 24, 4])
 def test_passages_against_brute_force(spark, window):
     draw = random.Random(window)
     passage = [[draw.choice("abcdefghij") + str(k) for k in range(draw.randrange(2, 80))] for _ in range(12)]
@@ -45,3 +45,28 @@ def test_passages_against_brute_force(spark, window):
 def test_awkward_rows(spark):
     assert result(substring.repeated(documents(spark))) == brute([r[:2] for r in ROWS], 50)
     assert substring.repeated(documents(spark).limit(0)).count() == 0
+
+
+def test_levels():
+    assert substring.levels(50) == [13, 25, 50] and substring.levels(7) == [7] and substring.levels(100) == [13, 25, 50, 100]
+
+
+def test_fewer_windows_come_to_each_level(spark):
+    draw = random.Random(8)
+    shared = [[draw.choice("abcdefgh") + str(draw.randrange(30)) for _ in range(n)] for n in (14, 14, 30, 30, 60, 90)]
+    rows = []
+    for i in range(60):
+        own = [f"w{i}x{k}" for k in range(60)]
+        rows.append((i, " ".join(own[:30] + shared[i % 6] + own[30:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    (a, first, kept), (b, second, last) = substring.survivors(docs)
+    assert (a, b) == (13, 25) and first > kept > 0 and second < first and second > last > 0
+    assert result(substring.repeated(docs)) == brute(rows, 50)
+
+
+@pytest.mark.parametrize("hot", [1, 1 << 40])
+def test_a_passage_that_most_texts_share(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT", hot)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, f"{i} start {passage} end {i} " + " ".join(f"{i}x{k}" for k in range(i % 9 * 10))) for i in range(80)]
+    assert result(substring.repeated(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 50)
