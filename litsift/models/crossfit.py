@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litsift.models.features import FittedFeaturizer, add_tokens
@@ -124,6 +124,11 @@ def recipes(tokens: DataFrame, folds: list[int], max_tokens: int = MAX_TOKENS) -
 # ------------------------------------------------------------------ passes over the rows
 
 
+def fit_tasks(spark: SparkSession, rows: int) -> int:
+    """Tasks of a pass over so many rows: every task sends sums as large as the model, however few its rows are."""
+    return max(1, min(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
 class Design:
     """The training rows of all folds and the recipes that they are seen under."""
 
@@ -141,7 +146,7 @@ class Design:
         self.recipes, union = recipes(self.tokens, self.folds)
         self.width = len(union)
         n = self.recipes[WHOLE].n_docs
-        self.tasks = max(1, min(spark.sparkContext.defaultParallelism, -(-n // TASK_ROWS)))
+        self.tasks = fit_tasks(spark, n)
         rows = self.tokens.select("pmid", "class", "label", "fold", "inner", "tokens")
         if union:
             counted = CountVectorizerModel.from_vocabulary(union, inputCol="tokens", outputCol="counts").transform(rows)

@@ -32,8 +32,8 @@ def _specs(models: list[str], specs: dict | None) -> dict:
 
 
 def _fit_partitions(df: DataFrame) -> int:
-    """Partitions for an iterative fit: one for each core the session has."""
-    return max(1, df.sparkSession.sparkContext.defaultParallelism)
+    """Partitions for an iterative fit: one for so many rows, at most one for each core the session has."""
+    return crossfit.fit_tasks(df.sparkSession, df.count())
 
 
 def _fold_frames(design: crossfit.Design, k: int):
@@ -42,7 +42,7 @@ def _fold_frames(design: crossfit.Design, k: int):
     ana, ass = design.tokens.where(F.col("fold") != k), design.tokens.where(F.col("fold") == k)
     n_classes = ana.agg(F.countDistinct("label")).first()[0]
     fa = (fz.transform(ana).select("pmid", "class", "label", "features")
-          .repartition(_fit_partitions(ana)).persist(StorageLevel.MEMORY_AND_DISK))
+          .repartition(design.tasks).persist(StorageLevel.MEMORY_AND_DISK))
     return fa, fz.transform(ass).select("pmid", "class", "label", "features"), n_classes
 
 
@@ -141,7 +141,7 @@ def fit_all_rows(train: DataFrame, names: list[str], stem: bool = True, specs: d
         rest = [m for m in names if m not in together]
         if rest:
             feats = (fz.transform(design.tokens).select("pmid", "class", "label", "features")
-                     .repartition(_fit_partitions(design.tokens)).persist(StorageLevel.MEMORY_AND_DISK))
+                     .repartition(design.tasks).persist(StorageLevel.MEMORY_AND_DISK))
             with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
                 fitted.update(zip(rest, pool.map(lambda m: chosen[m].fit(feats), rest)))
             feats.unpersist()
