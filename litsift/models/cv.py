@@ -65,12 +65,18 @@ def cross_validate(train: DataFrame, models: list[str] | None = None, v: int = 5
     design = crossfit.Design(train, v=v, seed=seed, stem=stem)
     try:
         together = _together(models, specs)
-        outs = []
-        if together:
+
+        def batched() -> list[DataFrame]:
+            if not together:
+                return []
             fitted = crossfit.fit(design, together, design.folds)
-            outs.append(with_class(crossfit.predictions(design, fitted))
-                        .select("model_name", "fold", *PRED_COLS).checkpoint(eager=True))
-        outs += _each_fold(design, [m for m in models if m not in together], chosen, parallel)
+            return [with_class(crossfit.predictions(design, fitted)).select("model_name", "fold", *PRED_COLS)
+                    .checkpoint(eager=True)]
+
+        with ThreadPoolExecutor(max_workers=1) as pool:  # the solver's passes run beside the fits of the others
+            first = pool.submit(batched)
+            outs = _each_fold(design, [m for m in models if m not in together], chosen, parallel)
+            outs = first.result() + outs
     finally:
         design.release()
     preds = outs[0]

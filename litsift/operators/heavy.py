@@ -87,5 +87,5 @@ def heavy_terms(tokens: DataFrame, k: int, col: str = "tokens", counters: int |
         .groupBy("term").agg(F.count(F.lit(1)).alias("n"))  # CANDIDATES * k words at most
     best = exact.orderBy(F.desc("n"), F.asc("term")).limit(k)
     best = best.withColumn("term_rank", F.row_number().over(Window.orderBy(F.desc("n"), F.asc("term"))))
-    others = error if error else (top.kth or 0)
-    return best, Certificate(counters, error, n_could, max(others, kth - 1 if error else 0), kth)
+    # a term without a counter was seen at most `error` times, one that is no candidate less than `kth` times
+    return best, Certificate(counters, error, n_could, max(error, kth - 1) if error else kth, kth)

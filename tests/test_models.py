@@ -59,7 +59,7 @@ def test_save_load_round_trip(spark, fitted_all, tmp_path):
     assert fz2.vocab == fz.vocab
     _, together = cv.fit_all_rows(corpus(spark, 40, 11), ["nb", "svm_linear"])
     own = dict(fitted, quadratic=together["nb"], sigmoid=together["svm_linear"])
-    for name in ["logit", "ldm", "null", "svm_linear", "knn", "nb", "pls", "mr", "quadratic", "sigmoid"]:
+    for name in ["logit", "ldm", "null", "svm_linear", "knn", "nb", "pls", "mr", "rf", "quadratic", "sigmoid"]:
         fitted = own
         save_model(spark, fitted[name], str(tmp_path / name))
         m2 = load_model(spark, str(tmp_path / name))
