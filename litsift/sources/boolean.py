@@ -18,12 +18,17 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsift.functions.text import tokenize
+from litsift.session import ship_package
 
 #: Folders of the index.
 BUCKETS = 64
@@ -113,17 +118,46 @@ def _bucket(word: str) -> int:
     return zlib.crc32(word.encode()) % BUCKETS
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(record, pmid, term, places) of (record, pmid, a, b), record by record: a record's words need no shuffle."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            place, row, words = [], [], []
+            sizes = pc.list_value_length(part.column("a")).to_numpy(zero_copy_only=False).astype(np.int64)
+            for name, shift in (("a", np.zeros_like(sizes)), ("b", sizes + 1)):  # a place is left free between title and abstract
+                own = part.column(name)
+                many = pc.list_value_length(own).to_numpy(zero_copy_only=False).astype(np.int64)
+                first = np.cumsum(many) - many
+                row.append(np.repeat(np.arange(len(many)), many))
+                place.append(np.arange(many.sum()) + np.repeat(shift - first, many))
+                words.append(own.flatten())
+            row, place = np.concatenate(row), np.concatenate(place)
+            if not len(row):
+                continue
+            coded = pa.concat_arrays(words).dictionary_encode()
+            code = coded.indices.to_numpy()
+            order = np.lexsort((place, code, row))
+            row, code, place = row[order], code[order], place[order]
+            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])]))
+            places = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array(place.astype(np.int32)))
+            own = pa.array(row[new])
+            yield pa.RecordBatch.from_arrays([part.column("record").take(own), part.column("pmid").take(own),
+                                              coded.dictionary.take(pa.array(code[new])), places], ["record", "pmid", "term", "places"])
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """(record, pmid, term, places) of records' words (record, pmid, a, b)."""
+    return rows.mapInArrow(_postings, "record long, pmid string, term string, places array<int>")
+
+
 def build_index(articles: DataFrame, path: str) -> None:
     """Write the index of (pmid, title, abstract) below ``path``."""
+    ship_package(articles.sparkSession)
     rows = articles.filter(F.col("pmid").isNotNull()).select(
         F.col("pmid").cast("string").alias("pmid"), tokenize("title").alias("a"), tokenize("abstract").alias("b"), F.monotonically_increasing_id().alias("record"))
     rows.select("record", "pmid").write.mode("overwrite").parquet(f"{path}/records")
-    # a place is left free between title and abstract
-    words = F.concat(F.transform("a", lambda t, i: F.struct(t.alias("term"), i.alias("place"))),
-                     F.transform("b", lambda t, i: F.struct(t.alias("term"), (i + F.size("a") + 1).alias("place"))))
-    each = rows.select("record", "pmid", F.inline(words)).groupBy("record", "pmid", "term").agg(
-        F.sort_array(F.collect_list("place")).alias("places"))
-    each.withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int")).repartition("bucket", F.pmod(F.xxhash64("record"), F.lit(8))) \
+    placed(rows).withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int")).repartition("bucket", F.pmod(F.xxhash64("record"), F.lit(8))) \
         .sortWithinPartitions("bucket", "term", "record").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
 
 

@@ -62,3 +62,12 @@ def test_empty_table(spark, tmp_path):
     with pytest.raises(Exception):
         spark.read.parquet(str(tmp_path / "none"))
     assert boolean.search_index(spark, str(tmp_path / "i"), "a or not b").count() == 0
+
+
+def test_postings_of_a_record_need_no_shuffle(spark):
+    rows = spark.createDataFrame([(1, "x", ["t", "cell", "t"], ["cell", "t"]), (2, "y", [], []), (3, "z", [], ["t"])],
+                                 "record long, pmid string, a array<string>, b array<string>")
+    found = boolean.placed(rows)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.record, r.pmid, r.term, r.places) for r in found.collect()) == [
+        (1, "x", "cell", [1, 4]), (1, "x", "t", [0, 2, 5]), (3, "z", "t", [1])]
