@@ -139,3 +139,18 @@ def test_hinge_derivatives():
         assert np.allclose(np.gradient(loss, m)[1:-1], g[1:-1], atol=0.02)
         assert np.all(np.abs(loss - np.maximum(1 - (2 * y - 1) * m, 0)) <= 0.25 + 1e-12)
         assert math.isclose(h.max(), 2.0)
+
+
+def test_driver_gets_vectors_of_a_penalised_fit_only(design, monkeypatch):
+    sizes, summed = [], design.summed
+
+    def seen(*args, **kw):
+        found = summed(*args, **kw)
+        sizes.extend(len(v) for v in found.values())
+        return found
+
+    monkeypatch.setattr(design, "summed", seen)
+    width = len(design.recipes[1].vocab)
+    problems = crossfit.solve(design, crossfit.penalised(design, "svm_linear", 1, 100))
+    assert all(p.done for p in problems)
+    assert max(sizes) <= 2 * (width + 1) + len(crossfit.STEPS) + 2
