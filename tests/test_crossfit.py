@@ -154,3 +154,23 @@ def test_driver_gets_vectors_of_a_penalised_fit_only(design, monkeypatch):
     problems = crossfit.solve(design, crossfit.penalised(design, "svm_linear", 1, 100))
     assert all(p.done for p in problems)
     assert max(sizes) <= 2 * (width + 1) + len(crossfit.STEPS) + 2
+
+
+def test_outer_products_travel_as_the_fewer_numbers():
+    import numpy as np
+    import pyarrow as pa
+    from litsift.models import crossfit
+    draw = np.random.default_rng(3)
+    for counts in ([2, 1], [4, 9, 0, 3], [30, 1]):
+        sums, parts = {}, [draw.standard_normal((n, 8)) for n in counts]
+        for x in parts:
+            crossfit.add(sums, 5, np.array([len(x), x.sum()]), x)
+        x = np.concatenate(parts)
+        assert np.allclose(sums[5].whole(), np.concatenate([[len(x), x.sum()], (x.T @ x).ravel()]))
+        sent = sums[5].table(5)
+        assert sum(len(sent.column(c)[0].as_py()) for c in ("rows", "triangle")) <= 8 * (8 * 4 + 36)
+        both = crossfit._added(pa.concat_tables([sent, sent]))
+        assert np.allclose(both.whole(), 2 * sums[5].whole())
+    few = {}
+    crossfit.add(few, 0, np.zeros(1), np.ones((2, 500)))
+    assert few[0].table(0).nbytes < 500 * 500
