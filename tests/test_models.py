@@ -106,6 +106,23 @@ def test_knn_is_exact(spark, monkeypatch, scale, block):
         assert r.p_positive == pytest.approx(want, abs=1e-6)
 
 
+def test_knn_rows_keep_their_best_over_many_blocks():
+    import numpy as np
+    from litsift.models import neighbours
+    draw = np.random.default_rng(8)
+    x, y, q = draw.integers(0, 3, (200, 9)) * 1.5, np.arange(200) % 2.0, draw.integers(0, 3, (30, 9)) * 1.5
+    far = float(np.abs(x).sum())
+    best = neighbours._Best(neighbours._pack(np.arange(30), q), 9, 5, np.zeros((1, 9)), [(0, 0.0, far, 20, [far] * 5)], np.ones(9))
+    for a in range(0, 200, 10):  # 20 blocks
+        best.meet(0, *neighbours._unpack(neighbours._pack(y[a:a + 10], x[a:a + 10]), 9, "<f8"))
+    out = best.found().to_pydict()
+    assert len(out["row"]) == 30 * 5  # k for each row, not k for each row and block
+    for i in range(30):
+        d = np.round(np.sqrt(((x - q[i]) ** 2).sum(1)), 9)
+        want = sorted(zip(d.tolist(), y.tolist()))[:5]
+        assert sorted((b, c) for a, b, c in zip(out["row"], out["distance"], out["label"]) if a == i) == want
+
+
 def test_knn_leaves_far_blocks_out_and_takes_few_rows(spark):
     import numpy as np
     from litsift.models import neighbours
