@@ -174,3 +174,30 @@ def test_outer_products_travel_as_the_fewer_numbers():
     few = {}
     crossfit.add(few, 0, np.zeros(1), np.ones((2, 500)))
     assert few[0].table(0).nbytes < 500 * 500
+
+
+def test_hinge_fits_end_at_the_bound_in_few_passes(spark):
+    draw = np.random.default_rng(11)
+    rows = []
+    for i in range(900):
+        own = draw.choice(80, size=25)
+        positive = float(draw.random() < 1 / (1 + np.exp(-(own < 20).sum() + 6.25)))
+        rows.append((f"id{i}", " ".join(f"word{j}" for j in own), "Positive" if positive else "Negative", positive))
+    made = crossfit.Design(spark.createDataFrame(rows, "pmid string, abstract string, class string, label double"), v=0, stem=False)
+    problems = crossfit.solve(made, crossfit.penalised(made, "svm_linear", crossfit.WHOLE, 900))
+    assert all(p.done for p in problems)
+    assert max(p.passes for p in problems) < 100
+    fz = made.recipes[crossfit.WHOLE].featurizer()
+    data = fz.transform(made.tokens).select(vector_to_array("features").alias("x"), "label", "inner").collect()
+    for p in problems:
+        own = [r for r in data if r.inner != p.inner]
+        x, y = np.array([r.x for r in own]), np.array([r.label for r in own])
+        w, b = p.raw(p.at)
+        here = objective(x, y, w, b, p.l1, p.l2, "hinge")
+        for step in (1e-4, -1e-4):  # no coordinate leads lower
+            for j in range(0, x.shape[1], 8):
+                near = w.copy()
+                near[j] += step / x[:, j].std(ddof=1)
+                assert objective(x, y, near, b, p.l1, p.l2, "hinge") >= here - 1e-9
+            assert objective(x, y, w, b + step, p.l1, p.l2, "hinge") >= here - 1e-9
+    made.release()
