@@ -143,3 +143,35 @@ def test_knn_leaves_far_blocks_out_and_takes_few_rows(spark):
     assert few.transform(one.limit(0)).count() == 0
     with pytest.raises(ValueError):
         neighbours.KnnSpec().fit(_knn_frame(spark, x[:3], [1, 1, 0]).limit(0))
+
+
+def test_knn_takes_few_distances_however_the_blocks_come(monkeypatch):
+    import numpy as np
+    from litsift.models import neighbours
+    taken = []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def lexsort(self, keys, **kw):
+            if not kw:  # the rows whose distances were taken in double precision
+                taken.append(len(keys[0]))
+            return np.lexsort(keys, **kw)
+
+    monkeypatch.setattr(neighbours, "np", Counting())
+    draw = np.random.default_rng(9)
+    for scale in (1e-9, 1.0, 1e18):
+        taken.clear()
+        q = draw.random((20, 40)) * (draw.random((20, 40)) < 0.2)
+        blocks = [q[draw.integers(0, 20, 200)] + draw.random((200, 40)) * far for far in np.linspace(3, 0.1, 10)]  # each nearer than the last
+        x, y, q = np.concatenate(blocks) * scale, np.arange(2000) % 2.0, q * scale
+        far = float(np.abs(x).sum())
+        best = neighbours._Best(neighbours._pack(np.arange(20), q), 40, 5, np.zeros((1, 40)), [(0, 0.0, far, 10, [far] * 5)], np.ones(40))
+        for a in range(0, 2000, 200):
+            best.meet(0, *neighbours._unpack(neighbours._pack(y[a:a + 200], x[a:a + 200]), 40, "<f8"))
+        d = np.round(np.sqrt(((q[:, None, :] - x[None]) ** 2).sum(2)), 9)
+        want = np.sort(d, axis=1)[:, :5]
+        assert np.allclose(best.distance, want, rtol=1e-12, atol=0)
+        if scale >= 1:
+            assert sum(taken) < 20 * 10 * 5 * 3  # of 20 x 2,000
