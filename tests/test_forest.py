@@ -78,3 +78,14 @@ def test_limits_are_middles_of_distinct_values():
     assert forest.limits(np.array([1.0, 3.0, 3.0]), 2).tolist() == [0.5, 2.0]
     many = forest.limits(np.arange(1.0, 1001.0), 0)
     assert len(many) <= forest.BINS - 1 and np.all(np.diff(many) > 0) and abs(len(many) - 31) <= 1
+
+
+def test_rows_of_all_blocks_come_in_the_order_of_their_numbers():
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    x, row, y = rng.integers(0, 3, (50, 11)).astype(np.uint8), rng.permutation(50) + 7, rng.random(50).round()
+    packed = pa.chunked_array([pa.array([forest._pack(x[a:b], row[a:b], y[a:b]) for a, b in ends], pa.binary())
+                               for ends in ([(0, 20), (20, 21)], [(21, 50)])])
+    got = forest._gathered(packed, 11)
+    order = np.argsort(row)
+    assert all(np.array_equal(a, b) for a, b in zip(got, (x[order], row[order], y[order])))
